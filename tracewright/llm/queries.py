@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing
+from . import exact_dedup, hmm, packing
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_hmm_scoring": hmm.op2_hmm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
 }
 
