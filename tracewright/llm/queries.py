@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, packing
+from . import exact_dedup, hmm, near_dedup, packing
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_hmm_scoring": hmm.op2_hmm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op10_minmax_near_dedup": near_dedup.op10_minmax_near_dedup,
 }
 
 SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
