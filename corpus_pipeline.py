@@ -1,8 +1,55 @@
-"""The corpus pipeline."""
+"""From raw documents to packed training sequences, in five stages."""
 
-ORACLE_SQL = None
-STAGES = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from tracewright.llm import exact_dedup, mixing, near_dedup, packing, quality
+from tracewright.llm.common import Scratch, load
+
+
+def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One row of docs for each doc_id of ids; the text moves once. Rows without an id, and repeats, count once."""
+    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    single = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return kept if single else kept.dropDuplicates(["doc_id"])
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    scored = quality.classify(docs, load(spark, sf_dir, "labels"))
+    return scored.where("quality_predicted = 1").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of identical texts."""
+    return keep(docs, exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"))
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: word 5-shingles, similarity 0.8."""
+    return keep(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample of documents with the target mix of sources, languages and topics."""
+    return keep(docs, mixing.mix(docs).where("sampled").select("doc_id"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
+
+ORACLE_SQL = None  # learned scores, hashed signatures and tokenizer ids are not SQL
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs, scratch = load(spark, sf_dir, "documents"), Scratch(spark)
+    for name, stage in STAGES[:-1]:
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, near_dedup, packing
+from . import exact_dedup, hmm, mixing, near_dedup, packing, quality
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_hmm_scoring": hmm.op2_hmm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op8_pu_quality": quality.op8_pu_quality,
+    "op9_mixing": mixing.op9_mixing,
     "op10_minmax_near_dedup": near_dedup.op10_minmax_near_dedup,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.mix_sql()}
