@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, mixing, near_dedup, packing, quality
+from . import exact_dedup, hmm, mixing, near_dedup, packing, quality, topk, warc_zip
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_hmm_scoring": hmm.op2_hmm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op6_impact_topk": topk.op6_impact_topk,
+    "op7_warc_zip": warc_zip.op7_warc_zip,
     "op8_pu_quality": quality.op8_pu_quality,
     "op9_mixing": mixing.op9_mixing,
     "op10_minmax_near_dedup": near_dedup.op10_minmax_near_dedup,
 }
 
-SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op9_mixing": mixing.mix_sql()}
+SQL = {"op3_exact_dedup": exact_dedup.OP3_SQL, "op6_impact_topk": topk.OP6_SQL, "op7_warc_zip": warc_zip.OP7_SQL, "op9_mixing": mixing.mix_sql()}
