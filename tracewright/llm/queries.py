@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, hmm, mixing, near_dedup, packing, quality, topk, warc_zip
+from . import exact_dedup, hmm, html_text, mixing, near_dedup, packing, pii, quality, topk, warc_zip
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_hmm_scoring": hmm.op2_hmm_scoring,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_dom_trees": html_text.op4_dom_trees,
+    "op5_weak_pii": pii.op5_weak_pii,
     "op6_impact_topk": topk.op6_impact_topk,
     "op7_warc_zip": warc_zip.op7_warc_zip,
     "op8_pu_quality": quality.op8_pu_quality,
