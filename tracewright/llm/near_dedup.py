@@ -5,12 +5,14 @@ images, so a signature of a given length costs half the hash evaluations; both a
 with probability equal to the Jaccard similarity. Bands of signature values propose
 candidates; every link is confirmed on the full sets.
 
-Documents with equal sets become one node first. Within a bucket, nodes are compared
-with the bucket's pivot, its most central node (the one whose buckets are the
-largest), which joins a group of near copies by a star instead of all its pairs. As
-long as a bucket holds nodes of different components, further pivots follow; when few
-pairs are left, all of those are tested. So a pair of nodes that shares a bucket is
-left untested only if it is connected already.
+Documents with equal sets become one node first. In a bucket every node is compared
+with the bucket's pivot, its most central node (the one whose buckets are the largest),
+which joins a group of near copies by a star instead of all its pairs. What the star
+leaves apart is then compared across components: all pairs in small buckets; in large
+ones only pairs that can be linked at all, given what each shares with the pivot: either
+their common part of the pivot is large enough by itself, or they share rare shingles
+that the pivot lacks. So no pair that shares a bucket and might be a link is skipped,
+unless it is connected already.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, text_or_empty
 
 PERMUTATIONS = 40  # 80 signature values
 ROWS = 4  # values in a band: 20 bands; a pair of similarity 0.8 shares one with probability 0.99997
+LARGE = 50  # nodes above which a bucket's pairs are found by way of its pivot
 _word_ids: dict[bytes, int] = {}
 
 
@@ -122,6 +126,35 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "set_key binary, members binary")
 
 
+def _fetched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+def against_pivots(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For pairs of pivot a and node b: their sizes, common shingles, whether linked; for large ones the shingles only b has."""
+    names = ["a", "b", "n_b", "common", "linked", "novel"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, commons, linked, novel = [], [], [], []
+            for large, x, y in zip(*batch.columns[2:], strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                own = np.isin(y, x, assume_unique=True, invert=True)
+                common = len(y) - int(own.sum())
+                sizes.append(len(y))
+                commons.append(common)
+                linked.append(100 * common >= percent * (len(x) + len(y) - common))
+                novel.append(y[own].astype(np.int64) if large.as_py() else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(commons, pa.int64()), pa.array(linked, pa.bool_()), pa.array(novel, pa.list_(pa.int64()))], names=names
+            )
+
+    schema = "a long, b long, n_b long, common long, linked boolean, novel array<long>"
+    return _fetched(stars, sets).select("a", "b", "large", "x", "y").mapInArrow(run, schema)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets satisfy 100 * |intersection| >= percent * |union|."""
 
@@ -132,12 +165,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
-            keep = np.flatnonzero(ok)
-            yield batch.select([0, 1]).take(pa.array(keep))
+            yield batch.select([0, 1]).take(pa.array(np.flatnonzero(ok)))
 
-    left = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return _fetched(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def apart(tested: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b, n_a, n_b) of nodes compared with one large pivot, of different components, that may be linked.
+
+    A link needs an overlap of percent / (100 + percent) of both sizes. Of it, at most
+    min(common, common) can lie in the pivot. If that suffices, the pair is a candidate;
+    if not, the two share shingles the pivot lacks: at least percent of a set less its
+    own common part, so one of them is among the rarest of its novel shingles (those
+    left when one fewer than that many of the most frequent are taken off).
+    """
+    known = tested.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+    several = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
+    group = scratch.table(known.join(several, "a", "left_semi").select(F.col("a").alias("pivot"), "b", "n_b", "common", "component", "novel"), "apart")
+    sides = [
+        group.select("pivot", F.col("b").alias(x), F.col("n_b").alias(f"n_{x}"), F.col("common").alias(f"in_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab"
+    ]
+    needs = f"a < b AND c_a <> c_b AND (100 + {percent}) * least(in_a, in_b) >= {percent} * (n_a + n_b)"
+    pairs = sides[0].join(sides[1], "pivot").where(needs).select("a", "b", "n_a", "n_b")
+
+    novel = group.select("pivot", "b", "n_b", "common", "component", F.explode("novel").alias("shingle"))
+    counts = novel.groupBy("pivot", "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rank = F.row_number().over(W.partitionBy("pivot", "b").orderBy("holders", "shingle"))
+    least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n_b") / 100) - F.col("common"))
+    held = novel.join(counts, ["pivot", "shingle"]).withColumn("rank", rank)
+    held = held.where((F.col("rank") <= F.col("n_b") - F.col("common") - least + 1) & (F.col("low") != F.col("high")))
+    held = scratch.table(held.select("pivot", "shingle", "b", "n_b", "component"), "rare")
+    x, y = (held.select("pivot", "shingle", F.col("b").alias(x), F.col("n_b").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
+    sharing = x.join(y, ["pivot", "shingle"]).where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return pairs.union(sharing.select("a", "b", "n_a", "n_b"))
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
@@ -159,7 +219,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, pivots: int = 6
+    docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, large: int = LARGE
 ) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
@@ -196,39 +256,26 @@ def near_duplicates(
     by_key = full_sets(wanted, width).join(named.select("set_key", "node"), "set_key").select("node", "members")
     sets = scratch.table(by_key.groupBy("node").agg(F.first("members").alias("members")) if _repeated(named) else by_key, "sets")
 
-    links, labels = None, None
-    active, used = members, None
-    for turn in range(pivots + 1):
-        if labels is not None:
-            active = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            mixed_keys = active.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-            active = scratch.table(active.join(mixed_keys, "key", "left_semi"), f"active_{turn}")
-        else:
-            active = active.withColumn("component", F.col("node"))
-        fresh = active if used is None else active.join(used, ["key", "node"], "left_anti")
-        if turn and (turn == pivots or _few_pairs(active, nodes)):
-            x = fresh.select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            y = fresh.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = x.join(y, "key").where("a < b AND c_a <> c_b")
-            last = True
-        else:
-            pivot = fresh.groupBy("key").agg(F.max("rank").alias("rank"), F.max_by("n", "rank").alias("n_a"), F.max_by("component", "rank").alias("c_a"))
-            pivot = scratch.table(pivot.select("key", (-F.col("rank.order")).alias("a"), "n_a", "c_a"), f"pivots_{turn}")
-            now = pivot.select("key", F.col("a").alias("node"))
-            used = now if used is None else used.union(now)
-            others = fresh.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = others.join(pivot, "key").where("a <> b AND c_a <> c_b")
-            last = False
-        pairs = pairs.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        found = scratch.table(confirmed(pairs, sets, percent), f"links_{turn}")
-        scratch.drop(f"active_{turn}")
-        links = found if links is None else links.union(found)
-        if turn == 0 or not found.isEmpty():
-            labels = components(scratch, links, f"labels_{turn}")
-        if last or not _mixed(members, labels, used):
-            break
-    scratch.drop("sets", "ranked", "named")
+    pivots = scratch.table(members.groupBy("key").agg(F.max("rank").alias("rank"), F.max_by("n", "rank").alias("n_a"), F.count("*").alias("size")), "pivots")
+    pivots = pivots.select("key", (-F.col("rank.order")).alias("a"), "n_a", (F.col("size") > large).alias("large"))
+    near = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
+    stars = members.join(pivots, "key").where((F.col("a") != F.col("node")) & (F.col("large") | near))
+    stars = stars.groupBy("a", F.col("node").alias("b")).agg(F.max("large").alias("large"))
+    tested = scratch.table(against_pivots(stars, sets, percent), "tested")
+    links = tested.where("linked").select("a", "b")
+    labels = components(scratch, links, "labels_0")
+
+    placed = members.join(pivots.where("NOT large").select("key"), "key", "left_semi").join(labels, "node", "left")
+    placed = placed.select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2")
+    placed = scratch.table(placed.join(several.select("key"), "key", "left_semi"), "placed")
+    x, y = (placed.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
+    pairs = x.join(y, "key").where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b")
+    pairs = pairs.union(apart(tested.where("novel IS NOT NULL"), labels, scratch, percent)).select("a", "b").distinct()
+    found = scratch.table(confirmed(pairs, sets, percent), "links")
+    if not found.isEmpty():
+        labels = components(scratch, links.union(found), "labels_1")
+    scratch.drop("sets", "ranked", "named", "placed", "apart", "rare")
 
     joined = nodes.select("set_key", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = scratch.table(joined.select("set_key", "component", "least_id"), "joined")
@@ -248,18 +295,5 @@ def _repeated(named: DataFrame) -> bool:
     return counts["all"] != counts["ids"]
 
 
-def _few_pairs(active: DataFrame, nodes: DataFrame) -> bool:
-    """Whether the pairs of different components, over all buckets, are no more than the nodes."""
-    sizes = active.groupBy("key", "component").count().groupBy("key").agg(F.sum("count").alias("s"), F.sum(F.col("count") * F.col("count")).alias("q"))
-    pairs = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-    return pairs <= nodes.count()
-
-
-def _mixed(members: DataFrame, labels: DataFrame, used: DataFrame) -> bool:
-    """Whether some bucket holds nodes of different components."""
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return not named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").isEmpty()
-
-
 def op10_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), width=2)
