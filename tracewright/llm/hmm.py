@@ -92,6 +92,23 @@ class Lexicon:
         return {w: i for i, w in enumerate(self.words)}
 
 
+def most_frequent(words: DataFrame, most: int) -> list:
+    """The words above the lowest count at which they are no more than most, by descending count, then word.
+
+    Only a histogram of counts by magnitude and the chosen words reach the driver, however many partitions there are.
+    """
+    size = F.floor(F.log2(F.col("count")) * 16)
+    left, least = most, None
+    for row in sorted(words.groupBy(size.alias("size")).count().collect(), reverse=True):  # 16 rows for each doubling
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["size"]
+    if least is None:
+        return []
+    return sorted(words.where(size >= least).collect(), key=lambda r: (-r["count"], bytes(r["word"])))
+
+
 def encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
     """One row per document: its symbols, the sums over dictionary words, and the words outside it."""
     schema = "row long, doc_id long, held_out boolean, warm boolean, n_tokens long, n_known long, base double, inside double, symbols binary, tail array<binary>"
@@ -254,14 +271,15 @@ def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int
     in_bucket = F.crc32("word") % s.buckets
     total, distinct = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     real = words.where(F.length("word") > 0)
-    top = real.orderBy(F.desc("count"), "word").limit(s.dictionary).collect()  # bounded by settings
+    top = most_frequent(real, s.dictionary)
     ends = words.where(F.length("word") == 0).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    least = top[s.head - 1] if len(top) >= s.head else None
+    least = top[min(s.head, len(top)) - 1] if top else None
     mass, kinds = np.zeros(s.buckets), np.zeros(s.buckets)
-    if least:  # words after the head in the order of the dictionary
+    after = F.lit(True)  # words after the head, in the order of the dictionary
+    if least:
         after = (F.col("count") < least["count"]) | ((F.col("count") == least["count"]) & (F.col("word") > F.lit(least["word"])))
-        for row in real.where(after).groupBy(in_bucket.alias("b")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
-            mass[row["b"]], kinds[row["b"]] = row["n"], row["v"]
+    for row in real.where(after).groupBy(in_bucket.alias("b")).agg(F.sum("count").alias("n"), F.count("*").alias("v")).collect():
+        mass[row["b"]], kinds[row["b"]] = row["n"], row["v"]
     lexicon = Lexicon(s, [b"", *(bytes(r["word"]) for r in top)], [ends, *(r["count"] for r in top)], total, distinct, mass, kinds)
     shared = spark.sparkContext.broadcast(lexicon)
     encoded = scratch.table(encode(rows, shared, s), "encoded", partition_by="warm")
