@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import tables
+
+QUERIES = dict(tables.QUERIES)
+SQL = dict(tables.SQL)
