@@ -73,3 +73,16 @@ def text_or_empty(column: str = "text") -> Column:
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo folds; a null id falls in no fold (-1)."""
     return F.coalesce(F.crc32(F.col(column).cast("string")) % folds, F.lit(-1))
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int, seed: int) -> DataFrame:
+    """At most most rows, chosen by a hash of key: a share that gives about as many, then the cut.
+
+    The share is applied where the rows are read, so the sort that makes the cut gets about
+    most rows in all, not that many from each partition.
+    """
+    total = max(1, rows.count())
+    scale = 2**31
+    share = min(scale, -(-most * scale // total))
+    order = F.xxhash64(F.col(key), F.lit(seed))
+    return rows.where(F.pmod(order, F.lit(scale)) < share).orderBy(order, key).limit(most)

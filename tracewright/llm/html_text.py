@@ -23,7 +23,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_or_empty
+from .common import bounded_sample, load, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template svg iframe".split())
@@ -248,7 +248,7 @@ class Markup:
 
 def train(pages: DataFrame, settings: Settings = Settings()):
     s = settings
-    sample = pages.select("page_id", "html").orderBy(F.xxhash64("page_id", F.lit(s.seed)), "page_id").limit(s.pages)
+    sample = bounded_sample(pages.select("page_id", "html"), "page_id", s.pages, s.seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
