@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, load, text_or_empty
+from .common import bounded_sample, fold, load, text_or_empty
 
 CLASSES = 10
 THRESHOLD = 0.3
@@ -139,9 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, training: Column, settings: Settin
     """
     s = settings
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("double").alias("quality"))
-    order = F.xxhash64("doc_id", F.lit(s.seed))
-    chosen = known.where(training).orderBy(order, "doc_id").limit(s.labelled)
-    others = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(s.seed + 1)), "doc_id").limit(s.unlabelled)
+    chosen = bounded_sample(known.where(training), "doc_id", s.labelled, s.seed)
+    others = bounded_sample(docs.where(training & F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", s.unlabelled, s.seed + 1)
     sample = chosen.select("doc_id", "quality", F.lit(0).alias("u")).union(others.select("doc_id", F.lit(None).cast("double"), F.lit(1)))
     sample = sample.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("u").alias("u"))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), "doc_id")  # bounded by settings
