@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codetext, logs, names
@@ -99,12 +99,15 @@ def fix_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("any_fix_percent", "regression_percent")})
 
 
-STATUS = F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "click", "timeout_repaired").when(F.col("event_type") == "view", "no_repair").otherwise("skipped")
+def status() -> Column:
+    return F.when(F.col("event_type") == "purchase", "success").when(F.col("event_type") == "click", "timeout_repaired").when(F.col("event_type") == "view", "no_repair").otherwise("skipped")
+
+
 STATUS_SQL = "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'click' THEN 'timeout_repaired' WHEN 'view' THEN 'no_repair' ELSE 'skipped' END"
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("engine"), STATUS.alias("status"))
+    rows = load(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("engine"), status().alias("status"))
     groups = {"repaired": ("success", "timeout_repaired"), "unrepaired": ("no_repair", "timeout"), "set_aside": ("error", "build_failed", "skipped")}
     return results.status_counts(rows, ["engine"], groups).withColumn("fix_percent", F.round("fix_percent", 6))
 
@@ -112,7 +115,7 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_results(spark: SparkSession, sf_dir: str, odd: int) -> DataFrame:
     """Results of users as bugs from events whose id has a parity: the status of the last event."""
     rows = load(spark, sf_dir, "events").where(F.col("event_id") % 2 == odd)
-    return rows.groupBy(F.col("user_id").alias("bug_id")).agg(F.max_by(STATUS, "event_id").alias("status"), F.max("event_id").alias("event_id"))
+    return rows.groupBy(F.col("user_id").alias("bug_id")).agg(F.max_by(status(), "event_id").alias("status"), F.max("event_id").alias("event_id"))
 
 
 LATEST_SQL = f"SELECT user_id AS bug_id, arg_max({STATUS_SQL}, event_id) AS status, max(event_id) AS event_id FROM events WHERE event_id %% 2 = %d GROUP BY user_id"
