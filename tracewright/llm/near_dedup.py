@@ -32,6 +32,7 @@ from .common import Scratch, load, text_or_empty
 PERMUTATIONS = 40  # 80 signature values
 ROWS = 4  # values in a band: 20 bands; a pair of similarity 0.8 shares one with probability 0.99997
 LARGE = 50  # nodes above which a bucket's pairs are found by way of its pivot
+BIT_WORDS = 4  # 64-bit words of a bitmap that bounds the size of a union from below
 _word_ids: dict[bytes, int] = {}
 
 
@@ -132,26 +133,36 @@ def _fetched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """BIT_WORDS words with the bit of each shingle set; a union has at least as many shingles as its bitmap has bits."""
+    bits = np.zeros(64 * BIT_WORDS, np.uint8)
+    bits[shingles % np.uint64(len(bits))] = 1
+    return np.packbits(bits, bitorder="little").view("<i8")
+
+
 def against_pivots(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For pairs of pivot a and node b: their sizes, common shingles, whether linked; for large ones the shingles only b has."""
-    names = ["a", "b", "n_b", "common", "linked", "novel"]
+    """For pairs of pivot a and node b: their sizes, common shingles, whether linked; for large ones the shingles only b has, and the bitmaps of those it lacks and of those only it has."""
+    names = ["a", "b", "n_a", "n_b", "common", "linked", "novel", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, commons, linked, novel = [], [], [], []
+            pivot_sizes, sizes, commons, linked, novel, bits = [], [], [], [], [], []
             for large, x, y in zip(*batch.columns[2:], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 own = np.isin(y, x, assume_unique=True, invert=True)
                 common = len(y) - int(own.sum())
+                pivot_sizes.append(len(x))
                 sizes.append(len(y))
                 commons.append(common)
                 linked.append(100 * common >= percent * (len(x) + len(y) - common))
-                novel.append(y[own].astype(np.int64) if large.as_py() else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(commons, pa.int64()), pa.array(linked, pa.bool_()), pa.array(novel, pa.list_(pa.int64()))], names=names
-            )
-
-    schema = "a long, b long, n_b long, common long, linked boolean, novel array<long>"
+                wanted = large.as_py()
+                novel.append(y[own].astype(np.int64) if wanted else None)
+                bits.append(np.concatenate([bitmap(np.setdiff1d(x, y, assume_unique=True)), bitmap(y[own])]) if wanted else None)
+            numbers = [pa.array(x, pa.int64()) for x in (pivot_sizes, sizes, commons)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (novel, bits)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(linked, pa.bool_()), *lists], names=names)
+
+    schema = "a long, b long, n_a long, n_b long, common long, linked boolean, novel array<long>, bits array<long>"
     return _fetched(stars, sets).select("a", "b", "large", "x", "y").mapInArrow(run, schema)
 
 
@@ -178,25 +189,37 @@ def apart(tested: DataFrame, labels: DataFrame, scratch: Scratch, percent: int)
     if not, the two share shingles the pivot lacks: at least percent of a set less its
     own common part, so one of them is among the rarest of its novel shingles (those
     left when one fewer than that many of the most frequent are taken off).
+
+    Both kinds of pair must pass a bound on their overlap, which no link fails: in the pivot
+    the two share what it has less the union of what they lack, beyond it the sum of
+    their novel shingles less the union, and bitmaps bound both unions from below.
     """
     known = tested.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     several = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
-    group = scratch.table(known.join(several, "a", "left_semi").select(F.col("a").alias("pivot"), "b", "n_b", "common", "component", "novel"), "apart")
-    sides = [
-        group.select("pivot", F.col("b").alias(x), F.col("n_b").alias(f"n_{x}"), F.col("common").alias(f"in_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab"
-    ]
-    needs = f"a < b AND c_a <> c_b AND (100 + {percent}) * least(in_a, in_b) >= {percent} * (n_a + n_b)"
-    pairs = sides[0].join(sides[1], "pivot").where(needs).select("a", "b", "n_a", "n_b")
-
-    novel = group.select("pivot", "b", "n_b", "common", "component", F.explode("novel").alias("shingle"))
+    group = scratch.table(known.join(several, "a", "left_semi").select(F.col("a").alias("pivot"), F.col("n_a").alias("n_pivot"), "b", "n_b", "common", "component", "novel", "bits"), "apart")
+
+    def side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
+        own = {"b": x, "n_b": f"n_{x}", "common": f"in_{x}", "component": f"c_{x}", "bits": f"bits_{x}"}
+        return rows.select(*keys, *([] if x == "b" else ["n_pivot"]), *(F.col(c).alias(n) for c, n in own.items()))
+
+    def union_size(first: int) -> str:
+        return " + ".join(f"bit_count(bits_a[{k}] | bits_b[{k}])" for k in range(first, first + BIT_WORDS))
+
+    inside = f"least(in_a, in_b, n_pivot - ({union_size(0)}))"
+    beyond = f"least(n_a - in_a, n_b - in_b, n_a - in_a + n_b - in_b - ({union_size(BIT_WORDS)}))"
+    possible = f"a < b AND c_a <> c_b AND (100 + {percent}) * ({inside} + {beyond}) >= {percent} * (n_a + n_b)"
+    covered = f"(100 + {percent}) * least(in_a, in_b) >= {percent} * (n_a + n_b)"
+    pairs = side(group, "a", "pivot").join(side(group, "b", "pivot"), "pivot").where(f"{possible} AND {covered}").select("a", "b", "n_a", "n_b")
+
+    novel = group.select("pivot", "n_pivot", "b", "n_b", "common", "component", "bits", F.explode("novel").alias("shingle"))
     counts = novel.groupBy("pivot", "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
     rank = F.row_number().over(W.partitionBy("pivot", "b").orderBy("holders", "shingle"))
     least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n_b") / 100) - F.col("common"))
     held = novel.join(counts, ["pivot", "shingle"]).withColumn("rank", rank)
     held = held.where((F.col("rank") <= F.col("n_b") - F.col("common") - least + 1) & (F.col("low") != F.col("high")))
-    held = scratch.table(held.select("pivot", "shingle", "b", "n_b", "component"), "rare")
-    x, y = (held.select("pivot", "shingle", F.col("b").alias(x), F.col("n_b").alias(f"n_{x}"), F.col("component").alias(f"c_{x}")) for x in "ab")
-    sharing = x.join(y, ["pivot", "shingle"]).where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    held = scratch.table(held.select("pivot", "shingle", "n_pivot", "b", "n_b", "common", "component", "bits"), "rare")
+    sharing = side(held, "a", "pivot", "shingle").join(side(held, "b", "pivot", "shingle"), ["pivot", "shingle"])
+    sharing = sharing.where(f"{possible} AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return pairs.union(sharing.select("a", "b", "n_a", "n_b"))
 
 
