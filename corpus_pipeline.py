@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import exact_dedup, mixing, near_dedup, packing, quality
-from tracewright.llm.common import Scratch, load
+from tracewright.llm.common import Scratch, load, text_or_empty
 
+ROW = "pipeline_row"
 
-def keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One row of docs for each doc_id of ids; the text moves once. Rows without an id, and repeats, count once."""
-    kept = docs.join(ids.distinct(), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    single = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return kept if single else kept.dropDuplicates(["doc_id"])
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, written so that it stays the same: ids may be null or repeated."""
+    return Scratch(docs.sparkSession).table(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
+
+
+def first_of_each(rows: DataFrame, groups: DataFrame, order: Column) -> DataFrame:
+    """The row of rows, as keyed() gives them, that is the greatest by order in each group; groups: ROW, group."""
+    kept = groups.join(rows.select(ROW, "doc_id"), ROW).groupBy("group").agg(F.max_by(ROW, F.struct(order, F.col(ROW))).alias(ROW))
+    return rows.join(kept.select(ROW), ROW, "left_semi").drop(ROW)
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,18 +29,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts."""
-    return keep(docs, exact_dedup.exact_duplicates(docs).where("kept").select("doc_id"))
+    """One document of each group of identical texts: that of the largest id, one without an id where none has one."""
+    rows = keyed(docs)
+    groups = exact_dedup.exact_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    return first_of_each(rows, groups.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), F.col("doc_id")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: word 5-shingles, similarity 0.8."""
-    return keep(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+    """One document of each group of near duplicates, that of the smallest id: word 5-shingles, similarity 0.8."""
+    rows = keyed(docs)
+    groups = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    return first_of_each(rows, groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), -F.col("doc_id")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents with the target mix of sources, languages and topics."""
-    return keep(docs, mixing.mix(docs).where("sampled").select("doc_id"))
+    """A sample of documents with the target mix of sources, languages and topics. Each row is drawn by all that it holds."""
+    content = F.concat(F.sha2(text_or_empty(), 256), F.to_json(F.struct("doc_id", "source", "lang")))
+    sampled = mixing.mix(docs.select(content.alias("doc_id"), "text", "source", "lang")).where("sampled")
+    rows = docs.withColumn(ROW, content)
+    return rows.join(sampled.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_semi").select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,3 +25,24 @@ def test_stages(spark):
 def test_empty(spark):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, load(spark, DIR, "documents").where("false"), DIR).count() == 0, name
+
+
+def test_stages_decide_by_row(spark):
+    """Ids that are null or shared by different texts lose nothing, and no rejected row stands in for a kept one."""
+    long = [" ".join(f"w{i}x{k}" for k in range(80)) for i in range(40)]
+    rows = [(None if i % 2 else 5, t, "en", "s", 0) for i, t in enumerate(long)]
+    rows += [(2, "a " + long[0], "en", "s", 0), (5, "b " + long[1], "en", "s", 0), (None, "c " + long[3], "en", "s", 0), rows[0], rows[1]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.exact(spark, docs, DIR)
+    assert sorted(r["text"] for r in kept.collect()) == sorted({r[1] for r in rows}) and kept.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, kept, DIR).collect()]
+    assert len(kept) == len(long)
+    assert (2, "a " + long[0]) in kept and (5, "b " + long[1]) in kept and {t for _, t in kept} >= {long[2], *long[4:]}
+
+
+def test_mixing_draws_rows_without_ids_apart(spark):
+    rows = [(None if i % 3 else 7, f"word {i} here", "ab"[i % 2], "s" if i % 5 else "t", 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {tuple(r) for r in corpus_pipeline.mixed(spark, docs, DIR).collect()}
+    for doc_id in (None, 7):
+        assert 0.2 < sum(r[0] == doc_id for r in kept) / sum(r[0] == doc_id for r in rows) < 0.95
