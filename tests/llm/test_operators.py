@@ -144,6 +144,18 @@ def test_ids_equal_those_of_the_tokenizers_library():
         assert encode(t) == library.encode(t, add_special_tokens=False).ids
 
 
+def test_packed_ids_know_the_added_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n\n y", "<|endoftext|", "<|fim_prefix|> <| endoftext |>", "plain"]
+    got = {r["doc_id"]: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
+        assert (got[i]["doc_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+
+
 def test_plan_uses_up_the_histogram():
     local = np.random.default_rng(1)
     for shape in (local.integers(0, 50, 1024), np.eye(1, 1024, 600, dtype=int)[0] * 1000, local.integers(0, 2, 1024)):

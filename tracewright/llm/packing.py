@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from .common import Scratch, load, text_or_empty
 
 WINDOW = 1024
+#: Tokens that the vocabulary has besides the ranks; they are found inside texts too.
+ADDED = {"<|endoftext|>": 50256}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
 _encoders: dict[str, object] = {}
 
@@ -37,14 +39,14 @@ def tokenizer_path() -> str:
 
 
 def encoder(path: str):
-    """The byte-level BPE of the vocabulary file; kept for the life of the Python worker."""
+    """The byte-level BPE of the vocabulary file and its one added token; kept for the life of the Python worker."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _encoders[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
     return _encoders[path]
 
 
@@ -59,7 +61,7 @@ def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
             ids_column, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 doc_id = ids_column[i].as_py()
-                ids = np.append(encode(texts[i].as_py(), disallowed_special=()).astype("<u4"), np.uint32(0))
+                ids = np.append(encode(texts[i].as_py(), allowed_special="all").astype("<u4"), np.uint32(0))
                 raw, total = memoryview(ids.tobytes()), len(ids)
                 for start in range(0, total, window):
                     length = min(window, total - start)
