@@ -9,6 +9,8 @@ from tracewright.llm import exact_dedup, mixing, near_dedup, packing, quality
 from tracewright.llm.common import Scratch, load, text_or_empty
 
 ROW = "pipeline_row"
+#: Of the tokens that mixing gets, the share it keeps.
+MIX_SHARE = 0.5
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -43,9 +45,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents with the target mix of sources, languages and topics. Each row is drawn by all that it holds."""
+    """A sample of MIX_SHARE of the tokens with the target mix of sources, languages and topics. Each row is drawn by all that it holds."""
     content = F.concat(F.sha2(text_or_empty(), 256), F.to_json(F.struct("doc_id", "source", "lang")))
-    sampled = mixing.mix(docs.select(content.alias("doc_id"), "text", "source", "lang")).where("sampled")
+    sampled = mixing.mix(docs.select(content.alias("doc_id"), "text", "source", "lang"), share=MIX_SHARE).where("sampled")
     rows = docs.withColumn(ROW, content)
     return rows.join(sampled.select(F.col("doc_id").alias(ROW)).distinct(), ROW, "left_semi").select(docs.columns)
 

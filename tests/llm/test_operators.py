@@ -311,3 +311,15 @@ def test_mixing(spark, docs, empty):
     for m, shares in want.items():
         for value, share in shares.items():
             assert math.isclose(sum(r["weight"] for r in rows if r[m] == value), share, abs_tol=1e-6)
+
+
+def test_a_rare_cell_does_not_shrink_the_mix(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    rows = [(i, "word " * (40 + i % 7), "en" if i % 3 else "de", "s" if i % 2 else "t") for i in range(400)]
+    for extra in ([], [(1000, "word " * 20, None, "s")], [(1000, "word " * 20, "en", "rare"), (1001, "word " * 3, "xx", "yy"), (1002, None, "zz", "s")]):
+        got = mixing.mix(spark.createDataFrame(rows + extra, schema), share=0.5).collect()
+        assert len(got) == len(rows + extra)
+        total, kept = sum(r["n_tokens"] for r in got), sum(r["n_tokens"] * r["probability"] for r in got)
+        assert math.isclose(kept, total / 2, rel_tol=1e-6)
+        assert all(r["probability"] == (1 if r["n_tokens"] else 0) for r in got if r["doc_id"] >= 1000)
+    assert {r["probability"] for r in mixing.mix(spark.createDataFrame(rows, schema), share=1.0).collect()} == {1.0}

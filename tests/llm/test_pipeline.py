@@ -46,3 +46,9 @@ def test_mixing_draws_rows_without_ids_apart(spark):
     kept = {tuple(r) for r in corpus_pipeline.mixed(spark, docs, DIR).collect()}
     for doc_id in (None, 7):
         assert 0.2 < sum(r[0] == doc_id for r in kept) / sum(r[0] == doc_id for r in rows) < 0.95
+
+
+def test_mixing_keeps_its_share_beside_a_rare_cell(spark):
+    rows = [(i, f"word {i} here " * 10, "en", "s", 0) for i in range(600)] + [(1000, "few words", None, "rare", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert 0.4 < corpus_pipeline.mixed(spark, docs, DIR).count() / len(rows) < 0.6

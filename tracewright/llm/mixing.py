@@ -5,6 +5,11 @@ weights in turn so that each margin meets its target shares; a document is then
 with the probability its cell's weight per token calls for, by a hash of its id, so the
 kept tokens have the target mix in expectation. All steps after the first run over
 cells, whose number does not depend on the number of documents.
+
+Without a share to keep, the scale is that of the registered SQL: the cell of the
+largest weight per token is kept whole, so one rare cell decides how much of the rest
+is. With a share, so many tokens are kept: raking goes on with each cell bounded by the
+tokens it has, and the cells left are scaled up until the kept tokens add to the share.
 """
 
 from __future__ import annotations
@@ -39,19 +44,47 @@ def topic(text: Column) -> Column:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
     """cells (the margins' columns, tokens) with weight: in proportion to tokens, each margin as in targets (margin, target share).
 
     Margins are met in turn, rounds times over; shares of values that no cell has are left out.
+    With share, weights are tokens to keep, that share of all, and no cell's is more than it has.
     """
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
+    if share is not None:
+        out = out.withColumn("budget", F.sum("tokens").over(W.partitionBy(F.lit(1))) * F.lit(share))
     for margin, target in targets.items():
         out = out.join(target.select(margin, F.col("target").alias(f"target_{margin}")), margin)
     for _ in range(rounds):
         for margin in targets:
             total = F.sum("weight").over(W.partitionBy(margin))
-            out = out.withColumn("weight", F.when(total > 0, F.col("weight") * F.col(f"target_{margin}") / total).otherwise(0.0))
-    return out.drop(*(f"target_{m}" for m in targets))
+            met = F.col("weight") * F.col(f"target_{margin}") / total
+            if share is not None:
+                met = F.least(met * F.col("budget"), F.col("tokens").cast("double"))
+            out = out.withColumn("weight", F.when(total > 0, met).otherwise(0.0))
+    return out.drop("budget", *(f"target_{m}" for m in targets))
+
+
+def filled(weighed: DataFrame, share: float) -> DataFrame:
+    """weighed (margins, tokens, weight, ratio) with probability = min(1, c * ratio), c such that tokens * probability add to share of all tokens.
+
+    With cells in ascending order of ratio, c follows from the first k cells if all others
+    are kept whole; it is right for the largest k at which the k-th is not above 1. Where no k is, all cells are whole.
+    """
+    rising = W.partitionBy(F.lit(1)).orderBy("ratio", *MARGINS)
+    whole = F.sum("tokens").over(W.partitionBy(F.lit(1)))
+    steps = weighed.where("ratio > 0").select("ratio", "tokens", F.sum("weight").over(rising).alias("scaled"), (whole - F.sum("tokens").over(rising)).alias("above"))
+    budget = weighed.agg((F.sum("tokens") * F.lit(share)).alias("budget"))
+    steps = steps.crossJoin(F.broadcast(budget)).withColumn("c", (F.col("budget") - F.col("above")) / F.col("scaled"))  # budget is one row
+    scale = steps.where("c > 0 AND c * ratio <= 1 + 1e-12").agg(F.max_by("c", F.struct("ratio", "scaled")).alias("c"))
+    probability = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.coalesce("c", F.lit(float("inf"))) * F.col("ratio"))).otherwise(0.0)
+    return weighed.crossJoin(F.broadcast(scale)).select(*MARGINS, probability.alias("probability"))
+
+
+def to_top(weighed: DataFrame) -> DataFrame:
+    """weighed with probability = ratio over the largest ratio, to six places."""
+    top = weighed.agg(F.max("ratio").alias("top"))
+    return weighed.crossJoin(F.broadcast(top)).select(*MARGINS, F.round(F.coalesce(F.try_divide("ratio", "top"), F.lit(0.0)), 6).alias("probability"))  # top is one row
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
@@ -61,10 +94,14 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return sums.withColumn("wanted", wanted).withColumn("target", F.coalesce(F.try_divide("wanted", F.sum("wanted").over(W.partitionBy(F.lit(1)))), F.lit(0.0))).select(margin, "target")
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, seed: str = SEED) -> DataFrame:
+def mix(
+    docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: dict[str, float] = POWERS, rounds: int = ROUNDS, seed: str = SEED, share: float | None = None
+) -> DataFrame:
     """One row per row of docs: doc_id, source, lang, topic, n_tokens, probability, sampled.
 
-    probability is in proportion to weight per token of the document's cell, the largest being 1.
+    probability is in proportion to weight per token of the document's cell, the largest being 1;
+    with share (over 0, 1 at most) such that share of all tokens is kept in expectation, cells that would
+    need more than they have being kept whole.
 
     - null source, language: "unknown"; null texts count as empty; documents without tokens
       have no part in the mix: probability 0 unless their cell has tokens;
@@ -77,14 +114,9 @@ def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, powers: di
     rows = scratch.table(docs.select("doc_id", unknown("source"), unknown("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens")), "rows")
     cells = scratch.table(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     targets = targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}
-    weighed = scratch.table(rake(cells, targets, rounds), "weights").withColumn("ratio", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
-    top = weighed.agg(F.max("ratio").alias("top"))
-    calibrated = scratch.table(
-        weighed.crossJoin(F.broadcast(top)).select(*MARGINS, F.coalesce(F.try_divide("ratio", "top"), F.lit(0.0)).alias("probability")), "calibrated"
-    )  # top is one row
-    return rows.join(calibrated, list(MARGINS)).select(
-        "doc_id", *MARGINS, "n_tokens", F.round("probability", 6).alias("probability"), (draw(seed) < F.round("probability", 6)).alias("sampled")
-    )
+    weighed = scratch.table(rake(cells, targets, rounds, share), "weights").withColumn("ratio", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
+    calibrated = scratch.table(to_top(weighed) if share is None else filled(weighed, share), "calibrated")
+    return rows.join(calibrated, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "probability", (draw(seed) < F.col("probability")).alias("sampled"))
 
 
 def draw(seed: str) -> Column:
