@@ -267,6 +267,25 @@ def test_html(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def html_texts(spark, *sources):
+    """Texts of pages among pages of one template, from which the trees learn."""
+    filler = "".join(f"<p>Sentence {i}, with some words in it, and then a few more. It goes on.</p>" for i in range(4))
+    template = '<html><body><nav><ul><li><a href="/">menu</a></li></ul></nav><div class="ad">buy now</div><article><h1>Head</h1>%s</article><footer>foot</footer></body></html>'
+    pages = [(i, "u", template % filler) for i in range(40)] + [(100 + i, "u", x) for i, x in enumerate(sources)]
+    got = html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    return [r["text"] for r in got.where("page_id >= 100").orderBy("page_id").collect()]
+
+
+def test_text_outside_blocks_is_scored(spark):
+    words = "A sentence, with some words in it, and then a few more. It goes on and on."
+    got = html_texts(spark, "Some <b>bold</b> article text", "<b>Only</b> inline", "plain", " <!-- c --> \n")
+    assert got == ["Some bold article text", "Only inline", "plain", ""]
+    fragment = spark.createDataFrame([(1, "u", f"{words}<p>{words}</p>{words}<p>{words}</p>")], "page_id long, url string, html string")
+    assert html_text.extract(fragment).first()["text"] == "\n".join([words] * 4)  # by the markup's features: nothing to learn from
+    page = html_text.Page("before<p>one</p>between<html><body>in</body></html>after")
+    assert [text for _, text in page.runs] == ["before", "one", "between", "in", "after"] and all(page.tags[node] in ("body", "p") for node, _ in page.runs)
+
+
 def test_personal_data(spark, empty):
     parts = ["a.b@c.de", "x@y", "@", "1.2.3.4", "999.1.1.1", "4111 1111 1111 1111", "4111 1111 1111 1112", "+1 (017) 555-7713", "+12", "1.2.3", "...", "é", "a@b.c.d@e.f", "1-2-3", "+49 30.1234567"]
     texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(8))) + rng.choice(["", "."]) for _ in range(200)] + ["a" * 50_000, "1" * 50_000, "write a.b (at) c.de", None]

@@ -59,21 +59,28 @@ MARKUP = [FEATURES.index(x) for x in ("never", "article", "furniture", "furnitur
 
 
 class Page:
-    """Elements in document order (tag, parent, attribute tokens) and the text runs of blocks: (element, text)."""
+    """Elements in document order (tag, parent, attribute tokens) and the text runs of blocks: (element, text).
+
+    Whatever stands outside html, head and body belongs to an implied body.
+    """
 
     def __init__(self, source: str):
         self.tags, self.parents, self.tokens = ["#root"], [-1], [frozenset()]
         self.link_chars = [0]
         self.runs: list[tuple[int, str]] = []
         self._held: list[str] = []
+        self.implied: set[int] = set()
         stack, at, links = [0], 0, 0
         block = 0
         size = len(source)
         while at < size:
             match = TAG.search(source, at)
             if match is None:
+                block = self._body(stack, block, source[at:])
                 self._text(source[at:], links, block)
                 break
+            if len(stack) == 1:
+                block = self._body(stack, block, source[at : match.start()])
             self._text(source[at : match.start()], links, block)
             at = match.end()
             closing, name, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
@@ -106,6 +113,14 @@ class Page:
                 links -= self._pop(stack, {"p"}, {"#root", "button", "td", "th", "li", "div", "article", "section", "table"})
             if name in CLOSES:
                 links -= self._pop(stack, *CLOSES[name])
+            if name in ("html", "head", "body"):
+                if stack[-1] in self.implied:
+                    self._flush(block)
+                    stack.pop()
+            else:
+                block = self._body(stack, block, name)
+            if self.tags[stack[-1]] == "head":
+                stack.pop()
             self.parents.append(stack[-1])
             self.tags.append(name)
             found = ATTRIBUTE.findall(attributes) if attributes and "=" in attributes else ()
@@ -116,6 +131,18 @@ class Page:
             block = self._block(stack) if is_block else block
         self._flush(block)
 
+    def _body(self, stack, block, what: str) -> int:
+        """Opens an implied body for what (text, a tag's name) if nothing is open; the block that is open then."""
+        if len(stack) > 1 or not what.strip():
+            return block
+        self.parents.append(0)
+        self.tags.append("body")
+        self.tokens.append(frozenset())
+        self.link_chars.append(0)
+        stack.append(len(self.tags) - 1)
+        self.implied.add(stack[-1])
+        return stack[-1]
+
     def _open(self, stack):
         return {self.tags[i] for i in stack}
 
@@ -274,7 +301,12 @@ def train(pages: DataFrame, settings: Settings = Settings()):
 
 
 def decode(page: Page, nodes: list[int], margins: np.ndarray) -> set[int]:
-    """The kept elements: those whose subtrees add to the sum of scores, weighed by the text they hold; furniture never."""
+    """The kept elements: those whose subtrees add to the sum of scores, weighed by the text they hold; furniture never.
+
+    A page with text in implied bodies alone has one block and nothing to choose from: it is kept.
+    """
+    if all(node in page.implied for node, _ in page.runs):
+        return {0} | page.implied
     own = [0] * len(page.tags)
     for node, text in page.runs:
         own[node] += len(text)
@@ -317,7 +349,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 for page, (x, nodes) in zip(parsed, features, strict=True):
                     kept = decode(page, nodes, margins[done : done + len(x)])
                     done += len(x)
-                    texts.append("\n".join(text for node, text in page.runs if node in kept and (node or len(page.tags) == 1)))
+                    texts.append("\n".join(text for node, text in page.runs if node in kept))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"]
                 )
