@@ -276,6 +276,19 @@ def html_texts(spark, *sources):
     return [r["text"] for r in got.where("page_id >= 100").orderBy("page_id").collect()]
 
 
+def test_pages_wrapped_in_furniture_keep_their_article(spark):
+    words = "A sentence, with some words in it, and then a few more. It goes on and on."
+    inner = f"<h1>Title</h1><p>{words}</p><p>{words}</p><p>{words}</p>"
+    around = '<nav><ul><li><a href="/">menu</a></li></ul></nav><div class="sidebar">buy</div>%s<footer>foot</footer>'
+    wrapped = [
+        f"<main class='content with-sidebar'>{inner}</main>", f"<div id='page' class='no-sidebar'><article>{inner}</article></div>", f"<article class='story has-comments'>{inner}</article>",
+        f"<div class='sidebar-left'><article>{inner}</article></div>",
+    ]
+    pages = [f"<html><body>{around % x}</body></html>" for x in wrapped]
+    pages += [f"<html><body><form action='/x'>{around % f'<article>{inner}</article>'}</form></body></html>", f"<html><head><title>t</title><body><article>{inner}</article></body></html>"]
+    assert html_texts(spark, *pages) == ["\n".join(["Title", words, words, words])] * len(pages)
+
+
 def test_text_outside_blocks_is_scored(spark):
     words = "A sentence, with some words in it, and then a few more. It goes on and on."
     got = html_texts(spark, "Some <b>bold</b> article text", "<b>Only</b> inline", "plain", " <!-- c --> \n")

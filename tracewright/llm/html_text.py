@@ -36,8 +36,12 @@ CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Elements that never hold article text, whatever their score.
+#: Elements that hold no article text, whatever their score; but see WRAPPERS.
 NEVER = frozenset("nav footer aside form button select option menu dialog head script style title noscript template textarea svg iframe".split())
+#: Of these, those that a page may be wrapped in, by design or for want of an end tag.
+WRAPPERS = frozenset("nav footer aside form menu dialog".split())
+#: An element is a wrapper with so much of the page's text, or with the second share if it holds a main heading or element.
+WRAP_SHARES = (0.8, 0.5)
 ARTICLE = frozenset("article main".split())
 #: Attribute tokens that name page furniture, and those that name content.
 FURNITURE = frozenset(
@@ -50,6 +54,8 @@ CONTENT = frozenset("article body content entry main page post story text".split
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
+#: In a compound name, a word that is not what the element is: no-sidebar, has-comments.
+QUALIFIED = re.compile(r"(?<![a-z])(?:no|non|with|without|has|have|hide)[-_]+[a-z]+")
 
 FEATURES = (
     "paragraph heading item cell box never article furniture furniture_above content content_above depth children siblings same_before "
@@ -61,7 +67,8 @@ MARKUP = [FEATURES.index(x) for x in ("never", "article", "furniture", "furnitur
 class Page:
     """Elements in document order (tag, parent, attribute tokens) and the text runs of blocks: (element, text).
 
-    Whatever stands outside html, head and body belongs to an implied body.
+    Whatever stands outside html, head and body belongs to an implied body. own and subtree are characters of text;
+    wraps: whether an element is a wrapper (WRAP_SHARES); furniture: how many of its words name furniture, none of a wrapper's.
     """
 
     def __init__(self, source: str):
@@ -124,12 +131,32 @@ class Page:
             self.parents.append(stack[-1])
             self.tags.append(name)
             found = ATTRIBUTE.findall(attributes) if attributes and "=" in attributes else ()
-            self.tokens.append(frozenset(t for a in found for t in WORD.findall("".join(a).lower())) if found else frozenset())
+            self.tokens.append(frozenset(t for a in found for t in WORD.findall(QUALIFIED.sub(" ", "".join(a).lower()))) if found else frozenset())
             self.link_chars.append(0)
             stack.append(len(self.tags) - 1)
             links += name == "a"
             block = self._block(stack) if is_block else block
         self._flush(block)
+        self._weigh()
+
+    def _weigh(self) -> None:
+        n = len(self.tags)
+        self.own = [0] * n
+        for node, text in self.runs:
+            self.own[node] += len(text)
+        self.subtree, heads = self.own[:], [tag in ("h1", "main") for tag in self.tags]
+        for i in range(n - 1, 0, -1):
+            self.subtree[self.parents[i]] += self.subtree[i]
+            heads[self.parents[i]] |= heads[i]
+        most, much = (share * max(1, self.subtree[0]) for share in WRAP_SHARES)
+        self.wraps = [x >= most or head and x >= much for x, head in zip(self.subtree, heads, strict=True)]
+        self.furniture = [
+            len(words & FURNITURE) if words and not wraps and tag != "main" else 0 for words, wraps, tag in zip(self.tokens, self.wraps, self.tags, strict=True)
+        ]
+
+    def barred(self, i: int) -> bool:
+        """Whether an element is of a kind that holds no article text."""
+        return self.tags[i] in NEVER and not (self.wraps[i] and self.tags[i] in WRAPPERS)
 
     def _body(self, stack, block, what: str) -> int:
         """Opens an implied body for what (text, a tag's name) if nothing is open; the block that is open then."""
@@ -177,12 +204,11 @@ class Page:
 def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
     """Features of the elements that hold text or have a descendant that does, and these elements in document order."""
     n = len(page.tags)
-    own, runs, commas = [0] * n, [0] * n, [0] * n
+    own, subtree, runs, commas = page.own, page.subtree, [0] * n, [0] * n
     for node, text in page.runs:
-        own[node] += len(text)
         runs[node] += 1
         commas[node] += text.count(",") + text.count(".")
-    subtree, tags, links, marks, depth = own[:], [1] * n, page.link_chars[:], commas[:], [0] * n
+    tags, links, marks, depth = [1] * n, page.link_chars[:], commas[:], [0] * n
     children, before, last = [0] * n, [0] * n, {}
     for i in range(1, n):
         p = page.parents[i]
@@ -191,7 +217,6 @@ def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
         before[i] = last[p, page.tags[i]] = last.get((p, page.tags[i]), -1) + 1
     for i in range(n - 1, 0, -1):
         p = page.parents[i]
-        subtree[p] += subtree[i]
         tags[p] += tags[i]
         links[p] += links[i]
         marks[p] += marks[i]
@@ -199,13 +224,13 @@ def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
     furniture, content, inside, seen, rows, nodes = [0] * n, [0] * n, [0] * n, 0, [], []
     for i in range(1, n):
         p, tag, tokens = page.parents[i], page.tags[i], page.tokens[i]
-        f, c = (len(tokens & FURNITURE), len(tokens & CONTENT)) if tokens else (0, 0)
+        f, c = page.furniture[i], len(tokens & CONTENT) if tokens else 0
         furniture[i], content[i], inside[i] = furniture[p] + f, content[p] + c, inside[p] or tag in ARTICLE
         if subtree[i]:
             s = subtree[i]
             rows.append((
                 tag == "p", len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "dd", "dt"), tag in ("td", "th"), tag in ("div", "section", "blockquote"),
-                tag in NEVER or tag == "header", inside[i], f, furniture[p], c, content[p], depth[i], children[i], children[p], before[i],
+                page.barred(i) or tag == "header", inside[i], f, furniture[p], c, content[p], depth[i], children[i], children[p], before[i],
                 own[i], s, s / tags[i], min(1.0, links[i] / s), marks[i] / s, s / max(1, runs[i]), seen / total, s / total,
             ))
             nodes.append(i)
@@ -218,7 +243,7 @@ def weak_labels(page: Page, nodes: list[int]) -> list[int]:
     out, state = {0: (False, False)}, {}
     for i in range(1, len(page.tags)):
         inside, bad = out[page.parents[i]]
-        out[i] = (inside or page.tags[i] in ARTICLE, bad or page.tags[i] in NEVER or bool(page.tokens[i] & FURNITURE) or page.tags[i] == "header" and not inside)
+        out[i] = (inside or page.tags[i] in ARTICLE, bad or page.barred(i) or page.furniture[i] > 0 or page.tags[i] == "header" and not inside)
         state[i] = 0 if out[i][1] else 1 if out[i][0] else -1
     return [state[i] for i in nodes]
 
@@ -301,22 +326,19 @@ def train(pages: DataFrame, settings: Settings = Settings()):
 
 
 def decode(page: Page, nodes: list[int], margins: np.ndarray) -> set[int]:
-    """The kept elements: those whose subtrees add to the sum of scores, weighed by the text they hold; furniture never.
+    """The kept elements: those whose subtrees add to the sum of scores, weighed by the text they hold; furniture never, unless the page is wrapped in it.
 
     A page with text in implied bodies alone has one block and nothing to choose from: it is kept.
     """
     if all(node in page.implied for node, _ in page.runs):
         return {0} | page.implied
-    own = [0] * len(page.tags)
-    for node, text in page.runs:
-        own[node] += len(text)
     gain = [0.0] * len(page.tags)
     score = dict(zip(nodes, margins.tolist(), strict=True))
     for i in reversed(nodes):
-        if page.tags[i] in NEVER or page.tokens[i] & FURNITURE and page.tags[i] not in ("html", "body"):
+        if page.barred(i) or page.furniture[i] and page.tags[i] not in ("html", "body"):
             gain[i] = -1.0
             continue
-        gain[i] += score[i] * (own[i] ** 0.5 + 1)
+        gain[i] += score[i] * (page.own[i] ** 0.5 + 1)
         if gain[i] > 0:
             gain[page.parents[i]] += gain[i]
     kept = {0}
