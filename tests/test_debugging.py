@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import codetext, logs, names
 from tracewright.operators import mutants, repair, results, spectrum
+from tracewright.plans import tables
 from tracewright.sources import bugs as sources
 
 
@@ -162,3 +163,12 @@ def test_upsert(spark, tmp_path):
     scores = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "bug_id string")
     prior = spark.createDataFrame([("a", "skipped"), ("b", "failed"), ("c", None)], "bug_id string, status string")
     assert {r["bug_id"] for r in results.pending(scores, prior).collect()} == {"a", "d"}
+
+
+def test_test_lists_gather_no_outputs(spark, tmp_path):
+    rows = [(2, 1, "F", "1-URGENT"), (1, 1, "F", "5-LOW"), (10, 1, "O", "x"), (9, 1, "O", "x"), (3, 2, "P", "x"), (4, 3, "F", None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = tables.test_lists(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [(1, "9,10", "1,2", False), (2, "", "", False), (3, "", "4", False)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert not any("Aggregate" in x and ("repeat(" in x or "actual_output" in x) for x in plan)
