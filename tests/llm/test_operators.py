@@ -186,6 +186,15 @@ def test_scores_are_exact_likelihoods(docs, empty):
     assert hmm.score_texts(empty, s).count() == 0
 
 
+def test_rounds_without_tokens_leave_the_model(spark):
+    rows = spark.createDataFrame([(None, text(20)) for _ in range(12)], "doc_id long, text string")  # no null id is in the warm part
+    scores = []
+    for warm in (0, 2):
+        s = hmm.Settings(states=3, head=20, dictionary=40, buckets=8, warm_rounds=warm, full_rounds=2)
+        scores.append(sorted(r["score"] for r in hmm.score_texts(rows, s).collect()))
+    assert np.allclose(*scores, rtol=1e-9)
+
+
 def test_forward_recursion_against_all_paths():
     local = np.random.default_rng(2)
     start, move, emit = local.dirichlet(np.ones(3)), local.dirichlet(np.ones(3), 3), local.dirichlet(np.ones(5), 3).T

@@ -291,10 +291,10 @@ def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int
     unigram /= unigram.sum()
     model = initial(unigram, s)
     training = encoded.where(~F.col("held_out"))
-    for _ in range(s.warm_rounds):
-        model = maximised(round_of_training(training.where("warm"), model, s), unigram)
-    for _ in range(s.full_rounds):
-        model = maximised(round_of_training(training, model, s), unigram)
+    for part in [training.where("warm")] * s.warm_rounds + [training] * s.full_rounds:
+        counts = round_of_training(part, model, s)
+        if counts[2].any():  # a round without tokens would make all states alike
+            model = maximised(counts, unigram)
 
     fitted = spark.sparkContext.broadcast(model)
 
