@@ -7,17 +7,31 @@ candidates; every link is confirmed on the full sets.
 
 Documents with equal sets become one node first. In a bucket every node is compared
 with the bucket's pivot, its most central node (the one whose buckets are the largest),
-which joins a group of near copies by a star instead of all its pairs. What the star
-leaves apart is then compared across components: all pairs in small buckets; in large
-ones only pairs that can be linked at all, given what each shares with the pivot: either
-their common part of the pivot is large enough by itself, or they share rare shingles
-that the pivot lacks. So no pair that shares a bucket and might be a link is skipped,
-unless it is connected already.
+which joins a group of near copies by a star instead of all its pairs. What is left are
+pairs of nodes of one pivot's buckets that the links found so far don't connect. They
+are found by their differences from the pivot: the shingles that only one of node and
+pivot has. A node of n shingles, d of them and the pivot's being differences, and one
+of m and e, c of the differences in common, have d + e - 2c shingles that only one of
+the two has, and are linked if that is at most (n + m) * slack, slack being (100 -
+percent) / (100 + percent). So
+
+- 2c >= d + e - (n + m) * slack for a link;
+- one of the two is not linked to the pivot (they were connected otherwise), whence
+  2c > e * (1 - slack) if e belongs to the other: most differences of a near copy of
+  the pivot are shared with any straggler that it is linked to.
+
+Either bound says how many differences a node shares with any partner at least, so the
+partners meet in the rarest differences that remain when one fewer than that many of the
+most frequent are taken off (required() below). Only these are spread out, one
+row for each; differences that only one component has are dropped; pairs meet in what is
+left, and those that pass the first bound are confirmed. No link between nodes that share a
+bucket is lost, whatever the size of the group.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +45,8 @@ from .common import Scratch, load, text_or_empty
 
 PERMUTATIONS = 40  # 80 signature values
 ROWS = 4  # values in a band: 20 bands; a pair of similarity 0.8 shares one with probability 0.99997
-LARGE = 50  # nodes above which a bucket's pairs are found by way of its pivot
 BIT_WORDS = 4  # 64-bit words of a bitmap that bounds the size of a union from below
+CELLS = 1 << 17  # counters that put differences in order; more hashed differences share one, which costs order, no links
 _word_ids: dict[bytes, int] = {}
 
 
@@ -69,9 +83,9 @@ def shingle_set(text: str, width: int) -> np.ndarray:
     return np.unique(mixed(shingles + np.uint64(span)))
 
 
-def permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
+def permutations(number: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20)
-    return rng.integers(0, 2**64, count, np.uint64, endpoint=False) | np.uint64(1), rng.integers(0, 2**64, count, np.uint64, endpoint=False)
+    return rng.integers(0, 2**64, number, np.uint64, endpoint=False) | np.uint64(1), rng.integers(0, 2**64, number, np.uint64, endpoint=False)
 
 
 def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,11 +105,11 @@ def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
-def sketches(docs: DataFrame, width: int, count: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
+def sketches(docs: DataFrame, width: int, permuted: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """row, doc_id, n_shingles, set_key (digest of the whole set) and band keys of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = permutations(count)
+        a, b = permutations(permuted)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
@@ -133,37 +147,37 @@ def _fetched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """BIT_WORDS words with the bit of each shingle set; a union has at least as many shingles as its bitmap has bits."""
+def bitmap(values: np.ndarray) -> np.ndarray:
+    """BIT_WORDS words with the bit of each value set; a union has at least as many values as its bitmap has bits."""
     bits = np.zeros(64 * BIT_WORDS, np.uint8)
-    bits[shingles % np.uint64(len(bits))] = 1
+    bits[values % np.uint32(len(bits))] = 1
     return np.packbits(bits, bitorder="little").view("<i8")
 
 
 def against_pivots(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For pairs of pivot a and node b: their sizes, common shingles, whether linked; for large ones the shingles only b has, and the bitmaps of those it lacks and of those only it has."""
-    names = ["a", "b", "n_a", "n_b", "common", "linked", "novel", "bits"]
+    """For pairs of pivot a and node b: sizes, whether linked; where the pivot has several nodes the differences, 32 bits of each, and their bitmap."""
+    names = ["a", "b", "n_a", "n_b", "linked", "d", "differences", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pivot_sizes, sizes, commons, linked, novel, bits = [], [], [], [], [], []
-            for large, x, y in zip(*batch.columns[2:], strict=True):
+            pivot_sizes, sizes, linked, counts, differences, bits = [], [], [], [], [], []
+            for several, x, y in zip(*batch.columns[2:], strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                own = np.isin(y, x, assume_unique=True, invert=True)
-                common = len(y) - int(own.sum())
+                apart = np.setxor1d(x, y, assume_unique=True)
                 pivot_sizes.append(len(x))
                 sizes.append(len(y))
-                commons.append(common)
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-                wanted = large.as_py()
-                novel.append(y[own].astype(np.int64) if wanted else None)
-                bits.append(np.concatenate([bitmap(np.setdiff1d(x, y, assume_unique=True)), bitmap(y[own])]) if wanted else None)
-            numbers = [pa.array(x, pa.int64()) for x in (pivot_sizes, sizes, commons)]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (novel, bits)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, pa.array(linked, pa.bool_()), *lists], names=names)
+                counts.append(len(apart))
+                linked.append((100 + percent) * len(apart) <= (100 - percent) * (len(x) + len(y)))
+                if wanted := several.as_py():
+                    apart = (apart >> np.uint64(32)).astype(np.uint32)
+                differences.append(apart.tobytes() if wanted else None)
+                bits.append(bitmap(apart) if wanted else None)
+            numbers = [pa.array(x, pa.int64()) for x in (pivot_sizes, sizes)]
+            rest = [pa.array(linked, pa.bool_()), pa.array(counts, pa.int64()), pa.array(differences, pa.binary()), pa.array(bits, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *rest], names=names)
 
-    schema = "a long, b long, n_a long, n_b long, common long, linked boolean, novel array<long>, bits array<long>"
-    return _fetched(stars, sets).select("a", "b", "large", "x", "y").mapInArrow(run, schema)
+    schema = "a long, b long, n_a long, n_b long, linked boolean, d long, differences binary, bits array<long>"
+    return _fetched(stars, sets).select("a", "b", "several", "x", "y").mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,53 +195,88 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _fetched(pairs, sets).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def apart(tested: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b, n_a, n_b) of nodes compared with one large pivot, of different components, that may be linked.
+def cell_of(pivot: int, differences: np.ndarray) -> np.ndarray:
+    return (mixed(differences.astype(np.uint64) + mixed(np.array([pivot], np.uint64))) % np.uint64(CELLS)).astype(np.int64)
+
+
+def difference_counts(group: DataFrame) -> np.ndarray:
+    """How often the differences of each cell occur in all of group: CELLS numbers, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            cells = [cell_of(pivot, np.frombuffer(found, np.uint32)) for pivot, found in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            if cells:
+                seen += np.bincount(np.concatenate(cells), minlength=CELLS)
+        used = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(seen[used])], names=["cell", "n"])
+
+    out = np.zeros(CELLS, np.int64)
+    counted = group.select("pivot", "differences").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    for row in counted.collect():  # CELLS rows at most
+        out[row["cell"]] = row["n"]
+    return out
+
 
-    A link needs an overlap of percent / (100 + percent) of both sizes. Of it, at most
-    min(common, common) can lie in the pivot. If that suffices, the pair is a candidate;
-    if not, the two share shingles the pivot lacks: at least percent of a set less its
-    own common part, so one of them is among the rarest of its novel shingles (those
-    left when one fewer than that many of the most frequent are taken off).
+def required(n: int, d: int, linked: bool, percent: int) -> int:
+    """How many of its d differences a node of n shingles shares at least with any node it has a link to that the pivot does not show.
 
-    Both kinds of pair must pass a bound on their overlap, which no link fails: in the pivot
-    the two share what it has less the union of what they lack, beyond it the sum of
-    their novel shingles less the union, and bitmaps bound both unions from below.
+    A node linked to the pivot: more than (1 - slack) / 2 of them, as the partner is not. One that is not linked: d less what
+    a link allows to differ, as the partner's differences may all be common; the partner has at most n * 100 / percent shingles.
     """
-    known = tested.join(labels.select(F.col("node").alias("b"), "component"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    several = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
-    group = scratch.table(known.join(several, "a", "left_semi").select(F.col("a").alias("pivot"), F.col("n_a").alias("n_pivot"), "b", "n_b", "common", "component", "novel", "bits"), "apart")
+    if linked:
+        return percent * d // (100 + percent) + 1
+    return max(1, d - (100 - percent) * (n + n * 100 // percent) // (100 + percent))
 
-    def side(rows: DataFrame, x: str, *keys: str) -> DataFrame:
-        own = {"b": x, "n_b": f"n_{x}", "common": f"in_{x}", "component": f"c_{x}", "bits": f"bits_{x}"}
-        return rows.select(*keys, *([] if x == "b" else ["n_pivot"]), *(F.col(c).alias(n) for c, n in own.items()))
 
-    def union_size(first: int) -> str:
-        return " + ".join(f"bit_count(bits_a[{k}] | bits_b[{k}])" for k in range(first, first + BIT_WORDS))
+def rarest(group: DataFrame, counts, percent: int) -> DataFrame:
+    """group with prefix: those of a node's differences in which it meets every partner, rarest first."""
+    columns = ["pivot", "b", "n_b", "d", "component", "bits"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pivot, n, d, linked, found in zip(*(batch.column(c).to_pylist() for c in ("pivot", "n_b", "d", "linked", "differences")), strict=True):
+                found = np.frombuffer(found, np.uint32)
+                order = np.lexsort((found, counts.value[cell_of(pivot, found)]))
+                out.append(np.unique(found[order[: max(0, d - required(n, d, linked, percent) + 1)]]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.list_(pa.int64()))], names=[*columns, "prefix"])
+
+    schema = "pivot long, b long, n_b long, d long, component long, bits array<long>, prefix array<long>"
+    return group.select(*columns, "linked", "differences").mapInArrow(run, schema)
 
-    inside = f"least(in_a, in_b, n_pivot - ({union_size(0)}))"
-    beyond = f"least(n_a - in_a, n_b - in_b, n_a - in_a + n_b - in_b - ({union_size(BIT_WORDS)}))"
-    possible = f"a < b AND c_a <> c_b AND (100 + {percent}) * ({inside} + {beyond}) >= {percent} * (n_a + n_b)"
-    covered = f"(100 + {percent}) * least(in_a, in_b) >= {percent} * (n_a + n_b)"
-    pairs = side(group, "a", "pivot").join(side(group, "b", "pivot"), "pivot").where(f"{possible} AND {covered}").select("a", "b", "n_a", "n_b")
 
-    novel = group.select("pivot", "n_pivot", "b", "n_b", "common", "component", "bits", F.explode("novel").alias("shingle"))
-    counts = novel.groupBy("pivot", "shingle").agg(F.count("*").alias("holders"), F.min("component").alias("low"), F.max("component").alias("high"))
-    rank = F.row_number().over(W.partitionBy("pivot", "b").orderBy("holders", "shingle"))
-    least = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("n_b") / 100) - F.col("common"))
-    held = novel.join(counts, ["pivot", "shingle"]).withColumn("rank", rank)
-    held = held.where((F.col("rank") <= F.col("n_b") - F.col("common") - least + 1) & (F.col("low") != F.col("high")))
-    held = scratch.table(held.select("pivot", "shingle", "n_pivot", "b", "n_b", "common", "component", "bits"), "rare")
-    sharing = side(held, "a", "pivot", "shingle").join(side(held, "b", "pivot", "shingle"), ["pivot", "shingle"])
-    sharing = sharing.where(f"{possible} AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return pairs.union(sharing.select("a", "b", "n_a", "n_b"))
+def apart(tested: DataFrame, labels: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes compared with one pivot, of different components, that may be linked; see the module's head."""
+    label = labels.select(F.col("node").alias("b"), "component")
+    known = tested.where("differences IS NOT NULL").join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+    several = known.groupBy("a").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("a")
+    group = known.join(several, "a", "left_semi").select(F.col("a").alias("pivot"), "b", "n_b", "d", "linked", "component", "differences", "bits")
+    group = scratch.table(group, "apart")
+    counts = scratch.spark.sparkContext.broadcast(difference_counts(group))
+
+    spread = rarest(group, counts, percent).select("pivot", F.explode("prefix").alias("difference"), "b", "n_b", "d", "component", "bits")
+    spread = scratch.table(spread, "spread")
+    ends = spread.groupBy("pivot", "difference").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    held = spread.join(ends.where("low <> high").select("pivot", "difference"), ["pivot", "difference"], "left_semi")
+    held = scratch.table(held, "rare")
+
+    def side(x: str) -> DataFrame:
+        names = {"b": x, "n_b": f"n_{x}", "d": f"d_{x}", "component": f"c_{x}", "bits": f"bits_{x}"}
+        return held.select("pivot", "difference", *(F.col(c).alias(n) for c, n in names.items()))
+
+    union = " + ".join(f"bit_count(bits_a[{k}] | bits_b[{k}])" for k in range(BIT_WORDS))
+    common = f"least(d_a, d_b, d_a + d_b - ({union}))"
+    possible = f"a < b AND c_a <> c_b AND (100 + {percent}) * (d_a + d_b - 2 * {common}) <= (100 - {percent}) * (n_a + n_b)"
+    pairs = side("a").join(side("b"), ["pivot", "difference"]).where(possible).select("a", "b").distinct()
+    return scratch.table(pairs, "pairs")
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, component) of every node of an edge: the smallest node reachable; labels spread along edges and jump to labels of labels."""
     both = scratch.table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), f"{name}_both")
     labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}_0")
-    for k in range(1, 200):
+    for k in count(1):
         seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("nearby"))
         better = labels.join(seen, "node").select("node", F.least("component", "nearby").alias("component"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
@@ -241,9 +290,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
     return after.select("node", "component")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS, large: int = LARGE
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutations: int = PERMUTATIONS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 
     Documents are linked if their sets of distinct word shingles have a Jaccard similarity of
@@ -279,26 +326,20 @@ def near_duplicates(
     by_key = full_sets(wanted, width).join(named.select("set_key", "node"), "set_key").select("node", "members")
     sets = scratch.table(by_key.groupBy("node").agg(F.first("members").alias("members")) if _repeated(named) else by_key, "sets")
 
-    pivots = scratch.table(members.groupBy("key").agg(F.max("rank").alias("rank"), F.max_by("n", "rank").alias("n_a"), F.count("*").alias("size")), "pivots")
-    pivots = pivots.select("key", (-F.col("rank.order")).alias("a"), "n_a", (F.col("size") > large).alias("large"))
+    pivots = scratch.table(members.groupBy("key").agg(F.max("rank").alias("rank"), F.max_by("n", "rank").alias("n_a")), "pivots")
+    pivots = pivots.select("key", (-F.col("rank.order")).alias("a"), "n_a")
     near = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
-    stars = members.join(pivots, "key").where((F.col("a") != F.col("node")) & (F.col("large") | near))
-    stars = stars.groupBy("a", F.col("node").alias("b")).agg(F.max("large").alias("large"))
+    stars = members.join(pivots, "key").where(F.col("a") != F.col("node")).groupBy("a", F.col("node").alias("b")).agg(F.first(near).alias("near"))
+    stars = scratch.table(stars, "stars")
+    several = stars.groupBy("a").agg((F.count("*") > 1).alias("several"))
+    stars = stars.join(several, "a").where("several OR near")  # a pivot's only node is settled by their sizes
     tested = scratch.table(against_pivots(stars, sets, percent), "tested")
     links = tested.where("linked").select("a", "b")
     labels = components(scratch, links, "labels_0")
-
-    placed = members.join(pivots.where("NOT large").select("key"), "key", "left_semi").join(labels, "node", "left")
-    placed = placed.select("key", "node", "n", F.coalesce("component", "node").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("size")).where("low <> high AND size > 2")
-    placed = scratch.table(placed.join(several.select("key"), "key", "left_semi"), "placed")
-    x, y = (placed.select("key", F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("c").alias(f"c_{x}")) for x in "ab")
-    pairs = x.join(y, "key").where(f"a < b AND c_a <> c_b AND 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b")
-    pairs = pairs.union(apart(tested.where("novel IS NOT NULL"), labels, scratch, percent)).select("a", "b").distinct()
-    found = scratch.table(confirmed(pairs, sets, percent), "links")
+    found = scratch.table(confirmed(apart(tested, labels, scratch, percent), sets, percent), "links")
     if not found.isEmpty():
         labels = components(scratch, links.union(found), "labels_1")
-    scratch.drop("sets", "ranked", "named", "placed", "apart", "rare")
+    scratch.drop("sets", "ranked", "named", "stars", "apart", "spread", "rare", "pairs")
 
     joined = nodes.select("set_key", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = scratch.table(joined.select("set_key", "component", "least_id"), "joined")
