@@ -1,17 +1,26 @@
 """Main-text extraction: gradient-boosted trees over DOM nodes and a hierarchical decoding of their scores.
 
 A page becomes a tree of elements. Nodes that hold text, and their ancestors, get
-features: tag, depth, siblings, text and link density of the subtree, attribute tokens
-of the node and of its ancestors. Boosted trees (fitted by Spark) score each node. The
-training labels are weak ones read from semantic markup on a bounded sample of pages; on
-half of these pages the markup's own features are hidden, so the trees also learn from
-density and structure. Decoding keeps or drops whole subtrees to maximise the sum of
-node scores, where a dropped node has no kept descendant, so choices never contradict.
+features: kind of tag, depth, siblings, text and link density of the subtree, attribute
+tokens of the node and of its ancestors. Boosted trees (fitted by Spark) score each node.
+
+The trees learn from a bounded sample of pages that mark their article (article, main):
+text in it is wanted, other text is not. These two tags are not among the features. As
+few pages name every kind of furniture, each sampled page is also seen again with blocks
+put into its article: its own sentences under a name or in an element that stands
+for furniture (not wanted), or under names that only resemble these (wanted), and some
+pages are wrapped in such an element whole (still wanted).
+
+Decoding chooses which nodes to keep: a kept node's parent is kept, each node kept adds its
+score, and each dropped node under a kept one costs CUT. The best choice is found from
+the leaves up, so ancestors and descendants never contradict each other. Nothing else
+decides on text but that of scripts, styles, controls and the like is not read at all.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -26,22 +35,19 @@ from pyspark.sql import functions as F
 from .common import bounded_sample, load, text_or_empty
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template svg iframe".split())
+#: Elements whose content is no text of the page.
+RAW = frozenset("script style textarea title noscript template svg iframe select button".split())
 BLOCKS = frozenset(
-    "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: An open element that a start tag of the named kind closes, up to the nearest of the second set.
 CLOSES = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
-#: Elements that hold no article text, whatever their score; but see WRAPPERS.
-NEVER = frozenset("nav footer aside form button select option menu dialog head script style title noscript template textarea svg iframe".split())
-#: Of these, those that a page may be wrapped in, by design or for want of an end tag.
-WRAPPERS = frozenset("nav footer aside form menu dialog".split())
-#: An element is a wrapper with so much of the page's text, or with the second share if it holds a main heading or element.
-WRAP_SHARES = (0.8, 0.5)
+CLOSES_P = ({"p"}, {"td", "th", "li", "div", "article", "section", "table"})
+BARS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
 #: Attribute tokens that name page furniture, and those that name content.
 FURNITURE = frozenset(
@@ -51,92 +57,71 @@ FURNITURE = frozenset(
 )
 CONTENT = frozenset("article body content entry main page post story text".split())
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|<[!?/][^>]*+>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a start tag; a > inside quotes does not end it. Each character is looked at once.
+REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
-#: In a compound name, a word that is not what the element is: no-sidebar, has-comments.
-QUALIFIED = re.compile(r"(?<![a-z])(?:no|non|with|without|has|have|hide)[-_]+[a-z]+")
 
 FEATURES = (
-    "paragraph heading item cell box never article furniture furniture_above content content_above depth children siblings same_before "
-    "own_chars subtree_chars chars_per_tag link_share commas_per_char words_per_run position page_share"
+    "paragraph heading item cell box header header_above bar bar_share furniture_share part_share content content_above depth children siblings same_before "
+    "own_chars subtree_chars chars_per_tag link_share marks_per_char chars_per_run position page_share"
 ).split()
-MARKUP = [FEATURES.index(x) for x in ("never", "article", "furniture", "furniture_above", "content", "content_above")]
+CUT = 6.0
+NO_SHARE = 2.0  # of features that are shares of the page's text, where there is no such element
 
 
 class Page:
-    """Elements in document order (tag, parent, attribute tokens) and the text runs of blocks: (element, text).
+    """Elements in document order (tag, parent, attribute tokens, place in the source) and the text runs of blocks: (element, text).
 
-    Whatever stands outside html, head and body belongs to an implied body. own and subtree are characters of text;
-    wraps: whether an element is a wrapper (WRAP_SHARES); furniture: how many of its words name furniture, none of a wrapper's.
+    Whatever stands outside html, head and body belongs to an implied body. The time it takes is in proportion to the source:
+    a tag whose quotes are not closed ends at the next >, and so do all tags after it; one without any > drops the rest.
     """
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.tokens = ["#root"], [-1], [frozenset()]
+        self.tags, self.parents, self.tokens, self.starts = ["#root"], [-1], [frozenset()], [-1]
         self.link_chars = [0]
         self.runs: list[tuple[int, str]] = []
-        self._held: list[str] = []
         self.implied: set[int] = set()
-        stack, at, links = [0], 0, 0
-        block = 0
-        size = len(source)
+        self._held: list[str] = []
+        self._stack, self._blocks, self._depths = [0], [0], {}  # open elements, the block each is in, depths by tag
+        at, size, quotes = 0, len(source), True
         while at < size:
-            match = TAG.search(source, at)
-            if match is None:
-                block = self._body(stack, block, source[at:])
-                self._text(source[at:], links, block)
+            start = source.find("<", at)
+            if start < 0 or start + 1 == size:
+                self._text(source[at:])
                 break
-            if len(stack) == 1:
-                block = self._body(stack, block, source[at : match.start()])
-            self._text(source[at : match.start()], links, block)
-            at = match.end()
-            closing, name, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
+            closing = source[start + 1] == "/"
+            name = NAME.match(source, start + 1 + closing)
+            if not name and source[start + 1] not in "!?/":  # a plain <
+                self._text(source[at : start + 1])
+                at = start + 1
+                continue
+            self._text(source[at:start])
             if not name:
+                comment = source.startswith("<!--", start)
+                end = source.find("-->" if comment else ">", start + 2)
+                at = size if end < 0 else end + (3 if comment else 1)
                 continue
-            name = name.lower()
-            is_block = name in BLOCKS
-            if is_block:
-                self._flush(block)
+            rest = REST.match(source, name.end()) if quotes else None
+            quotes = rest is not None
+            end = rest.end() if rest else source.find(">", name.end()) + 1
+            if not end:
+                break
+            at, tag = end, name[0].lower()
             if closing:
-                if name in self._open(stack):
-                    while True:
-                        popped = stack.pop()
-                        links -= self.tags[popped] == "a"
-                        if self.tags[popped] == name:
-                            break
-                        if self.tags[popped] in BLOCKS:
-                            self._flush(block)
-                    block = self._block(stack)
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size
-                continue
-            if name == "br":
+                self._close(tag)
+            elif tag in RAW:
+                last = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+                at = (source.find(">", last.end()) + 1 or size) if last else size
                 self._held.append(" ")
-            if name in VOID:
-                continue
-            if is_block and name not in ("html", "body") and "p" in self._open(stack):
-                links -= self._pop(stack, {"p"}, {"#root", "button", "td", "th", "li", "div", "article", "section", "table"})
-            if name in CLOSES:
-                links -= self._pop(stack, *CLOSES[name])
-            if name in ("html", "head", "body"):
-                if stack[-1] in self.implied:
-                    self._flush(block)
-                    stack.pop()
+            elif tag in VOID:
+                if tag in BLOCKS:
+                    self._flush()
+                self._held.append(" " if tag == "br" else "")
             else:
-                block = self._body(stack, block, name)
-            if self.tags[stack[-1]] == "head":
-                stack.pop()
-            self.parents.append(stack[-1])
-            self.tags.append(name)
-            found = ATTRIBUTE.findall(attributes) if attributes and "=" in attributes else ()
-            self.tokens.append(frozenset(t for a in found for t in WORD.findall(QUALIFIED.sub(" ", "".join(a).lower()))) if found else frozenset())
-            self.link_chars.append(0)
-            stack.append(len(self.tags) - 1)
-            links += name == "a"
-            block = self._block(stack) if is_block else block
-        self._flush(block)
+                self._start(tag, source[name.end() : end], start)
+        self._flush()
         self._weigh()
 
     def _weigh(self) -> None:
@@ -144,71 +129,100 @@ class Page:
         self.own = [0] * n
         for node, text in self.runs:
             self.own[node] += len(text)
-        self.subtree, heads = self.own[:], [tag in ("h1", "main") for tag in self.tags]
+        self.subtree = self.own[:]
         for i in range(n - 1, 0, -1):
             self.subtree[self.parents[i]] += self.subtree[i]
-            heads[self.parents[i]] |= heads[i]
-        most, much = (share * max(1, self.subtree[0]) for share in WRAP_SHARES)
-        self.wraps = [x >= most or head and x >= much for x, head in zip(self.subtree, heads, strict=True)]
-        self.furniture = [
-            len(words & FURNITURE) if words and not wraps and tag != "main" else 0 for words, wraps, tag in zip(self.tokens, self.wraps, self.tags, strict=True)
-        ]
-
-    def barred(self, i: int) -> bool:
-        """Whether an element is of a kind that holds no article text."""
-        return self.tags[i] in NEVER and not (self.wraps[i] and self.tags[i] in WRAPPERS)
-
-    def _body(self, stack, block, what: str) -> int:
-        """Opens an implied body for what (text, a tag's name) if nothing is open; the block that is open then."""
-        if len(stack) > 1 or not what.strip():
-            return block
-        self.parents.append(0)
-        self.tags.append("body")
-        self.tokens.append(frozenset())
-        self.link_chars.append(0)
-        stack.append(len(self.tags) - 1)
-        self.implied.add(stack[-1])
-        return stack[-1]
-
-    def _open(self, stack):
-        return {self.tags[i] for i in stack}
-
-    def _block(self, stack):
-        return next((i for i in reversed(stack) if self.tags[i] in BLOCKS), 0)
-
-    def _pop(self, stack, which, until) -> int:
-        """Closes the innermost open element of which, unless one of until comes first; the number of links closed."""
-        for depth in range(len(stack) - 1, 0, -1):
-            if self.tags[stack[depth]] in which:
-                links = sum(self.tags[i] == "a" for i in stack[depth:])
-                del stack[depth:]
-                return links
-            if self.tags[stack[depth]] in until:
-                break
-        return 0
-
-    def _text(self, text: str, links: int, block: int) -> None:
-        if text:
-            self._held.append(text)
-            if links > 0:
-                self.link_chars[block] += len(text.strip())
 
-    def _flush(self, block: int) -> None:
+    def _push(self, tag: str, tokens: frozenset, start: int) -> None:
+        at = len(self.tags)
+        self.tags.append(tag)
+        self.parents.append(self._stack[-1])
+        self.tokens.append(tokens)
+        self.starts.append(start)
+        self.link_chars.append(0)
+        self._depths.setdefault(tag, []).append(len(self._stack))
+        self._stack.append(at)
+        self._blocks.append(at if tag in BLOCKS else self._blocks[-1])
+
+    def _cut(self, depth: int) -> None:
+        """Closes the elements at depth and below."""
+        if any(self.tags[i] in BLOCKS for i in self._stack[depth:]):
+            self._flush()
+        for i in reversed(self._stack[depth:]):
+            self._depths[self.tags[i]].pop()
+        del self._stack[depth:], self._blocks[depth:]
+
+    def _deepest(self, tags) -> int:
+        return max((self._depths[t][-1] for t in tags if self._depths.get(t)), default=0)
+
+    def _body(self) -> None:
+        """An implied body where nothing is open."""
+        if len(self._stack) == 1:
+            self._push("body", frozenset(), -1)
+            self.implied.add(self._stack[-1])
+
+    def _start(self, tag: str, attributes: str, start: int) -> None:
+        if tag in BLOCKS:
+            self._flush()
+            if tag not in ("html", "body"):
+                self._pop(*CLOSES_P)
+        if tag in CLOSES:
+            self._pop(*CLOSES[tag])
+        if tag in ("html", "head", "body"):
+            if self._stack[-1] in self.implied:
+                self._cut(len(self._stack) - 1)
+        else:
+            self._body()
+        if self.tags[self._stack[-1]] == "head":
+            self._cut(len(self._stack) - 1)
+        found = ATTRIBUTE.findall(attributes) if "=" in attributes else ()
+        self._push(tag, frozenset(t for a in found for t in "".join(a).lower().split()), start)
+
+    def _close(self, tag: str) -> None:
+        if tag in BLOCKS:
+            self._flush()
+        if depth := self._deepest((tag,)):
+            self._cut(depth)
+
+    def _pop(self, which, until) -> None:
+        """Closes the innermost open element of which, unless one of until is further in."""
+        depth = self._deepest(which)
+        if depth and depth > self._deepest(until - which):
+            self._cut(depth)
+
+    def _text(self, text: str) -> None:
+        if not text:
+            return
+        if len(self._stack) == 1 and text.strip():
+            self._body()
+        self._held.append(text)
+        if self._depths.get("a"):
+            self.link_chars[self._blocks[-1]] += len(text.strip())
+
+    def _flush(self) -> None:
         if self._held:
             text = " ".join(html.unescape("".join(self._held)).split())
             self._held.clear()
             if text:
-                self.runs.append((block, text))
+                self.runs.append((self._blocks[-1], text))
+
+
+def named(tokens: frozenset) -> tuple[bool, bool]:
+    """Whether one of the tokens is a furniture name, and whether one only contains such a word."""
+    return bool(tokens & FURNITURE), any(not FURNITURE.isdisjoint(WORD.findall(t)) for t in tokens - FURNITURE)
 
 
 def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
-    """Features of the elements that hold text or have a descendant that does, and these elements in document order."""
+    """Features of the elements that hold text or have a descendant that does, and these elements in document order.
+
+    The shares of bars and names are those of the page's text in the smallest such element that a node is or is in.
+    """
     n = len(page.tags)
-    own, subtree, runs, commas = page.own, page.subtree, [0] * n, [0] * n
+    own, subtree, runs, marks = page.own, page.subtree, [0] * n, [0] * n
     for node, text in page.runs:
         runs[node] += 1
-        commas[node] += text.count(",") + text.count(".")
-    tags, links, marks, depth = [1] * n, page.link_chars[:], commas[:], [0] * n
+        marks[node] += text.count(",") + text.count(".")
+    tags, links, depth = [1] * n, page.link_chars[:], [0] * n
     children, before, last = [0] * n, [0] * n, {}
     for i in range(1, n):
         p = page.parents[i]
@@ -220,39 +234,103 @@ def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
         tags[p] += tags[i]
         links[p] += links[i]
         marks[p] += marks[i]
+        runs[p] += runs[i]
     total = max(1, subtree[0])
-    furniture, content, inside, seen, rows, nodes = [0] * n, [0] * n, [0] * n, 0, [], []
+    content, header = [0] * n, [0] * n
+    bars, furniture, parts = [NO_SHARE] * n, [NO_SHARE] * n, [NO_SHARE] * n
+    seen, rows, nodes = 0, [], []
     for i in range(1, n):
-        p, tag, tokens = page.parents[i], page.tags[i], page.tokens[i]
-        f, c = page.furniture[i], len(tokens & CONTENT) if tokens else 0
-        furniture[i], content[i], inside[i] = furniture[p] + f, content[p] + c, inside[p] or tag in ARTICLE
-        if subtree[i]:
-            s = subtree[i]
+        p, tag, tokens, s = page.parents[i], page.tags[i], page.tokens[i], subtree[i]
+        whole, part = named(tokens) if tokens else (False, False)
+        c = len(tokens & CONTENT) if tokens else 0
+        share = s / total
+        content[i], header[i] = content[p] + c, header[p] or tag == "header"
+        bars[i] = min(bars[p], share) if tag in BARS else bars[p]
+        furniture[i] = min(furniture[p], share) if whole else furniture[p]
+        parts[i] = min(parts[p], share) if part else parts[p]
+        if s:
             rows.append((
                 tag == "p", len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "dd", "dt"), tag in ("td", "th"), tag in ("div", "section", "blockquote"),
-                page.barred(i) or tag == "header", inside[i], f, furniture[p], c, content[p], depth[i], children[i], children[p], before[i],
-                own[i], s, s / tags[i], min(1.0, links[i] / s), marks[i] / s, s / max(1, runs[i]), seen / total, s / total,
+                tag == "header", header[p], tag in BARS, bars[i], furniture[i], parts[i], c, content[p], depth[i], children[i], children[p], before[i],
+                own[i], s, s / tags[i], min(1.0, links[i] / s), marks[i] / s, s / max(1, runs[i]), seen / total, share,
             ))
             nodes.append(i)
         seen += own[i]
     return np.array(rows, np.float32).reshape(len(rows), len(FEATURES)), nodes
 
 
-def weak_labels(page: Page, nodes: list[int]) -> list[int]:
-    """1: in an article and in nothing that names furniture; 0: furniture; -1: unknown."""
-    out, state = {0: (False, False)}, {}
-    for i in range(1, len(page.tags)):
-        inside, bad = out[page.parents[i]]
-        out[i] = (inside or page.tags[i] in ARTICLE, bad or page.barred(i) or page.furniture[i] > 0 or page.tags[i] == "header" and not inside)
-        state[i] = 0 if out[i][1] else 1 if out[i][0] else -1
-    return [state[i] for i in nodes]
+def weak_labels(page: Page, nodes: list[int], unwanted: list[tuple[int, int]] = ()) -> list[int]:
+    """0: text within the unwanted parts of the source or outside the article; 1: in the article; -1: unknown.
+
+    Unknown are elements around the article, bars and furniture names inside it, and pages without one.
+    """
+    n = len(page.tags)
+    inside, around, bad, doubtful = [False] * n, [False] * n, [False] * n, [False] * n
+    for i in range(1, n):
+        p, tag = page.parents[i], page.tags[i]
+        inside[i] = inside[p] or tag in ARTICLE
+        doubtful[i] = doubtful[p] or inside[p] and (tag in BARS or named(page.tokens[i])[0])
+        bad[i] = bad[p] or any(a <= page.starts[i] < b for a, b in unwanted)
+    for i in range(n - 1, 0, -1):
+        around[page.parents[i]] |= around[i] or inside[i]
+    if not around[0]:
+        return [-1] * len(nodes)
+    return [0 if bad[i] else -1 if doubtful[i] else 1 if inside[i] else -1 if around[i] else 0 for i in nodes]
+
+
+def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int]]] | None:
+    """The page with blocks of its own sentences put into its article, and where the unwanted ones stand; None without paragraphs in an article."""
+    rng = random.Random(seed)
+    article = re.search(r"<(article|main)\b[^>]*>(.*?)(?=</\1\s*>|\Z)", source, re.S | re.I)
+    if not article:
+        return None
+    places = [m.start() + article.start(2) for m in re.finditer(r"<p[\s>]", article[2], re.I)]
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", re.sub(r"<[^>]*>", " ", article[2])) if s.strip() and "<" not in s]
+    if not places or not sentences:
+        return None
+    names, near = sorted(FURNITURE), ("no-{}", "has-{}", "with-{}", "{}-price", "entry-{}", "un{}")
+    blocks = []
+    for kind in rng.sample(range(5), 3):
+        name, attribute = rng.choice(names), rng.choice(("class", "id", "class", "role"))
+        said, wanted = [], rng.choice((0, 0, rng.random())) * len(article[2])  # from one sentence to half of the page
+        while not said or sum(map(len, said)) < wanted:
+            said.append(" ".join(rng.choices(sentences, k=rng.randrange(1, 4))))
+        inner = "".join(f"<p>{s}</p>" for s in said) if len(said) > 1 or rng.random() < 0.5 else said[0]
+        tag = rng.choice(("div", "div", "section", "ul"))
+        if kind == 0:
+            blocks.append((f'<{tag} {attribute}="{rng.choice(["", "box "])}{name}">{inner}</{tag}>', True))
+        elif kind == 1:
+            bar = rng.choice(sorted(BARS))
+            blocks.append((f"<{bar}>{inner}</{bar}>", True))
+        elif kind == 2:
+            blocks.append((f'<p class="{name}">{rng.choice(sentences)}</p>', True))
+        elif kind == 3:
+            blocks.append((f'<{tag} {attribute}="{rng.choice(near).format(name)}">{inner}</{tag}>', False))
+        else:
+            blocks.append((rng.choice(('<header class="entry-header"><h2>{0}</h2></header>', '<p class="share-price">{0}</p>', "<header><h2>{0}</h2></header>")).format(rng.choice(sentences)), False))
+    out, unwanted, at = [], [], 0
+    length = 0
+    for place, (block, bad) in sorted(zip(rng.choices(places, k=len(blocks)), blocks, strict=True), key=lambda x: x[0]):
+        length += place - at
+        out += [source[at:place], block]
+        if bad:
+            unwanted.append((length, length + len(block)))
+        at, length = place, length + len(block)
+    made = "".join(out) + source[at:]
+    body = re.search(r"<body\b[^>]*>", made, re.I)
+    if body and rng.random() < 0.4:
+        around = rng.choice(('<form action="/">', "<form>", f'<div id="page" class="{rng.choice(names)}">', f'<div class="{rng.choice(near).format(rng.choice(names))}">'))
+        made = made[: body.end()] + around + made[body.end() :]
+        unwanted = [(a + len(around), b + len(around)) if a >= body.end() else (a, b) for a, b in unwanted]
+    return made, unwanted
 
 
 @dataclass(frozen=True)
 class Settings:
     pages: int = 1500  # pages that the trees are fitted on at most
-    rounds: int = 12
-    depth: int = 4
+    furnished: int = 600  # furnished copies of them at least, one a page at least
+    rounds: int = 20
+    depth: int = 5
     seed: int = 5
 
 
@@ -291,29 +369,31 @@ class Trees:
 
 
 class Markup:
-    """Where pages give no weak labels of both kinds: the markup's features alone."""
+    """Where no page marks its article: a few of the features by hand."""
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         at = {name: x[:, FEATURES.index(name)] for name in FEATURES}
-        return 0.5 + at["article"] - 2 * at["never"] - 2 * np.minimum(1, at["furniture"] + at["furniture_above"]) - 2 * (at["link_share"] > 0.5)
+        small = np.minimum(at["bar_share"], at["furniture_share"]) < 0.5
+        return 1.0 - 3 * small - 3 * (at["link_share"] > 0.5)
 
 
 def train(pages: DataFrame, settings: Settings = Settings()):
     s = settings
     sample = bounded_sample(pages.select("page_id", "html"), "page_id", s.pages, s.seed)
+    copies = -(-s.furnished // max(1, sample.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = [], []
-            for page_id, source in zip(batch.column(0), batch.column(1), strict=True):
-                page = Page(source.as_py())
-                rows, nodes = node_features(page)
-                if len(nodes) and (page_id.as_py() or 0) % 2:
-                    rows[:, MARKUP] = 0
-                for row, label in zip(rows.tolist(), weak_labels(page, nodes), strict=True):
-                    if label >= 0:
-                        x.append(row)
-                        y.append(float(label))
+            for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                more = [furnished(source, ((page_id or 0) * copies + k) * 31 + s.seed) for k in range(copies)]
+                for text, unwanted in ((source, []), *(m for m in more if m)):
+                    page = Page(text)
+                    rows, nodes = node_features(page)
+                    for row, label in zip(rows.tolist(), weak_labels(page, nodes, unwanted), strict=True):
+                        if label >= 0:
+                            x.append(row)
+                            y.append(float(label))
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], names=["x", "label"])
 
     rows = sample.mapInArrow(run, "x array<double>, label double").select(array_to_vector("x").alias("features"), "label").cache()
@@ -326,24 +406,21 @@ def train(pages: DataFrame, settings: Settings = Settings()):
 
 
 def decode(page: Page, nodes: list[int], margins: np.ndarray) -> set[int]:
-    """The kept elements: those whose subtrees add to the sum of scores, weighed by the text they hold; furniture never, unless the page is wrapped in it.
+    """The elements kept: of all sets that hold the root and each member's parent, one with the largest sum of scores less CUT for each node whose parent alone is in it.
 
-    A page with text in implied bodies alone has one block and nothing to choose from: it is kept.
+    A node's score is its margin, weighed by the text of its own. A page with text in implied bodies alone has one block and
+    nothing to choose from: it is kept.
     """
     if all(node in page.implied for node, _ in page.runs):
         return {0} | page.implied
     gain = [0.0] * len(page.tags)
-    score = dict(zip(nodes, margins.tolist(), strict=True))
+    for i, margin in zip(nodes, margins.tolist(), strict=True):
+        gain[i] = margin * (page.own[i] ** 0.5 + 1)
     for i in reversed(nodes):
-        if page.barred(i) or page.furniture[i] and page.tags[i] not in ("html", "body"):
-            gain[i] = -1.0
-            continue
-        gain[i] += score[i] * (page.own[i] ** 0.5 + 1)
-        if gain[i] > 0:
-            gain[page.parents[i]] += gain[i]
+        gain[page.parents[i]] += max(gain[i], -CUT)
     kept = {0}
     for i in nodes:
-        if page.parents[i] in kept and (gain[i] > 0):
+        if page.parents[i] in kept and gain[i] > -CUT:
             kept.add(i)
     return kept
 
@@ -352,9 +429,9 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """One row per row of pages: page_id, url, text (blocks of the article in page order, joined by a line feed), n_chars.
 
     - null and empty html, and pages without article text: text is empty, n_chars 0;
-    - html cut short or badly nested is read as far as it goes;
+    - html cut short or badly nested is read as far as it goes; a tag that never ends takes the rest of the page with it;
     - repeated rows give repeated results; null ids and urls are passed on;
-    - pages that name neither articles nor furniture are decoded by the markup's features alone;
+    - where no page marks its article, a few features decide by fixed weights in place of the trees;
     - an empty table gives an empty result; columns other than page_id, url, html are not looked at.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
