@@ -12,6 +12,7 @@ their place by their rank among the pieces of their length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,10 @@ from .common import Scratch, load, text_or_empty
 WINDOW = 1024
 #: Tokens that the vocabulary has besides the ranks; they are found inside texts too.
 ADDED = {"<|endoftext|>": 50256}
+#: What the vocabulary's pattern takes for white space. A run of it is one piece, but for the last character where more text follows.
+#: The library's pattern gives up on runs of a million; those of LONG_RUN are taken out of the text beforehand.
+LONG_RUN = 100_000
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part long, nth long"
 _encoders: dict[str, object] = {}
 
@@ -39,29 +44,47 @@ def tokenizer_path() -> str:
 
 
 def encoder(path: str):
-    """The byte-level BPE of the vocabulary file and its one added token; kept for the life of the Python worker."""
+    """The byte-level BPE of the vocabulary file and its one added token, and the same of whole texts as one piece; kept for the life of the Python worker."""
     if path not in _encoders:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        split = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+        _encoders[path] = split, tiktoken.Encoding("piece", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
 
+def encode(path: str, text: str) -> np.ndarray:
+    """The text's ids; added tokens count wherever they stand."""
+    split, piece = encoder(path)
+    if len(text) < LONG_RUN or not BLANKS.search(text):
+        return split.encode_to_numpy(text, allowed_special="all")
+    ((added, added_id),), out = ADDED.items(), []
+    for k, part in enumerate(text.split(added)):
+        at = 0
+        out += [np.full(min(k, 1), added_id, np.uint32)]
+        for run in BLANKS.finditer(part):
+            end = run.end() - (run.end() < len(part))
+            out += [split.encode_to_numpy(part[at : run.start()]), piece.encode_to_numpy(part[run.start() : end])]
+            at = end
+        out.append(split.encode_to_numpy(part[at:]))
+    return np.concatenate(out)
+
+
 def cut_pieces(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
     """Rows of PIECES: whole windows and one remainder per document; nth counts a task's pieces of one length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(path).encode_to_numpy, TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64)
         for batch in batches:
             out: list[tuple] = []
             ids_column, texts = batch.column(0), batch.column(1)
             for i in range(batch.num_rows):
                 doc_id = ids_column[i].as_py()
-                ids = np.append(encode(texts[i].as_py(), allowed_special="all").astype("<u4"), np.uint32(0))
+                ids = np.append(encode(path, texts[i].as_py()).astype("<u4"), np.uint32(0))
                 raw, total = memoryview(ids.tobytes()), len(ids)
                 for start in range(0, total, window):
                     length = min(window, total - start)
