@@ -1,7 +1,7 @@
 """Personal data by weak supervision.
 
-Fixed patterns give the base spans, which always stay. Looser patterns propose further
-candidates. Regex, gazetteer and context labelers vote on every span of either sort;
+Fixed patterns give the base spans, which always stay. Looser patterns, and matches of the
+fixed ones that fail their checks, propose further candidates. Regex, gazetteer and context labelers vote on every span of either sort;
 expectation-maximisation over the vote patterns, whose counts Spark sums over all
 documents, estimates each labeler's reliability by kind; and a logistic span classifier
 is trained on the posteriors, weighted by the counts, so every span of the corpus bears
@@ -12,6 +12,7 @@ accepts and that touch no base span are added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,42 +67,49 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(free, at + 1))
 
 
-def base_spans(text: str) -> list[tuple[int, str, int]]:
-    """(start, kind, end) of the fixed patterns, checks passed, by start and then kind as listed."""
-    out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
+def scanned(text: str) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
+    """(start, kind, end) of the fixed patterns by start and then kind as listed: those that pass their checks, and near misses."""
+    out, missed = [(s, 0, e) for s, e in emails(text)] if "@" in text else [], []
     if NUMBER.search(text):
         for m in IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p[-3:]) <= 255 for p in m[0].split(".")):
+            parts = [p.lstrip("0") for p in m[0].split(".")]
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
                 out.append((m.start(), 1, m.end()))
+            elif len(m[0]) <= 23:
+                missed.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
-            if 12 <= len(digits) <= 19 and luhn(digits):
-                out.append((m.start(), 2, m.end()))
+            if 12 <= len(digits) <= 19:
+                (out if luhn(digits) else missed).append((m.start(), 2, m.end()))
         for m in PHONE.finditer(text) if "+" in text else ():
-            if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+            n = sum(c.isdigit() for c in m[0])
+            if 9 <= n <= 15:
                 out.append((m.start(), 3, m.end()))
-    return [(s, KINDS[k], e) for s, k, e in sorted(out)]
+            elif 6 <= n <= 18:
+                missed.append((m.start(), 3, m.end()))
+    return tuple([(s, KINDS[k], e) for s, k, e in sorted(found)] for found in (out, missed))
 
 
 NUMBER = re.compile(r"[0-9]")
 
 
-def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """Looser matches that touch no base span and no other candidate."""
-    found = []
+def candidates(text: str, base: list[tuple[int, str, int]], missed: list[tuple[int, str, int]]) -> list[tuple[int, str, int, int]]:
+    """Looser matches (ABSTAIN) and near misses (NO) that touch no base span and no other candidate."""
+    found = [(*span, NO) for span in missed]
     if "at" in text and re.search(r"[(\[{<]at[)\]}>]", text):
-        found += [(m.start(), "email", m.end()) for m in SPELT.finditer(text)]
+        found += [(m.start(), "email", m.end(), ABSTAIN) for m in SPELT.finditer(text)]
     if NUMBER.search(text):
-        found += [(m.start(), "phone", m.end()) for m in LOCAL_PHONE.finditer(text)]
-    taken, out = sorted((s, e) for s, _, e in base), []
-    for s, kind, e in sorted(found):
-        if all(e <= x or s >= y for x, y in taken) and (not out or s >= out[-1][2]):
-            out.append((s, kind, e))
+        found += [(m.start(), "phone", m.end(), ABSTAIN) for m in LOCAL_PHONE.finditer(text)]
+    ends = np.maximum.accumulate([0, *(e for _, _, e in base)])  # of the base spans before each, the furthest end
+    starts, out = [s for s, _, _ in base], []
+    for s, kind, e, check in sorted(found):
+        if ends[bisect_left(starts, e)] <= s and (not out or s >= out[-1][2]):
+            out.append((s, kind, e, check))
     return out
 
 
-def votes(text: str, span: tuple[int, str, int], fixed: bool) -> tuple[int, ...]:
-    """What each of LABELERS says of a span."""
+def votes(text: str, span: tuple[int, str, int], check: int) -> tuple[int, ...]:
+    """What each of LABELERS says of a span; check: whether it passes the checks of a fixed pattern, if one matches."""
     start, kind, end = span
     body = text[start:end]
     digits = "".join(c for c in body if c.isdigit())
@@ -110,8 +118,7 @@ def votes(text: str, span: tuple[int, str, int], fixed: bool) -> tuple[int, ...]
         gazetteer = YES if re.split(r"[^A-Za-z]+", body.lower())[-1] in ENDINGS else NO
         shape = YES if len(body) <= 80 else NO
     elif kind == "ip":
-        first = digits and int(body.split(".")[0])
-        gazetteer = NO if first in (0, 255) else YES
+        gazetteer = NO if body.split(".")[0].lstrip("0") in ("", "255") else YES
         shape = NO if body.startswith("0") else YES
     elif kind == "card":
         gazetteer = YES if digits.startswith(ISSUERS) else NO
@@ -119,9 +126,9 @@ def votes(text: str, span: tuple[int, str, int], fixed: bool) -> tuple[int, ...]
     else:
         gazetteer = (YES if digits.startswith(CALLING) else NO) if body.startswith("+") else ABSTAIN
         shape = YES if 9 <= len(digits) <= 13 else NO
-    around = text[start - 1 : start] + text[end : end + 1]
+    around = text[max(0, start - 1) : start] + text[end : end + 1]
     return (
-        YES if fixed else ABSTAIN,
+        check,
         gazetteer,
         NO if near & AGAINST else YES if near & NEAR[kind] else ABSTAIN,
         NO if any(c.isalnum() or c in "#$@_" for c in around) else YES,
@@ -130,7 +137,7 @@ def votes(text: str, span: tuple[int, str, int], fixed: bool) -> tuple[int, ...]
 
 
 def look(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans: text form of the base ones, and start, end, kind, votes, whether base, and a size class of all."""
+    """doc_id and its spans: start, end, kind, votes, whether base, and a size class of all."""
     span = "struct<start:long,kind:int,end:long,base:boolean,votes:int,size:int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +146,10 @@ def look(docs: DataFrame) -> DataFrame:
             spans = []
             for text in batch.column(1):
                 t, rows = text.as_py(), []
-                base = base_spans(t)
-                for fixed, found in ((True, base), (False, candidates(t, base))):
-                    for s in found:
-                        code = sum(v * 3**i for i, v in enumerate(votes(t, s, fixed)))
-                        rows.append({"start": s[0], "kind": KINDS.index(s[1]), "end": s[2], "base": fixed, "votes": code, "size": min(9, (s[2] - s[0]) // 5)})
+                base, missed = scanned(t)
+                for *s, check in [*((*s, YES) for s in base), *candidates(t, base, missed)]:
+                    code = sum(v * 3**i for i, v in enumerate(votes(t, s, check)))
+                    rows.append({"start": s[0], "kind": KINDS.index(s[1]), "end": s[2], "base": check == YES, "votes": code, "size": min(9, (s[2] - s[0]) // 5)})
                 spans.append(rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(kind_type))], names=["doc_id", "spans"])
 
