@@ -24,6 +24,8 @@ MARGINS = ("source", "lang", "topic")
 #: Targets of a margin are its shares of tokens to these powers: 1 keeps the mix, 0 makes it even.
 POWERS = {"source": 0.7, "lang": 0.7, "topic": 0.9}
 ROUNDS = 10
+TOLERANCE = 1e-8
+ONE_TASK = 100_000  # cells, not documents, that one task rakes
 SEED = "mix-1"
 
 
@@ -44,54 +46,69 @@ def topic(text: Column) -> Column:
     )
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS, share: float | None = None) -> DataFrame:
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, share: float | None = None, tolerance: float = TOLERANCE, most: int = 8
+) -> DataFrame:
     """cells (the margins' columns, tokens) with weight: in proportion to tokens, each margin as in targets (margin, target share).
 
-    Margins are met in turn, rounds times over; shares of values that no cell has are left out.
+    Margins are met in turn. After every so many rounds the weights are written, until the last round has changed none by more than
+    tolerance of their sum, or as many tables as most are written. Shares of values that no cell has are left out.
     With share, weights are tokens to keep, that share of all, and no cell's is more than it has.
     """
     out = cells.withColumn("weight", F.col("tokens").cast("double"))
-    if share is not None:
-        out = out.withColumn("budget", F.sum("tokens").over(W.partitionBy(F.lit(1))) * F.lit(share))
+    budget = None if share is None else share * (cells.agg(F.sum("tokens")).first()[0] or 0)
     for margin, target in targets.items():
         out = out.join(target.select(margin, F.col("target").alias(f"target_{margin}")), margin)
-    for _ in range(rounds):
-        for margin in targets:
-            total = F.sum("weight").over(W.partitionBy(margin))
-            met = F.col("weight") * F.col(f"target_{margin}") / total
-            if share is not None:
-                met = F.least(met * F.col("budget"), F.col("tokens").cast("double"))
-            out = out.withColumn("weight", F.when(total > 0, met).otherwise(0.0))
-    return out.drop("budget", *(f"target_{m}" for m in targets))
+    few = cells.count() <= ONE_TASK  # these need no shuffle; more are dealt by each margin in turn
+    for k in range(most):
+        out = out.coalesce(1) if few else out
+        for _ in range(rounds):
+            out = out.withColumn("was", F.col("weight"))
+            for margin in targets:
+                total = F.sum("weight").over(W.partitionBy(margin))
+                met = F.col("weight") * F.col(f"target_{margin}") / total
+                if budget is not None:
+                    met = F.least(met * F.lit(float(budget)), F.col("tokens").cast("double"))
+                out = out.withColumn("weight", F.when(total > 0, met).otherwise(0.0))
+        out = scratch.table(out, f"raked_{k}")
+        moved, whole = out.agg(F.max(F.abs(F.col("weight") - F.col("was"))), F.sum("weight")).first()
+        if not whole or moved <= tolerance * whole:
+            break
+    return out.drop("was", *(f"target_{m}" for m in targets))
 
 
 def filled(weighed: DataFrame, share: float) -> DataFrame:
     """weighed (margins, tokens, weight, ratio) with probability = min(1, c * ratio), c such that tokens * probability add to share of all tokens.
 
-    With cells in ascending order of ratio, c follows from the first k cells if all others
-    are kept whole; it is right for the largest k at which the k-th is not above 1. Where no k is, all cells are whole.
+    c is what the cells below 1 need once those at 1 are kept whole; as c grows, more of them reach 1, until none does.
     """
-    rising = W.partitionBy(F.lit(1)).orderBy("ratio", *MARGINS)
-    whole = F.sum("tokens").over(W.partitionBy(F.lit(1)))
-    steps = weighed.where("ratio > 0").select("ratio", "tokens", F.sum("weight").over(rising).alias("scaled"), (whole - F.sum("tokens").over(rising)).alias("above"))
-    budget = weighed.agg((F.sum("tokens") * F.lit(share)).alias("budget"))
-    steps = steps.crossJoin(F.broadcast(budget)).withColumn("c", (F.col("budget") - F.col("above")) / F.col("scaled"))  # budget is one row
-    scale = steps.where("c > 0 AND c * ratio <= 1 + 1e-12").agg(F.max_by("c", F.struct("ratio", "scaled")).alias("c"))
-    probability = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.coalesce("c", F.lit(float("inf"))) * F.col("ratio"))).otherwise(0.0)
-    return weighed.crossJoin(F.broadcast(scale)).select(*MARGINS, probability.alias("probability"))
+    tokens = lambda where: F.coalesce(F.sum(F.when(where, F.col("tokens"))), F.lit(0))
+    all_tokens = weighed.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    c = 0.0
+    while True:
+        whole = (F.col("ratio") > 0) & (F.lit(c) * F.col("ratio") >= 1)
+        scaled, above = weighed.agg(F.coalesce(F.sum(F.when((F.col("ratio") > 0) & ~whole, F.col("weight"))), F.lit(0.0)), tokens(whole)).first()
+        needed = (share * all_tokens - above) / scaled if scaled > 0 else float("inf")
+        if scaled == 0 or needed <= c * (1 + 1e-12):
+            c = max(c, needed)
+            break
+        c = needed
+    probability = F.when(F.col("ratio") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("ratio"))).otherwise(0.0)
+    return weighed.select(*MARGINS, probability.alias("probability"))
 
 
 def to_top(weighed: DataFrame) -> DataFrame:
     """weighed with probability = ratio over the largest ratio, to six places."""
-    top = weighed.agg(F.max("ratio").alias("top"))
-    return weighed.crossJoin(F.broadcast(top)).select(*MARGINS, F.round(F.coalesce(F.try_divide("ratio", "top"), F.lit(0.0)), 6).alias("probability"))  # top is one row
+    top = weighed.agg(F.max("ratio")).first()[0]
+    return weighed.select(*MARGINS, F.round(F.col("ratio") / F.lit(top) if top else F.lit(0.0), 6).alias("probability"))
 
 
 def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     """Target shares of a margin: its token shares to a power, summing to 1."""
     sums = cells.groupBy(margin).agg(F.sum("tokens").alias("n"))
-    wanted = F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(power))).otherwise(0.0)
-    return sums.withColumn("wanted", wanted).withColumn("target", F.coalesce(F.try_divide("wanted", F.sum("wanted").over(W.partitionBy(F.lit(1)))), F.lit(0.0))).select(margin, "target")
+    wanted = sums.select(margin, F.when(F.col("n") > 0, F.pow(F.col("n").cast("double"), F.lit(power))).otherwise(0.0).alias("wanted"))
+    whole = wanted.agg(F.sum("wanted")).first()[0]
+    return wanted.select(margin, (F.col("wanted") / F.lit(whole) if whole else F.lit(0.0)).alias("target"))
 
 
 def mix(
@@ -114,7 +131,7 @@ def mix(
     rows = scratch.table(docs.select("doc_id", unknown("source"), unknown("lang"), topic(text).alias("topic"), tokens(text).alias("n_tokens")), "rows")
     cells = scratch.table(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "cells")
     targets = targets or {m: tempered(cells, m, powers[m]) for m in MARGINS}
-    weighed = scratch.table(rake(cells, targets, rounds, share), "weights").withColumn("ratio", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
+    weighed = scratch.table(rake(cells, targets, scratch, rounds, share), "weights").withColumn("ratio", F.coalesce(F.try_divide("weight", "tokens"), F.lit(0.0)))
     calibrated = scratch.table(to_top(weighed) if share is None else filled(weighed, share), "calibrated")
     return rows.join(calibrated, list(MARGINS)).select("doc_id", *MARGINS, "n_tokens", "probability", (draw(seed) < F.col("probability")).alias("sampled"))
 
