@@ -26,7 +26,7 @@ from .common import Scratch, load, text_or_empty
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
 ARCHIVE_BYTES, ARCHIVE_RECORDS, REQUEST_BYTES = 64 << 20, 20_000, 1 << 20
-RECORDS = "archive string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
+RECORDS = "archive string, record_id string, page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
 class _Stream:
@@ -36,19 +36,22 @@ class _Stream:
         self.write, self.flush = file.write, lambda: None
 
 
-def warc_record(page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+def warc_record(record_id: str, page_id: int | None, url: str, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
+    """page_id and refers_to are the table's ids; record_id is the record's own and differs between any two records."""
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:uuid:{record_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         "WARC-Target-URI: " + " ".join(url.split()),
         f"WARC-Payload-Digest: sha1:{digest}",
         "Content-Type: application/http; msgtype=response",
     ]
+    if page_id is not None:
+        head.append(f"Page-ID: {page_id}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
     else:
         block += payload
     head.append(f"Content-Length: {len(block)}")
@@ -66,19 +69,20 @@ def parse_record(raw: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(dict(line.split(": ", 1) for line in http.decode().split("\r\n")[1:])["Content-Length"])
-    page = lambda urn: int(urn[len("<urn:page:") : -1]) if len(urn) > len("<urn:page:>") else None
+    page = lambda name: int(fields[name]) if name in fields else None
     revisit = fields["WARC-Type"] == "revisit"
     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
     if not revisit and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"record {fields['WARC-Record-ID']}: payload and digest differ")
     return {
-        "page_id": page(fields["WARC-Record-ID"]),
+        "record_id": fields["WARC-Record-ID"].removeprefix("<urn:uuid:").removesuffix(">"),
+        "page_id": page("Page-ID"),
         "url": fields["WARC-Target-URI"],
         "record_type": fields["WARC-Type"],
         "payload": None if revisit else payload,
         "payload_bytes": size,
         "payload_digest": digest,
-        "refers_to": page(fields["WARC-Refers-To"]) if revisit else None,
+        "refers_to": page("Refers-To-Page-ID"),
     }
 
 
@@ -91,14 +95,15 @@ def write_archives(pages: DataFrame, where: str, most_bytes: int = ARCHIVE_BYTES
         rows = (row for batch in batches for row in zip(*batch.columns, strict=True))
         row = next(rows, None)
         while row is not None:
-            name = f"{uuid.uuid4().hex}.wacz"
+            own = uuid.uuid4()
+            name = f"{own.hex}.wacz"
             index, offset = [], 0
             with fs.open_output_stream(f"{base}/{name}", compression=None) as file, zipfile.ZipFile(_Stream(file), "w", zipfile.ZIP_STORED) as archive:
                 with archive.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as data:
                     while row is not None and offset < most_bytes and len(index) < most_records:
                         page_id, url, html, digest, keeper = (x.as_py() for x in row)
                         revisit = keeper is not None and keeper != page_id
-                        raw = gzipped(warc_record(page_id, url, html.encode(), digest, keeper, revisit))
+                        raw = gzipped(warc_record(str(uuid.uuid5(own, str(len(index)))), page_id, url, html.encode(), digest, keeper, revisit))
                         data.write(raw)
                         index.append(json.dumps({"url": url, "offset": offset, "length": len(raw)}))
                         offset += len(raw)
@@ -173,11 +178,16 @@ def records(archive: str) -> Iterator[dict]:
 
 
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
-    """All records of the archives named in manifest: rows of RECORDS; without payload its column is null."""
+    """All records of the archives named in manifest: rows of RECORDS; without payload its column is null.
+
+    - an empty manifest gives no rows; an archive named twice is read twice; other columns of manifest are not looked at;
+    - a null or missing archive, one that is no stored ZIP with both members, or a record that differs from its digest is an error;
+    - records of pages without an id have a null page_id; record_id is never null and never repeated within the archives of a run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["archive", "page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
-        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
+        fields = ["archive", "record_id", "page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
+        types = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()]
 
         def out(rows):
             return pa.RecordBatch.from_arrays([pa.array([r[f] for r in rows], t) for f, t in zip(fields, types, strict=True)], names=fields)
