@@ -155,16 +155,149 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in sources.recorded_scores(spark, str(path)).collect()] == [("b", {"f": 0.5}, ["f"])]
 
 
-def test_upsert(spark, tmp_path):
-    table, staging = str(tmp_path / "t"), str(tmp_path / "s")
+def test_upsert(spark, tmp_path, monkeypatch):
+    table, schema = str(tmp_path / "t"), "bug_id string, status string"
+    read = lambda: {tuple(r) for r in sources.stored(spark, table, schema).collect()}
+    assert read() == set()
     for rows in ([("a", "failed"), ("b", "skipped")], [("b", "success"), ("c", None)]):
-        sources.write_upserted(spark.createDataFrame(rows, "bug_id string, status string"), table, staging)
-    assert {tuple(r) for r in spark.read.parquet(table).collect()} == {("a", "failed"), ("b", "success"), ("c", None)}
+        sources.write_upserted(spark.createDataFrame(rows, schema), table)
+    want = {("a", "failed"), ("b", "success"), ("c", None)}
+    assert read() == want
+    broken = spark.createDataFrame([("a", "x")], schema).withColumn("status", F.raise_error(F.lit("lost")).cast("string"))
+    for _ in range(2):
+        try:
+            sources.write_upserted(broken, table)
+            raise AssertionError("the write should fail")
+        except Exception as e:
+            assert "lost" in str(e)
+        assert read() == want
+    sources.write_upserted(spark.createDataFrame([("d", "failed")], schema), table)
+    assert read() == want | {("d", "failed")} and len(list((tmp_path / "t").glob("version-*"))) == 2
     scores = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "bug_id string")
     prior = spark.createDataFrame([("a", "skipped"), ("b", "failed"), ("c", None)], "bug_id string, status string")
     assert {r["bug_id"] for r in results.pending(scores, prior).collect()} == {"a", "d"}
 
 
+def test_missing_files_have_no_rows(spark, tmp_path):
+    gone = str(tmp_path / "gone")
+    found = [sources.bugs(spark, gone), sources.bug(spark, gone, "x"), sources.metadata(spark, gone), sources.recorded_scores(spark, gone), sources.recorded_results(spark, gone), sources.cases(spark, gone), sources.source_texts(spark, gone)]
+    assert [df.count() for df in found] == [0] * len(found) and found[0].columns[:2] == ["bug_id", "dataset"]
+
+
+def test_cases_in_order(spark, tmp_path):
+    for bug in ("1-A-bug-1-2", "2-B-bug-3-4"):
+        folder = tmp_path / bug
+        folder.mkdir()
+        for name in ("pos10", "pos2", "neg1", "heldout-neg1", "heldout-pos3", "pos7"):
+            (folder / f"input-{name}").write_text("1")
+            if name != "pos7":
+                (folder / f"output-{name}").write_text("1")
+    got = sources.cases(spark, [str(tmp_path / b) for b in ("1-A-bug-1-2", "2-B-bug-3-4")]).orderBy("bug_id", "place").collect()
+    assert [r["test_id"] for r in got] == ["pos10", "pos2", "neg1", "heldout-pos3", "heldout-neg1"] * 2 and {r["bug_id"] for r in got} == {"1-A-bug-1-2", "2-B-bug-3-4"}
+
+
+SOURCE = "int f(int a) {\n  return a + 1;\n}\nint g(int a) {\n  return 7;\n}\n"
+TESTS = [("t1", "PASS", [], "1", "1", None), ("t2", "FAIL", [], "2", "3", "wrong"), ("t3", "pass", [], "", "", None)]
+
+
+def repair_inputs(spark):
+    scores = [("x", "p.c::g", 0.9), ("x", "p.c::f", 0.8), ("y", "p.c::f", 0.8), ("y", "p.c::g", 0.5), ("z", "p.c::f", 0.0), ("v", "p.c::g", 1.0), ("w", "p.c::f", 1.0)]
+    ids = [b for b in "xyzv"]
+    return (
+        spark.createDataFrame(scores, "bug_id string, method string, score double"),
+        spark.createDataFrame([(b, SOURCE) for b in ids], "bug_id string, text string"),
+        spark.createDataFrame([(b, TESTS) for b in ids if b != "v"], f"bug_id string, tests array<{sources.TEST}>"),
+    )
+
+
+def test_result_rows_of_mutants(spark):
+    facts = [("x", "p.c::f", 1, "t2", False), ("x", "p.c::f", 1, "t1", True), ("x", "p.c::f", 2, "t2", True), ("x", "p.c::f", 2, "t1", True), ("y", "p.c::f", 2, "t1", True), ("y", "p.c::f", 2, "t2", False)]
+    facts = spark.createDataFrame(facts, "bug_id string, method string, ord int, test_id string, passed boolean")
+    got = {r["bug_id"]: r for r in repair.repaired_by_mutants(*repair_inputs(spark), repair.recorded(facts)).collect()}
+    assert set(got) == {"x", "y", "z", "v"}
+    x, y = got["x"], got["y"]
+    assert (x["status"], x["selected_function"], x["patch_file"]) == ("success", "p.c::f", "x_mutation_patch.c") and x["patched_file"] == SOURCE.replace(" + 1", " ")
+    assert (x["init_passed_tests"], x["init_failed_tests"], x["post_passed_tests"], x["post_failed_tests"]) == (["t1"], ["t2"], ["t1", "t2"], []) and x["mutation_strategy"] == mutants.DESCRIPTION % ("+ 1", "")
+    assert (y["status"], y["selected_function"], y["patch_file"]) == ("failed", "p.c::g", "y_mutation_best_effort.c")  # the last function tried, though it has no mutant
+    assert y["patched_file"] == SOURCE.replace(" + 1", " ") and (y["post_passed_tests"], y["post_failed_tests"]) == (["t1"], ["t2"])
+    assert (got["z"]["status"], got["z"]["selected_function"], got["z"]["patched_file"]) == ("skipped", None, None)
+    assert (got["v"]["status"], got["v"]["selected_function"], got["v"]["init_passed_tests"]) == ("skipped", "p.c::g", [])
+
+
+def test_result_rows_of_replies(spark):
+    scores, files, bugs = repair_inputs(spark)
+    note = f"```c\n{names.NOTE}\nint f(int a) {{ return a; }}\n```"
+    replies = spark.createDataFrame([("x", "p.c::f", note), ("y", "p.c::f", "int f(int a) { return 0; }")], "bug_id string, method string, reply string")
+    facts = spark.createDataFrame([("x", "p.c::f", 1, "t2", True), ("y", "p.c::f", 1, "t2", False)], "bug_id string, method string, ord int, test_id string, passed boolean")
+    prompts = []
+    provider = lambda asked: prompts.append(asked) or repair.replay(replies)(asked)
+    got = {r["bug_id"]: r for r in repair.repaired_by_replies(scores, files, bugs, provider, repair.recorded(facts)).collect()}
+    state = {b: (r["status"], r["selected_function"], r["patched_function"], r["patch_file"]) for b, r in got.items()}
+    assert state == {
+        "x": ("success", "p.c::f", "int f(int a) { return a; }", "x_patch.c"),
+        "y": ("failed", "p.c::g", "int f(int a) { return 0; }", None),
+        "z": ("skipped", None, None, None),
+        "v": ("llm_failed", "p.c::g", None, None),
+    }
+    said = prompts[0].where("bug_id = 'x' AND method = 'p.c::f'").first()["prompt"]
+    assert SOURCE in said and "wrong" in said
+
+
+def test_result_rows_of_a_search(spark):
+    scores = spark.createDataFrame([(b,) for b in ("1-A-bug-1-2", "2-A-bug-1-2", "3-A-bug-1-2", "4-A-bug-1-2", "5-A-bug-1-2", "gone", "odd")], "bug_id string")
+    known = ["1-A-bug-1-2", "2-A-bug-1-2", "3-A-bug-1-2", "4-A-bug-1-2", "5-A-bug-1-2", "odd"]
+    bugs = spark.createDataFrame([(b, "p.c", TESTS) for b in known], f"bug_id string, source_file string, tests array<{sources.TEST}>")
+    fixed = SOURCE.replace("7", "8")
+    schema = "bug_id string, revlog string, output string, log_path string, original string, repaired string, built boolean"
+    searches = [
+        ("1-A-bug-1-2", "Positive Cases: Tot 4", "Repair Found", "l", SOURCE, fixed, True), ("2-A-bug-1-2", None, "Repair Found", "l", SOURCE, fixed, False), ("3-A-bug-1-2", None, "Timeout", "l", SOURCE, None, None),
+        ("4-A-bug-1-2", None, "Timeout", "l", SOURCE, fixed, True), ("odd", None, "Repair Found", "l", SOURCE, fixed, True),
+    ]
+    runs = spark.createDataFrame([("1-A-bug-1-2", "t1", True), ("1-A-bug-1-2", "t2", False), ("2-A-bug-1-2", "t1", True)], "bug_id string, test_id string, passed boolean")
+    got = {r["bug_id"]: r for r in repair.repaired_by_search(scores, bugs, spark.createDataFrame(searches, schema), runs).collect()}
+    assert {b: r["status"] for b, r in got.items()} == {
+        "1-A-bug-1-2": "plausible_only", "2-A-bug-1-2": "plausible_only", "3-A-bug-1-2": "timeout", "4-A-bug-1-2": "timeout_repaired", "5-A-bug-1-2": "error", "gone": "skipped", "odd": "error",
+    }
+    first, second, gone = (got[b] for b in ("1-A-bug-1-2", "2-A-bug-1-2", "gone"))
+    assert (first["selected_function"], first["post_passed_tests"], first["post_failed_tests"], first["pos_tests_revlog"]) == ("p.c::g", ["t1"], ["t2"], 4) and "return 8" in first["patched_function"]
+    assert (second["post_passed_tests"], second["post_failed_tests"], second["pos_tests_revlog"], second["neg_tests_revlog"]) == ([], [repair.UNBUILT], 1, 1)
+    assert (gone["init_passed_tests"], gone["patched_file"], gone["genprog_log"]) == ([], None, None)
+
+
+def test_changed_functions(spark):
+    pairs = [
+        ("optional type", "bool solve(int a) { return a < 1; }\nint main() { }", "bool solve(int a) { return a <= 1; }\nint main() { }"), ("none", SOURCE, SOURCE),
+        ("new", SOURCE, SOURCE + "int h() { }"), ("main", "int main() { return 0; }", "int main() { return 0; }"), ("word", "int f() { if (1) { } }", "int f() { if (2) { } }"),
+    ]
+    got = {r["id"]: r["name"] for r in repair.changed_function(spark.createDataFrame(pairs, "id string, original string, repaired string")).collect()}
+    assert got == {"optional type": "solve", "none": None, "new": "h", "main": "main", "word": "f"}
+
+
+def test_evaluation_of_repairs(spark):
+    row = lambda bug, status, post, patched, selected="p.c::f": (bug, "e", status, patched, None if patched is None else f"{patched} x", selected, ["t1"], ["t2"], *post)
+    rows = [
+        row("a", "success", ([], []), "int f(int a) { return a; }"), row("b", "failed", (["t1"], ["t2", None]), "int f(int a) { return 10; }"), row("c", "skipped", ([], []), None),
+        row("d", "llm_failed", ([], []), None), row("e", None, ([], []), None), row("f", "failed", ([], ["t2"]), " ", ""),
+    ]
+    schema = "bug_id string, engine string, status string, patched_function string, patched_file string, selected_function string, " + ", ".join(f"{c} array<string>" for c in repair.RESULT[-4:])
+    accepted = spark.createDataFrame([(b, "int f(int a) { return a; }") for b in "abcdef"], "bug_id string, text string")
+    each = repair.evaluated(spark.createDataFrame(rows, schema), accepted)
+    got = {r["bug_id"]: (r["attempted"], r["label"], r["is_plausible"], r["post"] and tuple(r["post"])[:2], r["func_distance"], r["file_distance"]) for r in each.collect()}
+    assert got == {
+        "a": (True, "CleanFix", True, (2, 0), 0, 1), "b": (True, "NegFix", False, (1, 2), 2, 3), "c": (False, None, None, None, -1, -1),
+        "d": (False, None, None, None, -1, -1), "e": (False, None, None, None, -1, -1), "f": (True, "NoneFix", False, (0, 1), -1, 20),
+    }
+    summary = repair.evaluation(each, ["engine"]).first().asDict()
+    want = {"total": 6, "attempted": 3, "n_llm_failed": 1, "n_skipped": 2, "CleanFix": 1, "NoiseFix": 0, "NoneFix": 1, "NegFix": 1, "plausible": 1, "post_passed": 3, "post_failed": 3, "func_distance_n": 2, "func_distance_median": 2}
+    assert {k: summary[k] for k in want} == want
+
+
+def test_evaluation_counts_what_it_leaves_out(spark):
+    rows = [("a", {"f": 1.0, "g": 0.5}, ["f"]), ("b", {"f": 1.0, "g": 1.0}, ["f", "h"]), ("c", {}, ["f"]), ("d", None, ["f"]), ("e", {"f": 1.0}, []), ("f", {"f": 1.0}, None)]
+    row = spectrum.evaluation(spark.createDataFrame(rows, "bug_id string, scores map<string,double>, ground_truth array<string>")).first()
+    assert (row["total"], row["evaluated"], row["skipped_no_gt"], row["skipped_no_scores"], row["top1"], row["mfr"], row["mar"], row["exam"]) == (6, 2, 2, 2, 1, 1.5, 1.75, 0.75)
+
+
 def test_test_lists_gather_no_outputs(spark, tmp_path):
     rows = [(2, 1, "F", "1-URGENT"), (1, 1, "F", "5-LOW"), (10, 1, "O", "x"), (9, 1, "O", "x"), (3, 2, "P", "x"), (4, 3, "F", None)]
     spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 PASSED, FAILED = ("PASS", "PASSED"), ("FAIL", "FAILED")
 SEPARATOR = "::"
+#: Fixed value: how a first line starts that is no part of a reply's code.
+NOTE = "// Bắt đầu"
 #: What str.strip and str.isspace of Python call white space, as a Java character class.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 
@@ -76,9 +78,10 @@ def failed_context(tests: Column, most: int = 500) -> Column:
     return F.when(first.isNotNull(), body).otherwise("")
 
 
-def repair_prompt(name: Column, bug_id: Column, context: Column, code: Column) -> Column:
+def repair_prompt(name: Column, bug_id: Column, context: Column, source: Column) -> Column:
+    """The task, the failing test and the whole source, for what the function uses."""
     return F.concat(
-        F.lit("Repair the C function "), name, F.lit(" of "), bug_id, F.lit(".\n"), context, F.lit("\nCode:\n"), code, F.lit("\nReturn the repaired function only.")
+        F.lit("Repair the C function "), name, F.lit(" of "), bug_id, F.lit(".\n"), context, F.lit("\nSource file:\n"), source, F.lit("\nReturn the repaired function "), name, F.lit(" only.")
     )
 
 

@@ -1,8 +1,8 @@
-"""Repair as relations: candidates from a provider or from mutants, validation facts, and the chosen patch.
+"""Repair as relations: candidates from a provider or from mutants, validation facts, the chosen patch, and result rows.
 
 Outside effects stay behind two plug-ins. A provider turns prompts into replies; the
 default replays a table (bug_id, method, reply). A validator turns candidates into test
-results; the default reads recorded facts (candidate_id, test_id, passed).
+results; the default reads recorded facts (bug_id, method, ord, test_id, passed).
 """
 
 from __future__ import annotations
@@ -13,11 +13,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import codetext, names
+from ..functions import codetext, logs, names
 from . import mutants as m
 from . import results
 
 Provider = Callable[[DataFrame], DataFrame]
+Validator = Callable[[DataFrame], DataFrame]
+
+# Words before a brace that name no function, the list that stands for a patch that does not build.
+NO_FUNCTIONS = ("if", "while", "for", "switch", "sizeof")
+UNBUILT = "Build failed after patch injection"
+RESULT = (
+    "bug_id", "status", "patched_function", "patched_file", "selected_function", "mutation_strategy", "patch_file",
+    "init_passed_tests", "init_failed_tests", "post_passed_tests", "post_failed_tests",
+)
 
 
 def replay(table: DataFrame) -> Provider:
@@ -25,6 +34,11 @@ def replay(table: DataFrame) -> Provider:
     return lambda prompts: prompts.join(table.select("bug_id", "method", "reply"), ["bug_id", "method"])
 
 
+def recorded(facts: DataFrame) -> Validator:
+    """A validator that reads test runs from facts(bug_id, method, ord, test_id, passed); candidates without any did not compile."""
+    return lambda candidates: facts.join(candidates.select("bug_id", "method", "ord"), ["bug_id", "method", "ord"], "left_semi")
+
+
 PROVIDERS: dict[str, Callable[..., Provider]] = {"replay": replay}
 
 
@@ -40,8 +54,8 @@ def prompted(targeted: DataFrame, bugs: DataFrame, provider: Provider) -> DataFr
     """Candidates from replies: bug_id, method, method_order, ord, code, patched_file."""
     asked = targeted.join(bugs.select("bug_id", "tests"), "bug_id", "left")
     context = F.coalesce(names.failed_context(F.col("tests")), F.lit(""))
-    prompts = asked.withColumn("prompt", names.repair_prompt(names.bare_name(F.col("method")), F.col("bug_id"), context, F.col("span.code")))
-    code = names.unfenced(F.col("reply"))
+    prompts = asked.withColumn("prompt", names.repair_prompt(names.bare_name(F.col("method")), F.col("bug_id"), context, F.col("text")))
+    code = names.unfenced(F.col("reply"), names.NOTE)
     return provider(prompts).select(
         "bug_id", "method", "method_order", F.lit(1).alias("ord"), code.alias("code"), names.splice(F.col("text"), code, F.col("span.start"), F.col("span.end")).alias("patched_file")
     )
@@ -64,11 +78,99 @@ def repaired(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return results.chosen(results.validated(candidates, facts))
 
 
+def result_rows(engine: str, scores: DataFrame, sources: DataFrame, bugs: DataFrame, targeted: DataFrame, candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """RESULT of each bug that has scores and a source, by targets(), candidates of them and their runs; engine: llm or mutation.
+
+    The first valid candidate in order is the repair. Without one the patch is the best effort of the last function that had
+    candidates, while selected_function is the last function tried, with or without any. Bugs without a function to try are skipped; where
+    functions had no candidate, the status is llm_failed or, for mutants, skipped.
+    """
+    key = ["bug_id", "method", "ord"]
+    counts = runs.groupBy(*key).agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
+    tried = candidates.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_passed", "n_failed")})
+    tried = tried.withColumns({"valid": (F.col("n_passed") > 0) & (F.col("n_failed") == 0), "candidate_id": F.struct("method", "ord")})
+    best = results.chosen(tried).select("bug_id", F.col("status").alias("reached"), "candidate_id.*")
+    said = F.col("description") if "description" in candidates.columns else F.lit(None).cast("string")
+    patches = candidates.withColumn("mutation_strategy", said).select(*key, F.col("code").alias("patched_function"), "patched_file", "mutation_strategy")
+    patches = best.join(patches, key)
+    side = lambda ok: F.array_sort(F.collect_list(F.when(F.col("passed") == ok, F.col("test_id"))))
+    after = runs.join(best, key, "left_semi").groupBy("bug_id").agg(side(True).alias("post_passed_tests"), side(False).alias("post_failed_tests"))
+    last = targeted.groupBy("bug_id").agg(F.max_by("method", "method_order").alias("last_method"))
+    tests = bugs.select("bug_id", names.ids_with(F.col("tests"), names.PASSED).alias("init_passed_tests"), names.ids_with(F.col("tests"), names.FAILED).alias("init_failed_tests"))
+    rows = scores.select("bug_id").distinct().join(sources.select("bug_id").distinct(), "bug_id", "left_semi")
+    for part in (last, patches.withColumnRenamed("method", "patched_method"), after, tests):
+        rows = rows.join(part, "bug_id", "left")
+    none = F.array().cast("array<string>")
+    untried = F.when(F.col("last_method").isNull() | F.lit(engine == "mutation"), "skipped").otherwise("llm_failed")
+    status = F.coalesce("reached", untried)
+    rows = rows.withColumns(
+        {"status": status, "selected_function": F.when(status == "success", F.col("patched_method")).otherwise(F.col("last_method"))}
+        | {c: F.coalesce(c, none) for c in RESULT if c.endswith("_tests")}
+    )
+    return rows.withColumn("patch_file", names.patch_file(F.lit(engine), F.col("status"), F.col("bug_id"))).select(*RESULT)
+
+
+def repaired_by_replies(scores: DataFrame, sources: DataFrame, bugs: DataFrame, provider: Provider, validator: Validator) -> DataFrame:
+    """RESULT of repairs by a provider's replies."""
+    targeted = targets(scores, sources)
+    candidates = prompted(targeted, bugs, provider)
+    return result_rows("llm", scores, sources, bugs, targeted, candidates, validator(candidates))
+
+
+def repaired_by_mutants(scores: DataFrame, sources: DataFrame, bugs: DataFrame, validator: Validator, most: int | None = None) -> DataFrame:
+    """RESULT of repairs by mutants."""
+    targeted = targets(scores, sources)
+    candidates = mutated(targeted, most)
+    return result_rows("mutation", scores, sources, bugs, targeted, candidates, validator(candidates))
+
+
+def repaired_by_search(scores: DataFrame, bugs: DataFrame, searches: DataFrame, runs: DataFrame) -> DataFrame:
+    """Result rows of a search engine: RESULT, genprog_log, pos_tests_revlog, neg_tests_revlog.
+
+    searches(bug_id, revlog, output, log_path, original, repaired, built): what the engine printed and left behind, repaired null
+    where it left no file; runs(bug_id, test_id, passed): tests of the repaired file. Scored bugs without a record are skipped, ones
+    whose id names no file or that were not searched are errors. A repaired file that does not build fails one test, UNBUILT; one for which no
+    test ran has no failed test and counts as a success.
+    """
+    known = bugs.select("bug_id", "source_file", F.col("tests"))
+    rows = scores.select("bug_id").distinct().join(known.withColumn("known", F.lit(True)), "bug_id", "left").join(searches.withColumn("searched", F.lit(True)), "bug_id", "left")
+    side = lambda ok: F.array_sort(F.collect_list(F.when(F.col("passed") == ok, F.col("test_id"))))
+    rows = rows.join(runs.groupBy("bug_id").agg(side(True).alias("ran_passed"), side(False).alias("ran_failed")), "bug_id", "left")
+    changed = changed_function(searches.where("repaired IS NOT NULL").select(F.col("bug_id").alias("id"), F.coalesce("original", F.lit("")).alias("original"), "repaired"))
+    rows = rows.join(changed.select(F.col("id").alias("bug_id"), "name", "code"), "bug_id", "left")
+    none = F.array().cast("array<string>")
+    passed, failed = (F.coalesce(names.ids_with(F.col("tests"), x), none) for x in (names.PASSED, names.FAILED))
+    unusable = (names.buggy_file(F.col("bug_id")) == "") | F.col("searched").isNull()
+    run = F.when(F.col("known").isNull(), "skipped").when(unusable, "error").otherwise(logs.run_status(F.coalesce("output", F.lit(""))))
+    has_file = F.col("repaired").isNotNull()
+    rows = rows.withColumns({"run": run, "init_passed_tests": passed, "init_failed_tests": failed})
+    validated = has_file & F.col("run").isin("repair_found", "timeout")
+    built = F.coalesce("built", F.lit(True))
+    rows = rows.withColumns(
+        {
+            "post_passed_tests": F.when(validated & built, F.coalesce("ran_passed", none)).otherwise(none),
+            "post_failed_tests": F.when(validated & ~built, F.array(F.lit(UNBUILT))).when(validated, F.coalesce("ran_failed", none)).otherwise(none),
+        }
+    )
+    counts = logs.revlog_counts(F.col("revlog"), F.size("init_passed_tests"), F.size("init_failed_tests"))
+    unused = F.col("run").isin("skipped", "error")
+    return rows.withColumns(
+        {
+            "status": logs.final_status(F.col("run"), has_file, has_file, F.size("post_failed_tests")),
+            "patched_function": F.when(validated, F.col("code")), "patched_file": F.when(validated, F.col("repaired")),
+            "selected_function": F.when(validated & F.col("name").isNotNull(), names.qualify(F.col("source_file"), F.col("name"))),
+            "mutation_strategy": F.lit(None).cast("string"),
+            "genprog_log": F.when(~unused, F.col("log_path")),
+            "pos_tests_revlog": F.when(unused, 0).otherwise(counts["pos"]), "neg_tests_revlog": F.when(unused, 0).otherwise(counts["neg"]),
+        }
+    ).withColumn("patch_file", names.patch_file(F.lit("genprog"), F.col("status"), F.col("bug_id"))).select(*RESULT, "genprog_log", "pos_tests_revlog", "neg_tests_revlog")
+
+
 def changed_function(pairs: DataFrame) -> DataFrame:
     """id, name, code: the first function of repaired whose text differs from original's or is new; else main; pairs(id, original, repaired)."""
-    heads = rf"\b(?:{codetext.TYPE_WORDS})\s+\**\s*(\w+)\s*\([^)]*\)\s*\{{"
+    heads = rf"\b(?:(?:{codetext.TYPE_WORDS})\s+)*\**\s*(\w+)\s*\([^)]*\)\s*\{{"
     found = pairs.select("id", "original", "repaired", F.posexplode(F.regexp_extract_all("repaired", F.lit(heads), F.lit(1))).alias("at", "name"))
-    found = found.where(~F.col("name").isin("if", "while", "for", "switch", "sizeof"))
+    found = found.where(~F.col("name").isin(*NO_FUNCTIONS))
     new, old = (codetext.function_span(F.col(c), F.col("name"))["code"] for c in ("repaired", "original"))
     differs = found.select("id", "at", "name", new.alias("code"), old.alias("was")).where(F.col("code").isNotNull() & ~F.col("code").eqNullSafe(F.col("was")))
     first = differs.groupBy("id").agg(F.min_by(F.struct("name", "code"), "at").alias("first"))
@@ -88,3 +190,34 @@ def distances(repairs: DataFrame, accepted: DataFrame) -> DataFrame:
             "file_distance": codetext.edit_distance(F.col("patched_file"), F.col("accepted")),
         }
     ).drop("accepted")
+
+
+def evaluated(repairs: DataFrame, accepted: DataFrame) -> DataFrame:
+    """repairs (RESULT and more) with attempted, label, is_plausible, n_init_passed, n_init_failed, post (tallies), func_distance, file_distance.
+
+    Rows that were not attempted have null labels and tallies and distances of -1.
+    """
+    tried = results.attempted(F.col("status"))
+    before, after = F.col("init_failed_tests"), F.col("post_failed_tests")
+    post = results.tallies(F.col("status"), F.col("init_passed_tests"), before, F.col("post_passed_tests"), after)
+    rows = distances(repairs, accepted).withColumns(
+        {
+            "attempted": tried, "label": F.when(tried, results.fix_class(before, after)), "is_plausible": F.when(tried, results.plausible(before, after)),
+            "n_init_passed": F.size("init_passed_tests"), "n_init_failed": F.size("init_failed_tests"), "post": F.when(tried, post),
+        }
+    )
+    return rows.withColumns({c: F.when(F.col("attempted"), F.col(c)).otherwise(-1) for c in ("func_distance", "file_distance")})
+
+
+def evaluation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of evaluated() rows: totals by status, fix_summary of attempted rows, sums of tallies, and statistics of both distances."""
+    totals = rows.groupBy(*by).agg(
+        F.count("*").alias("total"), F.count_if(F.col("status") == "llm_failed").alias("n_llm_failed"), F.count_if(F.coalesce("status", F.lit("skipped")) == "skipped").alias("n_skipped"),
+        F.coalesce(F.sum("post.passed"), F.lit(0)).alias("post_passed"), F.coalesce(F.sum("post.failed"), F.lit(0)).alias("post_failed"),
+    )
+    out = totals.join(results.fix_summary(rows.where("attempted"), by), by, "left")
+    for column in ("func_distance", "file_distance"):
+        stats = results.distance_stats(rows, by, column)
+        out = out.join(stats.select(*by, *(F.col(c).alias(f"{column}_{c}") for c in ("n", "mean", "median", "least", "most"))), by, "left")
+    counts = ["attempted", *results.LABELS, "plausible", "func_distance_n", "file_distance_n"]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

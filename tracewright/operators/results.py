@@ -38,8 +38,8 @@ def fix_class(before: Column, after: Column) -> Column:
 
 
 def plausible(before: Column, after: Column) -> Column:
-    """Some test failed before, all those pass, none else fails."""
-    return (F.size(before) > 0) & ~F.arrays_overlap(before, after) & (F.size(F.array_except(after, before)) == 0)
+    """Some test failed before, all those pass, none else fails; a null id is an id like any other."""
+    return (F.size(before) > 0) & (F.size(F.array_intersect(before, after)) == 0) & (F.size(F.array_except(after, before)) == 0)
 
 
 def tallies(status: Column, init_passed: Column, init_failed: Column, post_passed: Column, post_failed: Column) -> Column:
@@ -75,7 +75,7 @@ def status_counts(results: DataFrame, by: list[str], groups: dict[str, tuple[str
 
 
 def distance_stats(distances: DataFrame, by: list[str], column: str = "distance") -> DataFrame:
-    """n, mean, upper median, min and max of distances of 0 or more. The median sorts by group in Spark, not in memory of one list."""
+    """n, mean, upper median, min and max of distances of 0 or more. The median holds a count of each distinct distance of a group, not the rows."""
     kept = distances.where(F.col(column) >= 0)
     upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
     return kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), upper.alias("median"), F.min(column).alias("least"), F.max(column).alias("most"))

@@ -74,3 +74,14 @@ def evaluability(results: DataFrame) -> DataFrame:
     no_truth = F.coalesce(F.size("ground_truth"), F.lit(0)) <= 0
     bucket = F.when(F.col("scores").isNull(), "skipped_no_scores").when(no_truth, "skipped_no_gt").when(F.size("scores") <= 0, "skipped_no_scores").otherwise("evaluated")
     return results.withColumn("bucket", bucket)
+
+
+def evaluation(results: DataFrame) -> DataFrame:
+    """accuracy() over results(bug_id, scores map, ground_truth array) that can be evaluated, with total and the counts of those that cannot, by reason."""
+    sorted_out = evaluability(results)
+    counts = sorted_out.agg(
+        F.count("*").alias("total"), *(F.count_if(F.col("bucket") == b).alias(b) for b in ("skipped_no_gt", "skipped_no_scores"))
+    )
+    usable = sorted_out.where("bucket = 'evaluated'")
+    ranked = worst_case_rank(usable.select("bug_id", F.explode("scores").alias("method", "score")))
+    return accuracy(by_bug(ranked, usable.select("bug_id", F.explode("ground_truth").alias("method")))).crossJoin(F.broadcast(counts))  # one row each

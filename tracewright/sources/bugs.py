@@ -1,10 +1,13 @@
-"""Readers and writers of bug records, recorded scores, results and test-case files."""
+"""Readers and writers of bug records, recorded scores, results and test-case files. A missing file or folder has no rows."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -21,9 +24,25 @@ RESULT = (
 )
 
 
+def _present(spark: SparkSession, read: Callable[[], DataFrame], schema: str) -> DataFrame:
+    """What read gives; no rows of schema where its path is missing."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def _documents(spark: SparkSession, where: str, schema: str) -> DataFrame:
     read = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").option("columnNameOfCorruptRecord", "_corrupt")
-    return read.json(where).withColumn("file", F.col("_metadata.file_name")).where("_corrupt IS NULL").drop("_corrupt")
+    rows = _present(spark, lambda: read.json(where).withColumn("file", F.col("_metadata.file_name")), f"{schema}, file string")
+    return rows.where("_corrupt IS NULL").drop("_corrupt")
+
+
+def _whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    read = lambda: spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    return _present(spark, read, "value string, path string")
 
 
 def bugs(spark: SparkSession, where: str, source_dir: str = "", dataset: str = "codeflaws") -> DataFrame:
@@ -47,12 +66,7 @@ def bugs(spark: SparkSession, where: str, source_dir: str = "", dataset: str = "
 
 def bug(spark: SparkSession, where: str, bug_id: str, **options) -> DataFrame:
     """One bug's row, from its own file only; no row if it is missing."""
-    try:
-        return bugs(spark, f"{where}/{bug_id}.json", **options)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return bugs(spark, where, **options).where(F.lit(False))
+    return bugs(spark, f"{where}/{bug_id}.json", **options)
 
 
 def metadata(spark: SparkSession, where: str) -> DataFrame:
@@ -72,7 +86,7 @@ def loader(name: str) -> Callable[..., DataFrame]:
 
 def recorded_scores(spark: SparkSession, path: str) -> DataFrame:
     """bug_id, scores, ground_truth of one JSON object keyed by bug id; the flat shape {bug: {method: score}} is read too."""
-    text = spark.read.text(path, wholetext=True)
+    text = _whole(spark, path)
     nested = text.select(F.explode(F.from_json("value", SCORES)).alias("bug_id", "v"), "value")
     flat = F.from_json("value", FLAT_SCORES)[F.col("bug_id")]
     return nested.select("bug_id", F.coalesce("v.scores", flat).alias("scores"), F.coalesce("v.ground_truth", F.array().cast("array<string>")).alias("ground_truth"))
@@ -80,7 +94,7 @@ def recorded_scores(spark: SparkSession, path: str) -> DataFrame:
 
 def recorded_results(spark: SparkSession, path: str) -> DataFrame:
     """bug_id and the fields of a result of one JSON object keyed by bug id."""
-    text = spark.read.text(path, wholetext=True)
+    text = _whole(spark, path)
     return text.select(F.explode(F.from_json("value", f"map<string,{RESULT}>")).alias("bug_id", "r")).select("bug_id", "r.*")
 
 
@@ -97,30 +111,62 @@ def case_id(file_name: Column, side: str) -> Column:
     return F.regexp_extract(file_name, rf"^{side}-((?:heldout-)?(?:pos|neg).*)$", 1)
 
 
-def cases(spark: SparkSession, folder: str) -> DataFrame:
-    """test_id, input_path, output_path and their order, of input files in a folder that have an output file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder).select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
-    inputs = files.select(case_id(F.col("name"), "input").alias("test_id"), F.col("path").alias("input_path"), "name").where("test_id <> ''")
-    outputs = files.select(case_id(F.col("name"), "output").alias("test_id"), F.col("path").alias("output_path")).where("test_id <> ''")
+def cases(spark: SparkSession, folders: str | list[str]) -> DataFrame:
+    """bug_id, test_id, input_path, output_path and place of the input files in bugs' folders that have an output file.
+
+    A bug's id is its folder's name. place numbers a bug's cases from 1: groups in the order pos, neg, heldout-pos, heldout-neg, each by file name.
+    """
+    read = lambda: spark.read.format("binaryFile").load(folders).select("path")
+    parts = F.split("path", "/")
+    files = _present(spark, read, "path string").select("path", F.element_at(parts, -1).alias("name"), F.get(parts, F.size(parts) - 2).alias("bug_id"))
+    inputs = files.select("bug_id", case_id(F.col("name"), "input").alias("test_id"), F.col("path").alias("input_path"), "name").where("test_id <> ''")
+    outputs = files.select("bug_id", case_id(F.col("name"), "output").alias("test_id"), F.col("path").alias("output_path")).where("test_id <> ''")
     group = F.when(F.startswith("test_id", F.lit("heldout-pos")), 2).when(F.startswith("test_id", F.lit("heldout-neg")), 3).when(F.startswith("test_id", F.lit("neg")), 1).otherwise(0)
-    return inputs.join(outputs, "test_id").select("test_id", "input_path", "output_path", group.alias("case_group"), "name")
+    place = F.row_number().over(W.partitionBy("bug_id").orderBy(group, "name"))
+    return inputs.join(outputs, ["bug_id", "test_id"]).select("bug_id", "test_id", "input_path", "output_path", place.alias("place"))
 
 
 def source_texts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path and text of whole files."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return _whole(spark, paths).select("path", F.col("value").alias("text"))
+
+
+POINTER = "current.txt"
+
+
+def stored(spark: SparkSession, table: str, schema: str) -> DataFrame:
+    """The rows of a table that write_upserted keeps; none before the first write."""
+    named = _present(spark, lambda: spark.read.text(f"{table}/{POINTER}"), "value string").first()
+    return spark.read.schema(schema).parquet(f"{table}/{named['value']}") if named else spark.createDataFrame([], schema)
 
 
-def write_upserted(results: DataFrame, path: str, staging: str) -> None:
-    """results over those stored at path, by bug_id, through a staging folder, so that a failed write leaves the old table whole."""
+def write_upserted(results: DataFrame, table: str) -> None:
+    """results over the rows stored under table, by bug_id.
+
+    The new rows are a folder of their own, and the file POINTER, replaced by one rename, names the folder that counts. So a write that fails
+    at any point leaves the old table whole, and readers of the version before keep theirs: only older ones are removed.
+    """
     from ..operators.results import upserted
 
     spark = results.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        old = results.where(F.lit(False))
-    upserted(old, results).write.mode("overwrite").parquet(staging)
-    spark.read.parquet(staging).write.mode("overwrite").parquet(path)
+    fields = results.schema
+    before = _present(spark, lambda: spark.read.text(f"{table}/{POINTER}"), "value string").first()
+    old = spark.read.parquet(f"{table}/{before['value']}") if before else spark.createDataFrame([], fields)
+    version = f"version-{uuid.uuid4().hex}"
+    upserted(old, results).write.parquet(f"{table}/{version}")
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    root = path(table)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.getFileSystem(hadoop).getUri(), hadoop)
+    files, written = root.getFileSystem(hadoop), path(f"{table}/{POINTER}-{version}")
+    out = files.create(written, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(written, path(f"{table}/{POINTER}"), overwrite)
+    keep = {version, before["value"] if before else version}
+    for entry in files.listStatus(root):
+        name = entry.getPath().getName()
+        if name.startswith("version-") and name not in keep:
+            files.delete(entry.getPath(), True)

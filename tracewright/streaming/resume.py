@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.bugs import write_upserted
 
 
-def upsert_stream(spark: SparkSession, arriving: str, schema: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Reads parquet files as they arrive and upserts them by bug_id; the last row of a bug within a batch wins arbitrarily."""
+def upsert_stream(spark: SparkSession, arriving: str, schema: str, table: str, checkpoint: str, order: str) -> StreamingQuery:
+    """Reads parquet files as they arrive and upserts them by bug_id; of a bug's rows in a batch the one with the largest order counts."""
 
     def fold(batch: DataFrame, number: int) -> None:
-        write_upserted(batch.dropDuplicates(["bug_id"]), table, f"{checkpoint}/staging")
+        last = batch.groupBy("bug_id").agg(F.max_by(F.struct(*batch.columns), order).alias("row"))
+        write_upserted(last.select("row.*"), table)
 
     read = spark.readStream.schema(schema).parquet(arriving)
     return read.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
