@@ -48,10 +48,9 @@ ranked AS (SELECT *, count(*) OVER (PARTITION BY bug_id ORDER BY score DESC RANG
 SUSPICIOUSNESS_SQL = f"WITH {SPECTRA_SQL} SELECT bug_id, method, failed, passed, total_failed, total_passed, round(score, 9) AS score, rank FROM ranked"
 
 
-def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth(ranked: DataFrame) -> DataFrame:
     """Ground truth of each bug: the method on most failing lines (ties: the first by name), and one that has no score."""
-    counts = spectra(spark, sf_dir)[1].groupBy("bug_id", "method").agg(F.count_if("failed").alias("n"))
-    best = counts.groupBy("bug_id").agg(F.max("n").alias("top")).join(counts, "bug_id").where("n = top").groupBy("bug_id").agg(F.min("method").alias("method"))
+    best = ranked.groupBy("bug_id").agg(F.min_by("method", F.struct(-F.col("failed"), "method")).alias("method"))
     return best.select("bug_id", "method").union(best.select("bug_id", F.lit("Brand#0")))
 
 
@@ -63,13 +62,17 @@ placed AS (SELECT t.bug_id, s.n_methods, coalesce(r.rank, s.n_methods + 1) AS ra
 bugs AS (SELECT bug_id, min(rank) AS first_rank, avg(rank) AS avg_rank, any_value(n_methods) AS n_methods, min(rank) / any_value(n_methods)::DOUBLE AS exam FROM placed GROUP BY bug_id)"""
 
 
+def localized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = scores(spark, sf_dir).cache()  # a row for each bug and method, read several times, made from all lines once
+    return spectrum.by_bug(ranked, truth(ranked))
+
+
 def localization_by_bug(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spectrum.by_bug(scores(spark, sf_dir), truth(spark, sf_dir))
-    return out.select("bug_id", "first_rank", F.round("avg_rank", 6).alias("avg_rank"), "n_methods", F.round("exam", 6).alias("exam"))
+    return localized(spark, sf_dir).select("bug_id", "first_rank", F.round("avg_rank", 6).alias("avg_rank"), "n_methods", F.round("exam", 6).alias("exam"))
 
 
 def localization_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = spectrum.accuracy(spectrum.by_bug(scores(spark, sf_dir), truth(spark, sf_dir)))
+    out = spectrum.accuracy(localized(spark, sf_dir))
     return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
 
 
@@ -229,6 +232,122 @@ o AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY ok DESC, CASE WH
 SELECT bug_id, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, k AS candidate_id FROM o WHERE n = 1"""
 
 
+def repair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as bugs in one source each, replies for some of its two functions, orders as tests before and as runs of the patches."""
+    customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bug_id"), F.col("c_nationkey").alias("n"))
+    orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bug_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("test_id"), F.col("o_orderstatus").alias("s"))
+    text = F.format_string("int helper(int a) { return a + %d; }\nint solve(int n) { return n * 2; }\n", F.col("n"))
+    sources = customer.select("bug_id", text.alias("text"))
+    weight = F.when(F.col("bug_id") % 7 == 0, 0.0)
+    methods = F.array(F.struct(F.lit("x.c::helper").alias("method"), F.lit(0.9).alias("score")), F.struct(F.lit("x.c::solve").alias("method"), F.lit(0.5).alias("score")))
+    scores = customer.select("bug_id", F.explode(methods).alias("m")).select("bug_id", "m.method", F.coalesce(weight, "m.score").alias("score"))
+    outcome = F.when(F.col("s") == "F", "FAIL").when(F.col("s") == "O", "PASS").otherwise("SKIP")
+    tests = F.array_sort(F.collect_list(F.struct("test_id", outcome.alias("outcome"), *(F.lit("").alias(c) for c in ("expected_output", "actual_output", "fail_reason")))))
+    bugs = orders.groupBy("bug_id").agg(tests.alias("tests"))
+    reply = F.when((F.col("method") == "x.c::helper") & (F.col("bug_id") % 2 == 0), F.format_string("```c\nint helper(int a) { return %d; }\n```", F.col("bug_id")))
+    reply = F.coalesce(reply, F.when((F.col("method") == "x.c::solve") & (F.col("bug_id") % 3 == 0), F.lit("int solve(int n) { return 0; }")))
+    replies = scores.select("bug_id", "method", reply.alias("reply")).where("reply IS NOT NULL")
+    passed = F.when(F.col("method") == "x.c::helper", F.col("s") == "O").otherwise(F.col("s") != "F")
+    facts = orders.crossJoin(F.broadcast(spark.createDataFrame([("x.c::helper",), ("x.c::solve",)], "method string")))  # two rows
+    facts = facts.select("bug_id", "method", F.lit(1).alias("ord"), "test_id", passed.alias("passed"))
+    out = repair.repaired_by_replies(scores, sources, bugs, repair.replay(replies), repair.recorded(facts))
+    return out.select(
+        "bug_id", "status", "selected_function", "patched_function", F.sha2("patched_file", 256).alias("file_sha256"), "patch_file",
+        *(F.concat_ws(",", c).alias(c) for c in repair.RESULT[-4:]),
+    )
+
+
+REPAIRS_SQL = """
+WITH o AS (SELECT o_custkey AS b, lpad(o_orderkey::VARCHAR, 12, '0') AS t, o_orderstatus AS s FROM orders),
+l AS (SELECT b, list(t ORDER BY t) FILTER (s = 'O') AS o, list(t ORDER BY t) FILTER (s = 'F') AS f, list(t ORDER BY t) FILTER (s <> 'O') AS no, list(t ORDER BY t) FILTER (s <> 'F') AS nf FROM o GROUP BY b),
+c AS (SELECT c_custkey AS b, c_nationkey AS n, c_custkey % 7 = 0 AS none, c_custkey % 2 = 0 AS h, c_custkey % 3 = 0 AS v,
+             len(o) > 0 AND no IS NULL AS h_ok, len(nf) > 0 AND f IS NULL AS v_ok, o, f, no, nf FROM customer LEFT JOIN l ON b = c_custkey),
+d AS (SELECT *, CASE WHEN none THEN 'skipped' WHEN NOT h AND NOT v THEN 'llm_failed' WHEN h AND coalesce(h_ok, false) OR v AND coalesce(v_ok, false) THEN 'success' ELSE 'failed' END AS status,
+             CASE WHEN none OR NOT h AND NOT v THEN NULL WHEN h AND coalesce(h_ok, false) OR NOT v THEN 'helper' ELSE 'solve' END AS p FROM c),
+e AS (SELECT *, CASE p WHEN 'helper' THEN 'int helper(int a) { return ' || b || '; }' WHEN 'solve' THEN 'int solve(int n) { return 0; }' END AS code,
+             'int helper(int a) { return a + ' || n || '; }' AS h0, 'int solve(int n) { return n * 2; }' AS s0 FROM d)
+SELECT b AS bug_id, status, CASE WHEN none THEN NULL WHEN status = 'success' THEN 'x.c::' || p ELSE 'x.c::solve' END AS selected_function, code AS patched_function,
+  sha256(CASE p WHEN 'helper' THEN code || chr(10) || s0 || chr(10) WHEN 'solve' THEN h0 || chr(10) || code || chr(10) END) AS file_sha256,
+  CASE WHEN status = 'success' THEN b || '_patch.c' END AS patch_file,
+  coalesce(array_to_string(o, ','), '') AS init_passed_tests, coalesce(array_to_string(f, ','), '') AS init_failed_tests,
+  coalesce(CASE p WHEN 'helper' THEN array_to_string(o, ',') WHEN 'solve' THEN array_to_string(nf, ',') END, '') AS post_passed_tests,
+  coalesce(CASE p WHEN 'helper' THEN array_to_string(no, ',') WHEN 'solve' THEN array_to_string(f, ',') END, '') AS post_failed_tests FROM e"""
+
+
+def repair_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as bugs, brands as engines; names make the patched and the accepted code."""
+    part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("bug_id"), F.col("p_brand").alias("engine"), "p_name", "p_size")
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("bug_id"), "l_linestatus", (F.col("l_returnflag") == "R").alias("failed"), F.col("l_linenumber").cast("string").alias("t"))
+    side = lambda s, failed: F.array_sort(F.collect_set(F.when((F.col("l_linestatus") == s) & (F.col("failed") == failed), F.col("t"))))
+    sets = lines.groupBy("bug_id").agg(side("F", False).alias("init_passed_tests"), side("F", True).alias("init_failed_tests"), side("O", False).alias("post_passed_tests"), side("O", True).alias("post_failed_tests"))
+    kind = F.col("p_size") % 10
+    status = F.when(kind == 0, "skipped").when(kind == 1, "llm_failed").when(kind < 5, "success").otherwise("failed")
+    code = lambda c: F.concat(F.lit("int f(int a) { return "), c, F.lit("; }"))
+    repairs = part.join(sets, "bug_id").select(
+        "bug_id", "engine", status.alias("status"), code(F.col("p_name")).alias("patched_function"), F.concat(F.lit("static "), code(F.col("p_name"))).alias("patched_file"), F.lit("x.c::f").alias("selected_function"),
+        *repair.RESULT[-4:],
+    )
+    accepted = part.select((F.col("bug_id") - 1).alias("bug_id"), code(F.col("p_name")).alias("text"))
+    out = repair.evaluation(repair.evaluated(repairs, accepted), ["engine"])
+    whole = ("median", "least", "most")
+    return out.select(*(F.col(c).cast("long").alias(c) if c.endswith(whole) else F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
+EVALUATION_SQL = """
+WITH s AS (SELECT l_partkey AS b, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'F' AND l_returnflag <> 'R'), []) AS ip, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'F' AND l_returnflag = 'R'), []) AS i,
+             coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'O' AND l_returnflag <> 'R'), []) AS pp, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'O' AND l_returnflag = 'R'), []) AS p FROM lineitem GROUP BY 1),
+n AS (SELECT p_partkey - 1 AS b, 'intf(inta){return' || replace(p_name, ' ', '') || ';}' AS other FROM part),
+r AS (SELECT p_brand AS engine, s.*, p_size %% 10 AS k, len(list_filter(i, lambda x: NOT list_contains(p, x))) > 0 AS fixed, len(list_filter(p, lambda x: NOT list_contains(i, x))) > 0 AS broken,
+             levenshtein('intf(inta){return' || replace(p_name, ' ', '') || ';}', other) AS fd, levenshtein('staticintf(inta){return' || replace(p_name, ' ', '') || ';}', other) AS ld
+      FROM part JOIN s ON s.b = p_partkey LEFT JOIN n ON n.b = p_partkey),
+t AS (SELECT *, k > 1 AS tried, k BETWEEN 2 AND 4 AND len(pp) = 0 AS silent, CASE WHEN fixed AND NOT broken THEN 'CleanFix' WHEN fixed THEN 'NoiseFix' WHEN broken THEN 'NegFix' ELSE 'NoneFix' END AS label FROM r)
+SELECT engine, count(*) AS total, count(*) FILTER (k = 1) AS n_llm_failed, count(*) FILTER (k = 0) AS n_skipped,
+  coalesce(sum(CASE WHEN silent THEN len(ip) + len(i) ELSE len(pp) END) FILTER (tried), 0)::BIGINT AS post_passed, coalesce(sum(CASE WHEN silent THEN 0 ELSE len(p) END) FILTER (tried), 0)::BIGINT AS post_failed,
+  count(*) FILTER (tried) AS attempted, %s,
+  count(*) FILTER (tried AND len(i) > 0 AND NOT broken AND NOT list_has_any(i, p)) AS plausible,
+  round(100.0 * count(*) FILTER (tried AND label IN ('CleanFix', 'NoiseFix')) / nullif(count(*) FILTER (tried), 0), 6)::DOUBLE AS any_fix_percent,
+  round(100.0 * count(*) FILTER (tried AND label IN ('NoiseFix', 'NegFix')) / nullif(count(*) FILTER (tried), 0), 6)::DOUBLE AS regression_percent, %s FROM t GROUP BY engine"""
+EVALUATION_SQL %= (
+    ", ".join(f"count(*) FILTER (tried AND label = '{x}') AS {x}" for x in results.LABELS),
+    ", ".join(
+        f"count({d}) FILTER (tried) AS {c}_n, round(avg({d}) FILTER (tried), 6) AS {c}_mean, list_sort(list({d}) FILTER (tried AND {d} IS NOT NULL))[count({d}) FILTER (tried) // 2 + 1]::BIGINT AS {c}_median, "
+        f"min({d}) FILTER (tried)::BIGINT AS {c}_least, max({d}) FILTER (tried)::BIGINT AS {c}_most"
+        for d, c in (("fd", "func_distance"), ("ld", "file_distance"))
+    ),
+)
+
+
+def localization_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as bugs, order priorities as methods scored by their share of failed orders; some bugs lack scores or truth."""
+    orders = load(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("bug_id"), F.col("o_orderpriority").alias("method")).agg(F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("score"))
+    scores = orders.groupBy("bug_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "score"))).alias("scores"))  # five methods at most
+    truth = F.when(F.col("bug_id") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("1-URGENT"), F.lit("5-LOW")))
+    bugs = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bug_id")).withColumn("ground_truth", truth)
+    out = spectrum.evaluation(bugs.join(scores, "bug_id", "left"))
+    return out.select(*(F.round(c, 6).alias(c) if t == "double" else c for c, t in out.dtypes))
+
+
+LOCALIZATION_SQL = """
+WITH s AS (SELECT o_custkey AS b, o_orderpriority AS m, avg((o_orderstatus = 'F')::INTEGER::DOUBLE) AS score FROM orders GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY b ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank, count(*) OVER (PARTITION BY b) AS n FROM s WHERE b %% 4 <> 0),
+p AS (SELECT u.b, u.n, coalesce(r.rank, u.n + 1) AS rank FROM (SELECT b, n, '1-URGENT' AS m FROM r GROUP BY 1, 2 UNION ALL SELECT b, n, '5-LOW' FROM r GROUP BY 1, 2) u
+      LEFT JOIN r ON r.b = u.b AND r.m = u.m),
+g AS (SELECT b, min(rank) AS first_rank, avg(rank) AS avg_rank, min(rank) / any_value(n)::DOUBLE AS exam FROM p GROUP BY b)
+SELECT count(*) AS evaluated, %s, round(avg(first_rank), 6) AS mfr, round(avg(avg_rank), 6) AS mar, round(avg(exam), 6) AS exam,
+  (SELECT count(*) FROM customer) AS total,
+  (SELECT count(*) FROM customer WHERE c_custkey %% 4 = 0 AND c_custkey IN (SELECT b FROM s)) AS skipped_no_gt, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT b FROM s)) AS skipped_no_scores FROM g"""
+LOCALIZATION_SQL %= ", ".join(f"count(*) FILTER (first_rank <= {k}) AS top{k}, round(100.0 * count(*) FILTER (first_rank <= {k}) / count(*), 6)::DOUBLE AS top{k}_percent" for k in (1, 3, 5))
+
+
+def changed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of each part against one in which the helper, the main function or nothing was changed, by the part's size."""
+    rows = code_text(spark, sf_dir).join(load(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    kind = F.col("p_size") % 3
+    changed = F.when(kind == 0, F.replace("code", F.lit("a + 1"), F.lit("a + 2"))).when(kind == 1, F.replace("code", F.lit("n * 2"), F.lit("n * 3"))).otherwise(F.col("code"))
+    out = repair.changed_function(rows.select(F.col("p_partkey").alias("id"), F.col("code").alias("original"), changed.alias("repaired")))
+    return out.select(F.col("id").alias("p_partkey"), "name", "code")
+
+
 def run_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statuses, counts and lines of logs composed from events."""
     said = F.when(F.col("event_type") == "purchase", "Repair Found").when(F.col("event_type") == "click", "Timeout").otherwise("nothing")
@@ -253,6 +372,9 @@ SELECT event_id, (CASE WHEN u % 9 = 0 AND u % 4 = 0 THEN 7 ELSE u % 9 END)::INTE
        WHEN run IN ('timeout', 'repair_found') THEN 'repair_found_no_file' ELSE run END AS status,
   3 AS n_last, (n - 5)::INTEGER AS n_kept, (n - 6 + 8)::INTEGER AS n_set FROM s"""
 
+#: Lines without trailing blanks, and no blank lines at the end.
+COMPARABLE_SQL = "regexp_replace(regexp_replace(%s, '[ \\t\\r\\f\\v]+(\\n|$)', '\\1', 'g'), '\\n+$', '')"
+
 QUERIES = {
     "suspiciousness": suspiciousness,
     "localization_by_bug": localization_by_bug,
@@ -273,6 +395,10 @@ QUERIES = {
     "comparable_outputs": comparable_outputs,
     "candidate_choice": candidate_choice,
     "run_logs": run_logs,
+    "repair_results": repair_results,
+    "repair_evaluation": repair_evaluation,
+    "localization_evaluation": localization_evaluation,
+    "changed_functions": changed_functions,
 }
 
 SQL = {
@@ -310,4 +436,16 @@ SQL = {
         min(distance)::INTEGER AS least, max(distance)::INTEGER AS most FROM d GROUP BY p_brand""",
     "candidate_choice": CHOICE_SQL,
     "run_logs": LOGS_SQL,
+    "repair_results": REPAIRS_SQL,
+    "repair_evaluation": EVALUATION_SQL,
+    "localization_evaluation": LOCALIZATION_SQL,
+    "changed_functions": f"""WITH {CODE_SQL}, c AS (SELECT code.*, p_size % 3 AS k FROM code JOIN part USING (p_partkey))
+        SELECT p_partkey, CASE k WHEN 0 THEN 'helper' WHEN 1 THEN 'solve' END AS name,
+        CASE k WHEN 0 THEN 'int helper(int a) {{ return a + 2; }}' WHEN 1 THEN replace(substr(code, instr(code, 'int solve'), length(code) - instr(code, 'int solve')), 'n * 2', 'n * 3') END AS code FROM c""",
+    "mutants": f"""WITH {CODE_SQL}, m AS (SELECT * FROM (VALUES {', '.join(f"({i + 1}, '(n < ', '(n {t} ', '<', '{t}')" for i, t in enumerate(("<=", ">", ">=", "==", "!=")))},
+          (6, 'a + 1', 'a - 1', '+', '-'), (7, 'n - 1', 'n + 1', '-', '+'), (8, 'a + 1', 'a ', '+ 1', ''), (9, 'n - 1', 'n ', '- 1', '')) AS v(mutant_ordinal, was, put, said, by_))
+        SELECT p_partkey, mutant_ordinal, sha256(replace(code, was, put)) AS code_sha256, {" || ".join(f"'{x}'" if i % 2 == 0 else x for i, x in enumerate([m.DESCRIPTION.split("%s")[0].replace("'", "''"), "said", m.DESCRIPTION.split("%s")[1].replace("'", "''"), "by_", m.DESCRIPTION.split("%s")[2].replace("'", "''")]))} AS description FROM code, m""",
+    "comparable_outputs": f"""WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations),
+        c AS (SELECT conv_id, turn, {', '.join(COMPARABLE_SQL % x + f' AS {n}' for x, n in (("t", "plain"), ("replace(t, chr(10), ' ' || chr(9) || chr(10)) || '  ' || chr(10) || chr(10)", "loose"), ("' ' || t", "indented")))} FROM t)
+        SELECT conv_id, turn, loose = plain AS same, indented = plain AS same_indented FROM c""",
 }
