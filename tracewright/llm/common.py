@@ -17,11 +17,13 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
+    """The folder every executor sees: spark.checkpoint.dir; a temporary one where that is unset and all runs in this process."""
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="tracewright-")
@@ -45,12 +47,9 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def table(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    def table(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

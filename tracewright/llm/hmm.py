@@ -10,10 +10,10 @@ dictionary that tasks hold meet their counts in a join.
 
 from __future__ import annotations
 
+import dataclasses
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,16 @@ from .common import Scratch, fold, load, text_or_empty
 LOG10 = float(np.log(10))
 
 
-@dataclass(frozen=True)
+@dataclasses.dataclass(frozen=True)
 class Settings:
     states: int = 8
     head: int = 4095  # words with emissions of their own
     dictionary: int = 131072  # words whose counts every task holds
     buckets: int = 512
-    warm_share: int = 16  # one in so many training documents serves the first rounds
-    warm_rounds: int = 8
-    full_rounds: int = 2  # rounds over all training documents; the last ones
-    cells: int = 300_000  # positions of a padded batch
+    rounds: int = 4  # over all training documents, at most
+    tolerance: float = 1e-4  # training ends when a round adds less than this share to the log likelihood
+    cells: int = 400_000  # positions of which a task holds the states' probabilities at once
+    width: int = 1024  # sequences of a padded batch
     seed: int = 7
 
     @property
@@ -111,7 +111,7 @@ def most_frequent(words: DataFrame, most: int) -> list:
 
 def encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
     """One row per document: its symbols, the sums over dictionary words, and the words outside it."""
-    schema = "row long, doc_id long, held_out boolean, warm boolean, n_tokens long, n_known long, base double, inside double, symbols binary, tail array<binary>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, inside double, symbols binary, tail array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex: Lexicon = lexicon.value
@@ -119,7 +119,7 @@ def encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part, out = batch.slice(at, 1000), []
-                for doc_id, held, warm, text in zip(*part.columns, strict=True):
+                for doc_id, held, text in zip(*part.columns, strict=True):
                     words = words_of(text.as_py())
                     ids = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
                     ids = np.append(ids, np.int32(0))
@@ -130,23 +130,23 @@ def encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
                     if tail:
                         symbols[unknown] = [1 + s.head + zlib.crc32(w) % s.buckets for w in tail]
                     out.append(
-                        (row, doc_id.as_py(), held.as_py(), warm.as_py(), len(ids), int(lex.known[inner].sum()), float(lex.base[inner].sum()), float(lex.inside[inner].sum()), symbols.astype("<u2").tobytes(), tail)
+                        (row, doc_id.as_py(), held.as_py(), len(ids), int(lex.known[inner].sum()), float(lex.base[inner].sum()), float(lex.inside[inner].sum()), symbols.astype("<u2").tobytes(), tail)
                     )
                     row += 1
-                types = [pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+                types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select("doc_id", "held_out", "warm", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def padded(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+def padded(sequences: list[np.ndarray], cells: int, width: int = 1024) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
     """Batches of similar length: positions, symbols (batch x time), lengths in descending order."""
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
     at = 0
     while at < len(order):
         longest = len(sequences[order[at]])
-        take = order[at : at + max(1, min(512, cells // longest))]
+        take = order[at : at + max(1, min(width, cells // longest))]
         lengths = np.array([len(sequences[i]) for i in take])
         grid = np.zeros((len(take), longest), np.int32)
         for k, i in enumerate(take):
@@ -155,48 +155,76 @@ def padded(sequences: list[np.ndarray], cells: int) -> Iterator[tuple[list[int],
         at += len(take)
 
 
-def forward(model, grid, lengths, keep: bool):
-    """Scaled forward recursion: natural-log likelihoods and, if asked for, the scaled alphas and scales by time."""
+def reaching(lengths: np.ndarray, longest: int) -> np.ndarray:
+    """How many of the sequences, longest first, have a symbol at each time."""
+    return np.searchsorted(-lengths, -np.arange(longest), side="left")
+
+
+def steps(model, grid, live, begin: int, stop: int, alpha):
+    """Scaled forward recursion from time begin to before stop; alpha: that of the time before. Alphas and scales by time."""
+    start, move, emit = model
+    n = live[begin]
+    alphas, scales = np.zeros((stop - begin, n, len(start))), np.ones((stop - begin, n))
+    for t in range(begin, stop):
+        n = live[t]
+        alpha = start * emit[grid[:n, t]] if t == 0 else (alpha[:n] @ move) * emit[grid[:n, t]]
+        scale = alpha.sum(1)
+        alpha /= scale[:, None]
+        alphas[t - begin, :n], scales[t - begin, :n] = alpha, scale
+    return alphas, scales
+
+
+def forward(model, grid, lengths) -> np.ndarray:
+    """Natural-log likelihoods of the sequences of a padded batch."""
     start, move, emit = model
     batch, longest = grid.shape
-    loglik = np.zeros(batch)
-    alphas = np.zeros((longest, batch, len(start))) if keep else None
-    scales = np.ones((longest, batch)) if keep else None
-    live = np.searchsorted(-lengths, -np.arange(longest), side="left")  # how many reach time t
-    alpha = None
+    loglik, live, alpha = np.zeros(batch), reaching(lengths, longest), None
     for t in range(longest):
         n = live[t]
         alpha = start * emit[grid[:n, t]] if t == 0 else (alpha[:n] @ move) * emit[grid[:n, t]]
         scale = alpha.sum(1)
         alpha /= scale[:, None]
         loglik[:n] += np.log(scale)
-        if keep:
-            alphas[t, :n], scales[t, :n] = alpha, scale
-    return loglik, alphas, scales, live
+    return loglik
 
 
 def expected_counts(model, sequences, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts of some sequences: starts, moves, emissions (symbols x states), log likelihood."""
+    """Baum-Welch counts of some sequences: starts, moves, emissions (symbols x states), log likelihood.
+
+    A batch longer than s.cells allows is held a stretch of time at once: a first run keeps the alphas before each stretch,
+    from which those inside are computed again on the way back.
+    """
     start, move, emit = model
     k = len(start)
     starts, moves, emissions, total = np.zeros(k), np.zeros((k, k)), np.zeros((s.symbols, k)), 0.0
-    for _, grid, lengths in padded(sequences, s.cells):
-        loglik, alphas, scales, live = forward(model, grid, lengths, keep=True)
-        total += loglik.sum()
+    for _, grid, lengths in padded(sequences, s.cells, s.width):
         batch, longest = grid.shape
-        gamma = np.zeros((longest, batch, k))
-        beta = np.ones((batch, k))
-        for t in range(longest - 1, -1, -1):
-            n = live[t]
-            if t + 1 < longest and (m := live[t + 1]):
-                ahead = emit[grid[:m, t + 1]] * beta[:m] / scales[t + 1, :m, None]
-                moves += alphas[t, :m].T @ ahead
-                beta[:m] = ahead @ move.T
-            gamma[t, :n] = alphas[t, :n] * beta[:n]
-        starts += gamma[0].sum(0)
-        flat = grid.T.ravel()  # padding has gamma 0
-        for j in range(k):
-            emissions[:, j] += np.bincount(flat, gamma[:, :, j].ravel(), s.symbols)
+        live = reaching(lengths, longest)
+        stretch = max(1, s.cells // batch)
+        cuts = list(range(0, longest, stretch))
+        before, held = [None], None
+        for begin in cuts:
+            held = steps(model, grid, live, begin, min(longest, begin + stretch), before[-1])
+            total += np.log(held[1]).sum()
+            before.append(held[0][-1])
+        beta, ahead_scale = np.ones((batch, k)), None
+        for at in range(len(cuts) - 1, -1, -1):
+            begin, stop = cuts[at], min(longest, cuts[at] + stretch)
+            alphas, scales = held if at == len(cuts) - 1 else steps(model, grid, live, begin, stop, before[at])
+            gamma = np.zeros((stop - begin, live[begin], k))
+            for t in range(stop - 1, begin - 1, -1):
+                n = live[t]
+                if t + 1 < longest and (m := live[t + 1]):
+                    ahead = emit[grid[:m, t + 1]] * beta[:m] / ahead_scale[:m, None]
+                    moves += alphas[t - begin, :m].T @ ahead
+                    beta[:m] = ahead @ move.T
+                gamma[t - begin, :n] = alphas[t - begin, :n] * beta[:n]
+                ahead_scale = scales[t - begin]
+            if begin == 0:
+                starts += gamma[0].sum(0)
+            flat = grid[: live[begin], begin:stop].T.ravel()  # padding has gamma 0
+            for j in range(k):
+                emissions[:, j] += np.bincount(flat, gamma[:, :, j].ravel(), s.symbols)
     return starts, moves * move, emissions, total
 
 
@@ -248,6 +276,20 @@ def initial(unigram: np.ndarray, s: Settings):
     return np.full(s.states, 1 / s.states), move / move.sum(1, keepdims=True), emit / emit.sum(0)
 
 
+def fitted_model(training: DataFrame, unigram: np.ndarray, s: Settings):
+    """The model after rounds of training over all of training; without tokens there the first one."""
+    model, was = initial(unigram, s), None
+    for _ in range(s.rounds):
+        counts = round_of_training(training, model, s)
+        if not counts[2].any():
+            break
+        model = maximised(counts, unigram)
+        if was is not None and counts[3] - was < s.tolerance * abs(was):
+            break
+        was = counts[3]
+    return model
+
+
 def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int = 1, folds: int = 5) -> DataFrame:
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -264,7 +306,6 @@ def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (fold("doc_id", folds) == held_fold).alias("held_out"),
-        (F.pmod(F.xxhash64("doc_id"), F.lit(s.warm_share)) == 0).alias("warm"),
         text_or_empty().alias("text"),
     )
     words = scratch.table(count_words(rows.where(~F.col("held_out"))), "words")
@@ -282,19 +323,14 @@ def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int
         mass[row["b"]], kinds[row["b"]] = row["n"], row["v"]
     lexicon = Lexicon(s, [b"", *(bytes(r["word"]) for r in top)], [ends, *(r["count"] for r in top)], total, distinct, mass, kinds)
     shared = spark.sparkContext.broadcast(lexicon)
-    encoded = scratch.table(encode(rows, shared, s), "encoded", partition_by="warm")
+    encoded = scratch.table(encode(rows, shared, s), "encoded")
 
     unigram = np.full(s.symbols, 0.5)
     for i, n in enumerate([ends, *(r["count"] for r in top[: s.head])]):
         unigram[i] += n
     unigram[1 + s.head :] += mass
     unigram /= unigram.sum()
-    model = initial(unigram, s)
-    training = encoded.where(~F.col("held_out"))
-    for part in [training.where("warm")] * s.warm_rounds + [training] * s.full_rounds:
-        counts = round_of_training(part, model, s)
-        if counts[2].any():  # a round without tokens would make all states alike
-            model = maximised(counts, unigram)
+    model = fitted_model(encoded.where(~F.col("held_out")), unigram, s)
 
     fitted = spark.sparkContext.broadcast(model)
 
@@ -302,8 +338,8 @@ def score_texts(docs: DataFrame, settings: Settings = Settings(), held_fold: int
         for batch in batches:
             sequences = [np.frombuffer(x.as_py(), "<u2") for x in batch.column(1)]
             out = np.zeros(len(sequences))
-            for take, grid, lengths in padded(sequences, s.cells):
-                out[take] = forward(fitted.value, grid, lengths, keep=False)[0] / LOG10
+            for take, grid, lengths in padded(sequences, s.cells, s.width):
+                out[take] = forward(fitted.value, grid, lengths) / LOG10
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["row", "path"])
 
     columns = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "inside"]
