@@ -2,27 +2,33 @@
 
 Vectors are held in blocks. A block's postings (vector, dimension, value) are split
 into segments by quantised impact, the power of two below |value|. For a batch of
-queries segments are added in descending impact. What is still missing from a score is
-bounded by the norms of the query and of the vector's remaining postings; once no more
-than a few vectors can reach the k-th best lower bound, that is the proof to stop, and
-those vectors are scored exactly from their full integers. Blocks meet batches in an
-equi-join on the block, a batch at a time; the best k of all blocks are merged by query.
+queries segments are added in descending impact, and only for vectors that some query of the
+batch may still want: what is missing from a score is bounded by the norms of the query and of the
+vector's remaining postings, and a vector that cannot reach the k-th best of a query is out.
+That k-th best is the larger of the block's own lower bound and of what the task has
+found before, so later blocks, which come in descending order of their largest norm, lose
+most vectors early. Segments are added until scoring the members that remain possible costs
+less than the segments to come; these are then scored exactly from their full integers.
+
+The index stays where it is: queries go to it in chunks of bounded size, one after
+another, and the best k of all blocks are merged by query.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, load
 
-BLOCK, BATCH, FEW = 2048, 512, 64
+BLOCK, BATCH = 2048, 512
+CHUNK_BYTES = 32 << 20  # of queries that every task holds at once
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -34,23 +40,22 @@ def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """(block, width, ids, values): up to size vectors of one width as arrays; ids long, values 64-bit, row by row."""
+    """(width, ids, vectors): up to size vectors of one width as arrays; ids long, values 64-bit, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = TaskContext.get().partitionId() << 33
         held: dict[int, tuple[list, list]] = {}
 
         def out(width):
-            nonlocal name
             ids, values = held.pop(width)
-            name += 1
             return pa.RecordBatch.from_pydict(
-                {"block": [name], "width": pa.array([width], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "vectors": [np.array(values, np.int64).tobytes()]}
+                {"width": pa.array([width], pa.int32()), "ids": [np.array(ids, np.int64).tobytes()], "vectors": [np.array(values, np.int64).tobytes()]}
             )
 
         for batch in batches:
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 v = v.values.to_numpy()
+                if float(np.abs(v.astype(float)).max()) ** 2 * len(v) >= 2**62:
+                    raise OverflowError(f"vector {vec_id}: components too large for 64-bit products")
                 ids, values = held.setdefault(len(v), ([], []))
                 ids.append(vec_id)
                 values.append(v)
@@ -59,61 +64,69 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for width in list(held):
             yield out(width)
 
-    return rows.mapInArrow(run, "block long, width int, ids binary, vectors binary")
+    return rows.mapInArrow(run, "width int, ids binary, vectors binary")
 
 
 def segments(index: DataFrame) -> DataFrame:
-    """The index: each block's postings by descending quantised impact (levels; per level the count, then positions and values)."""
+    """The index: each block's largest squared norm and its postings by descending quantised impact (per level the count, then positions)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, width, ids, vectors in zip(*batch.columns, strict=True):
+            for width, ids, vectors in zip(*batch.columns, strict=True):
                 flat = np.frombuffer(vectors.as_buffer(), np.int64)
                 impact = np.where(flat == 0, -1, np.frexp(np.abs(flat).astype(float))[1] - 1)
                 levels = np.unique(impact[impact >= 0])[::-1]
                 order = [np.flatnonzero(impact == level) for level in levels]
+                norm = float((flat.reshape(-1, width.as_py()).astype(float) ** 2).sum(1).max())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x.as_py()], t) for x, t in ((block, pa.int64()), (width, pa.int32()), (ids, pa.binary()), (vectors, pa.binary()))]
+                    [pa.array([norm])] + [pa.array([x.as_py()], t) for x, t in ((width, pa.int32()), (ids, pa.binary()), (vectors, pa.binary()))]
                     + [pa.array([[len(x) for x in order]], pa.list_(pa.int64())), pa.array([np.concatenate([*order, np.zeros(0, np.int64)]).astype(np.int32).tobytes()], pa.binary())],
-                    names=["block", "width", "ids", "vectors", "counts", "postings"],
+                    names=["norm", "width", "ids", "vectors", "counts", "postings"],
                 )
 
-    return index.mapInArrow(run, "block long, width int, ids binary, vectors binary, counts array<long>, postings binary")
+    return index.mapInArrow(run, "norm double, width int, ids binary, vectors binary, counts array<long>, postings binary")
 
 
-def best(queries, query_ids, vectors, ids, counts, postings, k: int, few: int = FEW):
-    """(query, vector, score) positions and exact scores of each query's k best in a block, itself left out by id."""
+def best(queries, query_ids, vectors, ids, counts, postings, k: int, floor=None):
+    """(query, vector, score) positions and exact scores of each query's k best in a block, itself left out by id, and how many products of components it took.
+
+    floor: for each query a score that results must reach, -inf where there is none.
+    """
     m, n = len(queries), len(vectors)
+    floor = np.full(m, -np.inf) if floor is None else floor
+    norms, missing = np.sqrt((queries.astype(float) ** 2).sum(1)), (vectors.astype(float) ** 2).sum(1)
     own = query_ids[:, None] == ids[None, :]
-    partial, norms = np.zeros((m, n)), np.sqrt((queries.astype(float) ** 2).sum(1))
-    missing = (vectors.astype(float) ** 2).sum(1)
-    flat, at = vectors.ravel(), 0
-    alive = ~own
+    alive = ~own & (norms[:, None] * np.sqrt(missing)[None, :] * (1 + 1e-9) + 1e-6 >= floor[:, None])
+    partial, asked, width = np.zeros((m, n)), queries.astype(float), vectors.shape[1]
+    flat, at, added = vectors.ravel(), 0, 0
     for count in counts:
+        wanted, q = alive.any(0), np.flatnonzero(alive.any(1))
+        if alive.sum() * width <= len(q) * wanted.mean() * (len(postings) - at):
+            break
         where = postings[at : at + count]
         at += count
-        segment = np.zeros(vectors.size)
-        segment[where] = flat[where]
-        segment = segment.reshape(vectors.shape)
-        partial += queries.astype(float) @ segment.T
-        missing = np.maximum(0, missing - (segment**2).sum(1))
+        where = where[wanted[where // width]]
+        rows, which = np.unique(where // width, return_inverse=True)
+        segment = np.zeros((len(rows), width))
+        segment[which, where % width] = flat[where]
+        added += len(q) * len(where)
+        partial[np.ix_(q, rows)] += asked[q] @ segment.T
+        missing[rows] = np.maximum(0, missing[rows] - (segment**2).sum(1))
         slack = norms[:, None] * np.sqrt(missing)[None, :] * (1 + 1e-9) + 1e-6
-        if n <= k:
-            break
-        lower = np.where(own, -np.inf, partial - slack)
-        kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1]
-        alive = ~own & (partial + slack >= kth[:, None])
-        if alive.sum(1).max() <= few:
-            break
+        kth = floor
+        if n > k:
+            lower = np.where(alive, partial - slack, -np.inf)
+            kth = np.maximum(floor, -np.partition(-lower, k - 1, axis=1)[:, k - 1])
+        alive &= partial + slack >= kth[:, None]
     q, v = np.nonzero(alive)
-    score = np.einsum("ij,ij->i", queries[q], vectors[v])
+    score, added = np.einsum("ij,ij->i", queries[q], vectors[v]), added + len(q) * width
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
-    return q[rank < k], v[rank < k], score[rank < k]
+    return q[rank < k], v[rank < k], score[rank < k], added
 
 
-def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, batch: int = BATCH, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query, ties to the smaller vec_id.
 
     Queries are the vectors whose id is divisible by every; candidates are all vectors with another id.
@@ -121,28 +134,49 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, b
     - vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids;
     - vectors of different widths don't meet; with fewer than k candidates all are returned;
     - repeated rows are candidates as often as they occur, and one query;
+    - components whose products would not fit 64 bits are an error;
     - an empty table gives an empty result; other columns are not looked at.
     """
-    scratch = Scratch(vectors.sparkSession)
-    rows = quantised(vectors)
+    spark = vectors.sparkSession
+    scratch = Scratch(spark)
+    rows = scratch.table(quantised(vectors), "quantised")
     index = scratch.table(segments(blocks(rows, block)), "index")
-    asked = scratch.table(blocks(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), batch), "queries")
-    asked = asked.select("width", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
-    pairs = asked.join(index.select("block", "width"), "width").join(index.drop("width"), "block")
+    asked = scratch.table(rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"]), "queries")
+    number, width = asked.agg(F.count("*"), F.max(F.size("v"))).first()
+    chunks = max(1, -(-number * (width or 1) * 8 // chunk_bytes))
+    found = []
+    for chunk in range(chunks):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(chunks)) == chunk) if chunks > 1 else asked
+        got = _searched(index, blocks(part, batch).collect(), k)  # about chunk_bytes
+        found.append(scratch.table(got, f"found_{chunk}"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    merged = reduce(DataFrame.unionAll, found)
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _searched(index: DataFrame, asked: list, k: int) -> DataFrame:
+    """query_id, vec_id, score: of each task's blocks the k best of each query in asked, rows of blocks()."""
+    shared = index.sparkSession.sparkContext.broadcast([(r["width"], bytes(r["ids"]), bytes(r["vectors"])) for r in asked])
+    number = lambda x, t=np.int64: np.frombuffer(x, t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = {}  # by batch of queries: the k best scores so far
         for b in batches:
-            for width, query_ids, queries, ids, values, counts, postings in zip(*b.columns, strict=True):
-                w = width.as_py()
-                number = lambda x, t=np.int64: np.frombuffer(x.as_buffer(), t)
-                qi, vi = number(query_ids), number(ids)
-                q, v, score = best(number(queries).reshape(-1, w), qi, number(values).reshape(-1, w), vi, counts.as_py(), number(postings, np.int32), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(vi[v]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    order = ["width", "query_ids", "queries", "ids", "vectors", "counts", "postings"]
-    found = pairs.select(order).mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            for width, ids, values, counts, postings in zip(*b.columns, strict=True):
+                w, vi, vectors = width.as_py(), number(ids.as_buffer()), number(values.as_buffer()).reshape(-1, width.as_py())
+                for i, (query_width, query_ids, queries) in enumerate(shared.value):
+                    if query_width != w:
+                        continue
+                    qi = number(query_ids)
+                    top = tops.setdefault(i, np.full((len(qi), k), -np.inf))
+                    q, v, score, _ = best(number(queries).reshape(-1, w), qi, vectors, vi, counts.as_py(), number(postings.as_buffer(), np.int32), k, top.min(1))
+                    block = np.full((len(qi), k), -np.inf)
+                    block[q, np.arange(len(q)) - np.searchsorted(q, q)] = score
+                    tops[i] = -np.sort(-np.concatenate([top, block], 1), axis=1)[:, :k]
+                    yield pa.RecordBatch.from_arrays([pa.array(qi[q]), pa.array(vi[v]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    ordered = index.sortWithinPartitions(F.desc("norm")).select("width", "ids", "vectors", "counts", "postings")
+    return ordered.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def op6_impact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
