@@ -1,4 +1,8 @@
-"""From raw documents to packed training sequences, in five stages."""
+"""From raw documents to packed training sequences, in five stages.
+
+All stages decide by row: null and repeated ids are rows like any other, columns other than those named are carried along unread, null texts
+count as empty, texts are read whole however long, and an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -25,27 +29,37 @@ def first_of_each(rows: DataFrame, groups: DataFrame, order: Column) -> DataFram
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
+    """Documents that the quality classifier does not reject; equal texts share their fate, an empty text has the score that its features give it."""
     scored = quality.classify(docs, load(spark, sf_dir, "labels"))
     return scored.where("quality_predicted = 1").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of identical texts: that of the largest id, one without an id where none has one."""
+    """One document of each group of identical texts: that of the largest id, one without an id where none has one.
+
+    Null and empty texts are one group; of rows with equal text and id one stays.
+    """
     rows = keyed(docs)
     groups = exact_dedup.exact_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
     return first_of_each(rows, groups.select(F.col("doc_id").alias(ROW), F.col("keep_id").alias("group")), F.col("doc_id")).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id: word 5-shingles, similarity 0.8."""
+    """One document of each group of near duplicates, that of the smallest id: word 5-shingles, similarity 0.8.
+
+    Rows without an id stay only where none of the group has one; texts without words have no near duplicates, and all stay.
+    """
     rows = keyed(docs)
     groups = near_dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
     return first_of_each(rows, groups.select(F.col("doc_id").alias(ROW), F.col("component_id").alias("group")), -F.col("doc_id")).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of MIX_SHARE of the tokens with the target mix of sources, languages and topics. Each row is drawn by all that it holds."""
+    """A sample of MIX_SHARE of the tokens with the target mix of sources, languages and topics.
+
+    Each row is drawn by its text, id, source and language, so rows equal in these share their fate; null sources and languages
+    are a value of their own; rows without tokens go unless their cell has some.
+    """
     content = F.concat(F.sha2(text_or_empty(), 256), F.to_json(F.struct("doc_id", "source", "lang")))
     sampled = mixing.mix(docs.select(content.alias("doc_id"), "text", "source", "lang"), share=MIX_SHARE).where("sampled")
     rows = docs.withColumn(ROW, content)
@@ -53,13 +67,13 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of training sequences."""
+    """The pieces of training sequences; an empty text is one piece of the end token, repeated rows are packed as often as they occur."""
     return packing.pack(docs)
 
 
 STAGES = [("quality", good), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mixed), ("packing", packed)]
 
-ORACLE_SQL = None  # learned scores, hashed signatures and tokenizer ids are not SQL
+ORACLE_SQL = None  # tests/llm/test_pipeline.py has a plain version: learned scores, hashed signatures and tokenizer ids are not SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
