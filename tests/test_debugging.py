@@ -178,6 +178,19 @@ def test_upsert(spark, tmp_path, monkeypatch):
     assert {r["bug_id"] for r in results.pending(scores, prior).collect()} == {"a", "d"}
 
 
+def test_patches_and_scores_are_written_and_read(spark, tmp_path):
+    rows = [("a_patch.c", SOURCE), ("b_genprog_patch.c", "int x;\n\n"), (None, "lost"), ("c_patch.c", None)]
+    sources.write_patches(spark.createDataFrame(rows, "patch_file string, patched_file string"), str(tmp_path / "p"))
+    assert {tuple(r) for r in sources.patches(spark, str(tmp_path / "p")).collect()} == set(rows[:2])
+    scores = spark.createDataFrame([("x", "f", 1.0), ("x", "g", 0.5), ("y", "f", 0.0)], "bug_id string, method string, score double")
+    value = sources.scores_document(scores, spark.createDataFrame([("x", "f")], "bug_id string, method string")).first()["value"]
+    (tmp_path / "s.json").write_text(value)
+    got = {r["bug_id"]: (r["scores"], r["ground_truth"]) for r in sources.recorded_scores(spark, str(tmp_path / "s.json")).collect()}
+    assert got == {"x": ({"f": 1.0, "g": 0.5}, ["f"]), "y": ({"f": 0.0}, [])}
+    (tmp_path / "r.json").write_text(json.dumps({"x": {"status": "failed", "post_failed_tests": ["t"]}}))
+    assert [(r["bug_id"], r["status"], r["post_failed_tests"]) for r in sources.recorded_results(spark, str(tmp_path / "r.json")).collect()] == [("x", "failed", ["t"])]
+
+
 def test_missing_files_have_no_rows(spark, tmp_path):
     gone = str(tmp_path / "gone")
     found = [sources.bugs(spark, gone), sources.bug(spark, gone, "x"), sources.metadata(spark, gone), sources.recorded_scores(spark, gone), sources.recorded_results(spark, gone), sources.cases(spark, gone), sources.source_texts(spark, gone)]

@@ -210,14 +210,18 @@ def evaluated(repairs: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def evaluation(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Per group of evaluated() rows: totals by status, fix_summary of attempted rows, sums of tallies, and statistics of both distances."""
-    totals = rows.groupBy(*by).agg(
+    """Per group of evaluated() rows, in one pass: totals by status, labels and rates of attempted rows, sums of tallies, and statistics of both distances."""
+    tried, label = F.count_if("attempted"), {x: F.count_if(F.col("label") == x) for x in results.LABELS}
+    rate = lambda c: F.try_divide(100.0 * c, tried)
+    told = ("func_distance", "file_distance")
+    rows = rows.withColumns({c: F.when(F.col(c) >= 0, F.col(c)) for c in told})
+    stats = []
+    for c in told:
+        upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
+        stats += [F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"), upper.alias(f"{c}_median"), F.min(c).alias(f"{c}_least"), F.max(c).alias(f"{c}_most")]
+    return rows.groupBy(*by).agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "llm_failed").alias("n_llm_failed"), F.count_if(F.coalesce("status", F.lit("skipped")) == "skipped").alias("n_skipped"),
         F.coalesce(F.sum("post.passed"), F.lit(0)).alias("post_passed"), F.coalesce(F.sum("post.failed"), F.lit(0)).alias("post_failed"),
+        tried.alias("attempted"), *(c.alias(x) for x, c in label.items()), F.count_if("is_plausible").alias("plausible"),
+        rate(label["CleanFix"] + label["NoiseFix"]).alias("any_fix_percent"), rate(label["NoiseFix"] + label["NegFix"]).alias("regression_percent"), *stats,
     )
-    out = totals.join(results.fix_summary(rows.where("attempted"), by), by, "left")
-    for column in ("func_distance", "file_distance"):
-        stats = results.distance_stats(rows, by, column)
-        out = out.join(stats.select(*by, *(F.col(c).alias(f"{column}_{c}") for c in ("n", "mean", "median", "least", "most"))), by, "left")
-    counts = ["attempted", *results.LABELS, "plausible", "func_distance_n", "file_distance_n"]
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

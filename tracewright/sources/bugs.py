@@ -140,6 +140,18 @@ def stored(spark: SparkSession, table: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{table}/{named['value']}") if named else spark.createDataFrame([], schema)
 
 
+def write_patches(repairs: DataFrame, folder: str) -> None:
+    """The patched files of repairs (patch_file, patched_file) that have a name: one text folder for each, folder/patch_file=NAME, closed by a zero character."""
+    named = repairs.where("patch_file IS NOT NULL AND patched_file IS NOT NULL").select("patch_file", "patched_file")
+    named.write.mode("overwrite").option("lineSep", "\u0000").partitionBy("patch_file").text(folder)
+
+
+def patches(spark: SparkSession, folder: str) -> DataFrame:
+    """patch_file, patched_file as write_patches wrote them."""
+    read = lambda: spark.read.option("lineSep", "\u0000").schema("value string, patch_file string").text(folder)
+    return _present(spark, read, "value string, patch_file string").select("patch_file", F.col("value").alias("patched_file"))
+
+
 def write_upserted(results: DataFrame, table: str) -> None:
     """results over the rows stored under table, by bug_id.
 
