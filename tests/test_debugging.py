@@ -30,6 +30,21 @@ def test_scores_follow_the_rules(spark):
     assert score == {("a", "a"): 0.5, ("a", "b"): 1.0, ("p", "a"): 0.0, ("f", "a"): 1.0, ("d", "a"): 2 / 3}
 
 
+def test_localization_from_files_to_accuracy(spark, tmp_path):
+    test = lambda i, outcome, methods: {"test_id": str(i), "outcome": outcome, "covered_methods": methods}
+    bugs = {
+        "1-A-bug-1-2": ([test(1, "PASS", ["f"]), test(2, "FAIL", ["f", "g"])], ["g"]), "2-A-bug-1-2": ([test(1, "FAIL", ["f", "g"])], ["f"]),
+        "3-A-bug-1-2": ([test(1, "FAIL", [])], ["f"]), "4-A-bug-1-2": ([test(1, "FAIL", ["f"])], []),
+    }
+    for bug, (tests, truth) in bugs.items():
+        (tmp_path / f"{bug}.json").write_text(json.dumps({"tests": tests, "ground_truth_functions": truth}))
+    found = spectrum.localize(sources.bugs(spark, str(tmp_path)))
+    scores = {r["bug_id"]: {k.split("::")[-1]: v for k, v in r["scores"].items()} for r in found.collect()}
+    assert scores == {"1-A-bug-1-2": {"f": 0.5, "g": 1.0}, "2-A-bug-1-2": {"f": 1.0, "g": 1.0}, "3-A-bug-1-2": {}, "4-A-bug-1-2": {"f": 1.0}}
+    row = spectrum.evaluation(found).first()
+    assert (row["total"], row["evaluated"], row["skipped_no_gt"], row["skipped_no_scores"], row["top1"], row["mfr"], row["exam"]) == (4, 2, 1, 1, 1, 1.5, 0.75)
+
+
 def test_ties_rank_last_and_missing_truth_ranks_behind(spark):
     scores = spark.createDataFrame([("x", "A", 0.8), ("x", "B", 0.8), ("x", "C", 0.5)], "bug_id string, method string, score double")
     ranked = spectrum.worst_case_rank(scores)

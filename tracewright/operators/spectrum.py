@@ -42,6 +42,13 @@ def suspiciousness(tests: DataFrame, coverage: DataFrame) -> DataFrame:
     return counts.join(totals, "bug_id").withColumn("score", score)
 
 
+def localize(bugs: DataFrame) -> DataFrame:
+    """bug_id, scores (a map from method), ground_truth of every bug of bugs(bug_id, tests, ground_truth); no coverage: an empty map."""
+    scored = suspiciousness(*exploded(bugs)).groupBy("bug_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "score"))).alias("scores"))  # a bug's own methods
+    none = F.create_map().cast("map<string,double>")
+    return bugs.select("bug_id", "ground_truth").join(scored, "bug_id", "left").select("bug_id", F.coalesce("scores", none).alias("scores"), "ground_truth")
+
+
 def worst_case_rank(scores: DataFrame) -> DataFrame:
     """scores with rank, the last position of each tie, and n_methods of the bug."""
     last = W.partitionBy("bug_id").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)
