@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import strip
@@ -25,41 +24,39 @@ DESCRIPTION = "Đổi '%s' → '%s'"
 
 
 def mutants(functions: DataFrame, key: str = "id", code: str = "code") -> DataFrame:
-    """(key, mutant_ordinal, code, description): for each rule, match and replacement one mutant; of equal texts the first.
+    """(key, mutant_ordinal, code, description): for each rule, match and replacement one mutant; of equal texts the first. key differs by row.
 
-    Rules are columns of the row, so nothing is joined: matches and the pieces between them
-    give each mutant as prefix + replacement + suffix.
+    Everything happens within the row, so nothing is shuffled: rules give places and replacements, of which those that give a text
+    seen before are taken out by the texts' digests, and only then a row is made for each, with its text.
     """
-    applied = []
-    for i, (pattern, replacements) in enumerate(RULES):
-        applied.append(
-            F.struct(
-                F.lit(i).alias("rule"),
-                F.regexp_extract_all(F.col(code), F.lit(pattern), F.lit(0)).alias("found"),
-                F.split(F.col(code), pattern, -1).alias("between"),
-                F.array(*(F.lit(r) for r in replacements)).alias("replacements"),
-            )
-        )
-    rules = functions.select(F.col(key), F.explode(F.array(*applied)).alias("r")).where(F.size("r.found") > 0)
-    hits = rules.select(key, "r.rule", "r.found", "r.between", "r.replacements", F.posexplode("r.found").alias("k", "hit"))
-    sides = hits.select(key, "rule", "k", "hit", "replacements", _interleave(0, F.col("k")).alias("head"), _interleave(F.col("k") + 1, F.size("found")).alias("rest"))
-    each = sides.select(key, "rule", "k", "hit", "head", "rest", F.posexplode("replacements").alias("ri", "put"))
-    each = each.where(strip(F.col("hit")) != strip(F.col("put"))).withColumn("mutant", F.concat("head", "put", "rest"))
-    first = W.partitionBy(key, "mutant").orderBy("rule", "k", "ri")
-    order = W.partitionBy(key).orderBy("rule", "k", "ri")
-    said = F.format_string(DESCRIPTION, strip(F.col("hit")), strip(F.col("put")))
-    return (
-        each.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-        .withColumn("mutant_ordinal", F.row_number().over(order))
-        .select(key, "mutant_ordinal", F.col("mutant").alias("code"), said.alias("description"))
-    )
-
-
-def _interleave(first, stop):
-    """between[first] + found[first] + between[first + 1] + ... + between[stop]."""
-    first = F.lit(first) if isinstance(first, int) else first
-    pieces = F.slice(F.col("between"), first + 1, stop - first + 1)
-    gaps = F.slice(F.concat(F.col("found"), F.array(F.lit(""))), first + 1, stop - first + 1)
-    joined = F.zip_with(pieces, gaps, lambda b, f: F.struct(b.alias("b"), f.alias("f")))
-    n = F.size(joined)
-    return F.array_join(F.transform(joined, lambda x, i: F.when(i < n - 1, F.concat(x["b"], x["f"])).otherwise(x["b"])), "")
+    made = F.concat(*(_changes(F.col(code), i, *rule) for i, rule in enumerate(RULES)))
+    made = F.filter(made, lambda x: strip(x["hit"]) != strip(x["put"]))
+    marked = F.transform(made, lambda x, i: F.struct(F.sha2(_applied(F.col(code), x), 256).alias("digest"), i.alias("nth"), x.alias("change")))
+    ordered = functions.select(key, code, F.array_sort(marked).alias("marked"))
+    firsts = F.filter("marked", lambda x, i: (i == 0) | (F.get(F.col("marked"), i - 1)["digest"] != x["digest"]))
+    kept = F.array_sort(F.transform(firsts, lambda x: F.struct(x["nth"].alias("nth"), x["change"].alias("change"))))
+    each = ordered.select(key, code, F.posexplode(kept).alias("at", "x"))
+    change = F.col("x.change")
+    said = F.format_string(DESCRIPTION, strip(change["hit"]), strip(change["put"]))
+    return each.select(key, (F.col("at") + 1).alias("mutant_ordinal"), _applied(F.col(code), change).alias("code"), said.alias("description"))
+
+
+def _changes(text: Column, rule: int, pattern: str, replacements: list[str]) -> Column:
+    """Array of struct(start, size, hit, put) of a rule, by match and replacement; start counts from 0."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), f.alias("hit")))
+    places = "array<struct<start:int,hit:string>>"
+
+    def step(acc, pair):
+        start = acc["end"] + pair["gap"]
+        place = F.array(F.struct(start.alias("start"), pair["hit"].alias("hit"))).cast(places)
+        return F.struct((start + F.length(pair["hit"])).alias("end"), F.concat(acc["places"], place).alias("places"))
+
+    begun = F.struct(F.lit(0).alias("end"), F.array().cast(places).alias("places"))
+    hits = F.aggregate(pairs, begun, step, lambda acc: acc["places"])
+    puts = F.array(*(F.lit(r) for r in replacements))
+    return F.flatten(F.transform(hits, lambda h: F.transform(puts, lambda r: F.struct(h["start"].alias("start"), F.length(h["hit"]).alias("size"), h["hit"].alias("hit"), r.alias("put")))))
+
+
+def _applied(text: Column, change: Column) -> Column:
+    return F.concat(F.left(text, change["start"]), change["put"], F.substr(text, change["start"] + change["size"] + 1))
