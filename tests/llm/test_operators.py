@@ -467,11 +467,12 @@ def test_names_that_only_resemble_furniture_keep_their_text(spark):
 def test_pages_are_read_in_linear_time():
     import time
 
-    for source in ("<a " * 350_000, '<a ">"' * 170_000, "<!" * 500_000, "<div>" * 100_000 + "x", "<p><span>" + "<b>" * 50_000 + "<div></div>" * 50_000, "</script" * 100_000, "<li>" * 100_000, "<script>" * 100_000):
+    for source in ("<a " * 350_000, "<article " * 100_000, "<" * 500_000, '<a ">"' * 170_000, "<!" * 500_000, "<div>" * 100_000 + "x", "<p><span>" + "<b>" * 50_000 + "<div></div>" * 50_000, "</script" * 100_000, "<li>" * 100_000, "<script>" * 100_000):
         started = time.time()
         page = html_text.Page(source)
         html_text.node_features(page)
-        assert time.time() - started < 6
+        html_text.furnished("<body><article><p>A sentence. Another." + source, 1)
+        assert time.time() - started < 15
     assert [t for _, t in html_text.Page("a < b and 3 <4> <i>c</i> <b").runs] == ["a < b and 3 <4> c"]
 
 

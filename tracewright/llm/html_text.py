@@ -270,7 +270,7 @@ def weak_labels(page: Page, nodes: list[int], unwanted: list[tuple[int, int]] =
         p, tag = page.parents[i], page.tags[i]
         inside[i] = inside[p] or tag in ARTICLE
         doubtful[i] = doubtful[p] or inside[p] and (tag in BARS or named(page.tokens[i])[0])
-        bad[i] = bad[p] or any(a <= page.starts[i] < b for a, b in unwanted)
+        bad[i] = bad[p] or any(a <= page.starts[i] < b for a, b in unwanted)  # three at most
     for i in range(n - 1, 0, -1):
         around[page.parents[i]] |= around[i] or inside[i]
     if not around[0]:
@@ -278,21 +278,30 @@ def weak_labels(page: Page, nodes: list[int], unwanted: list[tuple[int, int]] =
     return [0 if bad[i] else -1 if doubtful[i] else 1 if inside[i] else -1 if around[i] else 0 for i in nodes]
 
 
+def first_tag(source: str, names: str) -> tuple[str, int] | None:
+    """The name and the end of the first start tag of one of names (a pattern)."""
+    found = re.search(rf"<({names})(?=[\s>])", source, re.I)
+    end = source.find(">", found.end()) + 1 if found else 0
+    return (found[1], end) if end else None
+
+
 def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int]]] | None:
     """The page with blocks of its own sentences put into its article, and where the unwanted ones stand; None without paragraphs in an article."""
     rng = random.Random(seed)
-    article = re.search(r"<(article|main)\b[^>]*>(.*?)(?=</\1\s*>|\Z)", source, re.S | re.I)
+    article = first_tag(source, "article|main")
     if not article:
         return None
-    places = [m.start() + article.start(2) for m in re.finditer(r"<p[\s>]", article[2], re.I)]
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", re.sub(r"<[^>]*>", " ", article[2])) if s.strip() and "<" not in s]
+    last = re.search(rf"</{article[0]}(?=[\s>])", source[article[1] :], re.I)
+    inside = source[article[1] :][: last.start() if last else None]
+    places = [m.start() + article[1] for m in re.finditer(r"<p[\s>]", inside, re.I)]
+    sentences = [html.escape(s) for _, run in Page(inside).runs for s in re.split(r"(?<=[.!?]) ", run)]
     if not places or not sentences:
         return None
     names, near = sorted(FURNITURE), ("no-{}", "has-{}", "with-{}", "{}-price", "entry-{}", "un{}")
     blocks = []
     for kind in rng.sample(range(5), 3):
         name, attribute = rng.choice(names), rng.choice(("class", "id", "class", "role"))
-        said, wanted = [], rng.choice((0, 0, rng.random())) * len(article[2])  # from one sentence to half of the page
+        said, wanted = [], rng.choice((0, 0, rng.random())) * len(inside)  # from one sentence to half of the page
         while not said or sum(map(len, said)) < wanted:
             said.append(" ".join(rng.choices(sentences, k=rng.randrange(1, 4))))
         inner = "".join(f"<p>{s}</p>" for s in said) if len(said) > 1 or rng.random() < 0.5 else said[0]
@@ -317,11 +326,11 @@ def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int]]] | Non
             unwanted.append((length, length + len(block)))
         at, length = place, length + len(block)
     made = "".join(out) + source[at:]
-    body = re.search(r"<body\b[^>]*>", made, re.I)
+    body = first_tag(made, "body")
     if body and rng.random() < 0.4:
         around = rng.choice(('<form action="/">', "<form>", f'<div id="page" class="{rng.choice(names)}">', f'<div class="{rng.choice(near).format(rng.choice(names))}">'))
-        made = made[: body.end()] + around + made[body.end() :]
-        unwanted = [(a + len(around), b + len(around)) if a >= body.end() else (a, b) for a, b in unwanted]
+        made = made[: body[1]] + around + made[body[1] :]
+        unwanted = [(a + len(around), b + len(around)) if a >= body[1] else (a, b) for a, b in unwanted]
     return made, unwanted
 
 
