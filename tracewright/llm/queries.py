@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversation_repair, exact_dedup, hmm, html_text, mixing, near_dedup, packing, pii, prefix_trie, quality, topk, warc_zip
+from . import conversation_repair, exact_dedup, hmm, html_text, mixing, near_dedup, packing, pii, prefix_trie, quality, token_files, topk, warc_zip
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_minmax_near_dedup": near_dedup.op10_minmax_near_dedup,
     "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_token_files": token_files.op12_token_files,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 

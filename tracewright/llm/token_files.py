@@ -4,7 +4,7 @@ An id is first coded as one of three events: it is the id that last followed the
 the id before it (order 1), or neither. Three models give the events probabilities: by how often the order-2 prediction held of late, by
 the order-1 prediction's record, and without context (order 0). Their mixture is weighted by how probable each model has made the events so far.
 An id that neither predicts is coded by the block's own order-0 frequencies, in three steps of six, five and five bits.
-Blocks share no state, so a group of them is coded side by side, one id of each at a time, as columns of numpy arrays. All
+Blocks share no state, so a group of them is coded side by side, one id of each at a time, as rows of numpy arrays. All
 arithmetic is on whole numbers: a file reads alike on any machine.
 
 File: MAGIC, the blocks (head and 32-bit words), the index (rows of INDEX, then each block's offset), a footer. Each block's head has the
@@ -50,11 +50,9 @@ class Coder:
     def __init__(self, lanes: int):
         self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
-    def narrow(self, lanes: np.ndarray, cumulative: np.ndarray, symbols: np.ndarray, part: np.ndarray) -> None:
-        at = np.arange(len(lanes))
-        above = cumulative[at, symbols]
-        below = np.where(symbols > 0, cumulative[at, symbols - 1], 0)
-        low, size = self.low[lanes] + part * below.astype(np.uint64), part * (above - below).astype(np.uint64)
+    def narrow(self, lanes: np.ndarray, part: np.ndarray, below: np.ndarray, size: np.ndarray) -> None:
+        """Each of lanes goes on with size of its parts from below on."""
+        low, size = self.low.take(lanes) + part * below.astype(np.uint64), part * size.astype(np.uint64)
         short = np.flatnonzero(size <= MASK)
         if len(short):
             some, left = low[short], size[short]
@@ -76,10 +74,19 @@ class Encoder(Coder):
         self.words[lanes, self.used[lanes]] = words
         self.used[lanes] += 1
 
-    def code(self, lanes: np.ndarray, weights: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-        cumulative = np.cumsum(weights, 1, dtype=np.int64)
-        self.narrow(lanes, cumulative, symbols, self.range[lanes] // cumulative[:, -1].astype(np.uint64))
-        return symbols
+    def event(self, lanes: np.ndarray, first: np.ndarray, second: np.ndarray, total: int, true: np.ndarray) -> np.ndarray:
+        """Codes 2, 1 or 0 of weights first, second and what is left of total."""
+        both = first + second
+        below, above = np.where(true == 2, 0, np.where(true == 1, first, both)), np.where(true == 2, first, np.where(true == 1, both, total))
+        self.narrow(lanes, self.range.take(lanes) // np.uint64(total), below, above - below)
+        return true
+
+    def symbol(self, lanes: np.ndarray, weights: np.ndarray, true: np.ndarray) -> np.ndarray:
+        """Codes the place of each in its row of weights."""
+        sums = cumulative(weights)
+        above, size = sums.ravel().take(np.arange(len(lanes)) * sums.shape[1] + true), weights.ravel().take(np.arange(len(lanes)) * sums.shape[1] + true)
+        self.narrow(lanes, self.range.take(lanes) // sums[:, -1].astype(np.uint64), above - size, size)
+        return true
 
     def finished(self) -> list[np.ndarray]:
         every = np.arange(len(self.low))
@@ -102,69 +109,108 @@ class Decoder(Coder):
         self.value[lanes] = ((self.value[lanes] & MASK) << WORD) | following
         self.used[lanes] += 1
 
-    def code(self, lanes: np.ndarray, weights: np.ndarray, symbols: None) -> np.ndarray:
-        cumulative = np.cumsum(weights, 1, dtype=np.int64)
-        part = self.range[lanes] // cumulative[:, -1].astype(np.uint64)
-        reached = np.minimum((self.value[lanes] - self.low[lanes]) // part, (cumulative[:, -1] - 1).astype(np.uint64)).astype(np.int64)
-        found = (cumulative <= reached[:, None]).sum(1)
-        self.narrow(lanes, cumulative, found, part)
+    def reached(self, lanes: np.ndarray, part: np.ndarray, total: np.ndarray | int) -> np.ndarray:
+        return np.minimum(((self.value.take(lanes) - self.low.take(lanes)) // part).astype(np.int64), total - 1)
+
+    def event(self, lanes: np.ndarray, first: np.ndarray, second: np.ndarray, total: int, true: None) -> np.ndarray:
+        part, both = self.range.take(lanes) // np.uint64(total), first + second
+        at = self.reached(lanes, part, total)
+        found = np.where(at < first, 2, np.where(at < both, 1, 0))
+        below, above = np.where(found == 2, 0, np.where(found == 1, first, both)), np.where(found == 2, first, np.where(found == 1, both, total))
+        self.narrow(lanes, part, below, above - below)
+        return found
+
+    def symbol(self, lanes: np.ndarray, weights: np.ndarray, true: None) -> np.ndarray:
+        sums = cumulative(weights)
+        total = sums[:, -1].astype(np.int64)
+        part = self.range.take(lanes) // total.astype(np.uint64)
+        at = self.reached(lanes, part, total).astype(np.float32)
+        found = (sums <= at[:, None]).argmin(1)
+        places = np.arange(len(lanes)) * sums.shape[1] + found
+        above, size = sums.ravel().take(places), weights.ravel().take(places)
+        self.narrow(lanes, part, above - size, size)
         return found
 
 
+_triangles: dict[int, np.ndarray] = {}
+
+
+def cumulative(weights: np.ndarray) -> np.ndarray:
+    """Running sums of rows. They stay below 2^24, so 32-bit floats hold them exactly, in whatever order a product adds."""
+    n = weights.shape[1]
+    if n not in _triangles:
+        _triangles[n] = np.triu(np.ones((n, n), np.float32))
+    return weights.astype(np.float32) @ _triangles[n]
+
+
 class Predictions:
-    """The ids that last followed a context, with a record of 0 to 15."""
+    """The ids that last followed a context, with a record of 0 to 15, as id * 16 + record."""
 
     def __init__(self, lanes: int):
-        self.ids, self.record = np.full((lanes, 1 << BITS), NO_ID, np.uint16), np.zeros((lanes, 1 << BITS), np.uint8)
+        self.table, self.rows = np.full(lanes << BITS, NO_ID << 4, np.uint32), np.arange(lanes) << BITS
 
-    def look(self, lanes: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        self.place = lanes, (contexts.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-        return self.ids[self.place], self.record[self.place].astype(np.int64)
+    def look(self, lanes: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.place = self.rows[:lanes] + ((contexts * np.uint32(2654435761)) >> np.uint32(32 - BITS))
+        known = self.table.take(self.place).astype(np.int64)
+        return known >> 4, known & 15
 
     def learn(self, predicted: np.ndarray, record: np.ndarray, ids: np.ndarray) -> None:
         held = predicted == ids
-        self.ids[self.place] = np.where(held | (record < 2), ids, predicted)
-        self.record[self.place] = np.where(held, np.minimum(record + 1, 15), record >> 1)
+        self.table[self.place] = np.where(held | (record < 2), ids, predicted) * 16 + np.where(held, np.minimum(record + 1, 15), record >> 1)
+
+
+#: The sum of an event's weights: 16 bits of probability, and one for each event.
+EVENTS = 65536 + 2
 
 
 def run_blocks(coder: Encoder | Decoder, lengths: np.ndarray, ids: np.ndarray | None, vocabulary: int) -> np.ndarray:
     """Codes blocks side by side, longest first; ids: a row for each block, None to decode. Returns the ids."""
-    lanes, out = len(lengths), np.zeros((len(lengths), int(lengths.max())), np.uint16)
+    lanes, most = len(lengths), int(lengths.max())
+    out = np.zeros((most, lanes), np.uint16)
     first, second = Predictions(lanes), Predictions(lanes)
     tops = ((vocabulary - 1) >> 10) + 1
-    counts = [np.ones((lanes, *shape), np.uint16) for shape in ((tops,), (tops, 32), (tops * 32, 32))]
-    events = [np.full((lanes, contexts, 3), 21845, np.int64) for contexts in (2, 32, 16)]
-    trust = np.full((lanes, 3), 21845, np.int64)
-    for k in range(out.shape[1]):
-        own = np.arange(np.searchsorted(-lengths, -k))  # blocks longer than k
-        at1 = out[own, k - 1] if k else np.zeros(len(own), np.uint16)
-        at2 = out[own, k - 2] if k > 1 else np.zeros(len(own), np.uint16)
-        id1, record1 = first.look(own, at1)
-        id2, record2 = second.look(own, at2.astype(np.uint32) * np.uint32(40503) + at1)
+    shapes = ((1, tops), (tops, 32), (tops * 32, 32))
+    counts = [np.ones((lanes * rows, width), np.uint16) for rows, width in shapes]
+    kinds = (2, 32, 16)  # contexts of the models of order 0, 1 and 2
+    events = [[np.full(lanes * n, 21845, np.int64) for n in kinds] for _ in range(2)]  # probability of event 2, of event 1
+    trust = [np.full(lanes, 21845, np.int64) for _ in kinds]
+    every, nothing = np.arange(lanes), np.zeros(lanes, np.uint16)
+    for k in range(most):
+        m = int(np.searchsorted(-lengths, -k))  # blocks longer than k
+        own = every[:m]
+        at1 = (out[k - 1, :m] if k else nothing[:m]).astype(np.uint32)
+        at2 = (out[k - 2, :m] if k > 1 else nothing[:m]).astype(np.uint32)
+        id1, record1 = first.look(m, at1)
+        id2, record2 = second.look(m, at2 * np.uint32(40503) + at1)
         same = (id1 == id2).astype(np.int64)
-        contexts = (same, record1 * 2 + same, record2)
-        said = [e[own, c] for e, c in zip(events, contexts, strict=True)]
-        weight = trust[own]
-        mixed = sum(w[:, None] * p for w, p in zip(weight.T, said, strict=True)) // weight.sum(1)[:, None] + 1
-        mixed[:, 1] *= 1 - same  # events: neither, order 1 alone, order 2
-        true = None if ids is None else ids[own, k].astype(np.int64)
-        event = coder.code(own, mixed, None if true is None else np.where(true == id2, 2, np.where(true == id1, 1, 0)))
+        places = [own * n + c for n, c in zip(kinds, (same, record1 * 2 + same, record2), strict=True)]
+        said2, said1 = ([e.take(p) for e, p in zip(event, places, strict=True)] for event in events)
+        weight = [t[:m] for t in trust]
+        whole = weight[0] + weight[1] + weight[2]
+        mixed2, mixed1 = ((weight[0] * s[0] + weight[1] * s[1] + weight[2] * s[2]) // whole + 1 for s in (said2, said1))
+        mixed1 *= 1 - same  # one id that both predict counts as that of order 2
+        true = None if ids is None else ids[k, :m].astype(np.int64)
+        event = coder.event(own, mixed2, mixed1, EVENTS, None if true is None else np.where(true == id2, 2, np.where(true == id1, 1, 0)))
         got = np.where(event == 2, id2, id1)
         rest = np.flatnonzero(event == 0)
         if len(rest):
-            rows, steps = own[rest], (None, None, None) if true is None else (true[rest] >> 10, (true[rest] >> 5) & 31, true[rest] & 31)
-            top = coder.code(rows, counts[0][rows], steps[0]).astype(np.int64)
-            middle = coder.code(rows, counts[1][rows, top], steps[1]).astype(np.int64)
-            last = coder.code(rows, counts[2][rows, top * 32 + middle], steps[2]).astype(np.int64)
-            for count, place in zip(counts, ((rows, top), (rows, top, middle), (rows, top * 32 + middle, last)), strict=True):
-                count[place] += 12  # a block's ids stay within 16 bits
-            got[rest] = (top << 10) | (middle << 5) | last
-        out[own, k] = got
-        hit = np.arange(3) == event[:, None]
-        for e, c, p in zip(events, contexts, said, strict=True):
-            e[own, c] = p + ((hit * 65535 - p) >> 5)
-        likely = np.stack([p[np.arange(len(own)), event] for p in said], 1)
-        trust[own] = np.maximum(weight + ((likely - weight) >> 5), 64)
+            steps = (None, None, None) if true is None else (true[rest] >> 10, (true[rest] >> 5) & 31, true[rest] & 31)
+            value, context = 0, np.zeros(len(rest), np.int64)
+            for count, (rows, width), step in zip(counts, shapes, steps, strict=True):
+                row = rest * rows + context
+                found = coder.symbol(rest, count.take(row, 0), step).astype(np.int64)
+                count.ravel()[row * width + found] += np.uint16(12)  # a block's ids keep this within 16 bits
+                value = context = value * 32 + found
+            got[rest] = value
+        out[k, :m] = got
+        for held, event_places in ((event == 2, events[0]), (event == 1, events[1])):
+            said = said2 if event_places is events[0] else said1
+            target = held * 65535
+            for e, p, s in zip(event_places, places, said, strict=True):
+                e[p] = s + ((target - s) >> 5)
+        for t, w, s2, s1 in zip(trust, weight, said2, said1, strict=True):
+            likely = np.where(event == 2, s2, np.where(event == 1, s1, 65536 - s2 - s1))
+            t[:m] = np.maximum(w + ((likely - w) >> 5), 64)
         first.learn(id1, record1, got)
         second.learn(id2, record2, got)
     return out
@@ -174,9 +220,9 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     """Blocks of ids, at most BLOCK each: head and words."""
     cuts = [ids[k : k + BLOCK] for k in range(0, len(ids), BLOCK)]
     lengths = np.array([len(c) for c in cuts])
-    table = np.zeros((len(cuts), int(lengths.max())), np.uint16)
-    for row, own in zip(table, cuts, strict=True):
-        row[: len(own)] = own
+    table = np.zeros((int(lengths.max()), len(cuts)), np.uint16)
+    for column, own in enumerate(cuts):
+        table[: len(own), column] = own
     coder = Encoder(len(cuts))
     run_blocks(coder, lengths, table, vocabulary)
     raw = [words.tobytes() for words in coder.finished()]
@@ -192,13 +238,20 @@ def decode_blocks(raw: list[bytes], vocabulary: int) -> list[np.ndarray]:
     order = sorted(range(len(raw)), key=lambda k: -heads[k][0])
     lengths = np.array([heads[k][0] for k in order])
     out = run_blocks(Decoder([np.frombuffer(raw[k], "<u4", offset=HEAD.size) for k in order]), lengths, None, vocabulary)
-    found = {k: out[row, : heads[k][0]] for row, k in enumerate(order)}
+    found = {k: np.ascontiguousarray(out[: heads[k][0], column]) for column, k in enumerate(order)}
     for k, head in enumerate(heads):
         if zlib.crc32(found[k].astype("<u2").tobytes()) != head[3]:
             raise ValueError("a block's ids differ from their checksum")
     return [found[k] for k in range(len(raw))]
 
 
+def closing(at: int, index: list[tuple[int, bool, int]], offsets: list[int]) -> tuple[bytes, int]:
+    """A file's index, which begins at at, and footer; and its number of ids."""
+    table = np.array(index, INDEX)
+    raw, tokens = table.tobytes() + np.array(offsets, "<u8").tobytes(), int(table["n_tokens"].sum())
+    return raw + FOOT.pack(at, len(table), len(offsets), tokens, zlib.crc32(raw), MAGIC), tokens
+
+
 class Words:
     """Ids of texts by the tokenizers library. This vocabulary's tokens never hold white space, so each word is encoded once and kept, up to CACHED of them."""
 
@@ -329,11 +382,9 @@ def write_files(docs: DataFrame, where: str, path: str, vocabulary: int, end: in
                         file.write(block)
                         at += len(block)
                 waiting, size = [ids[take:]], len(ids) - take
-            table = np.array(index, INDEX)
-            raw, tokens = table.tobytes() + np.array(offsets, "<u8").tobytes(), int(table["n_tokens"].sum())
-            foot = FOOT.pack(at, len(table), len(offsets), tokens, zlib.crc32(raw), MAGIC)
-            file.write(raw + foot)
-        done = (f"{where}/{name}", TaskContext.get().partitionId(), len(table), tokens, at + len(raw) + len(foot))
+            tail, tokens = closing(at, index, offsets)
+            file.write(tail)
+        done = (f"{where}/{name}", TaskContext.get().partitionId(), len(index), tokens, at + len(tail))
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in done], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), F.xxhash64(text_or_empty()).alias("tie"))
@@ -349,8 +400,8 @@ class TokenFile:
         self.file, self.vocabulary = fs.open_input_file(name), vocabulary
         size = self.file.size()
         at, documents, blocks, self.tokens, crc, magic = FOOT.unpack(self.file.read_at(FOOT.size, size - FOOT.size))
-        raw = self.file.read_at(size - FOOT.size - at, at)
-        if magic != MAGIC or zlib.crc32(raw) != crc:
+        raw = self.file.read_at(size - FOOT.size - at, at) if magic == MAGIC and at <= size - FOOT.size else None
+        if raw is None or zlib.crc32(raw) != crc:
             raise ValueError(f"{path}: no file of ids, or its index differs from its checksum")
         self.documents = np.frombuffer(raw, INDEX, documents)
         self.offsets = np.append(np.frombuffer(raw, "<u8", blocks, documents * INDEX.itemsize), np.uint64(at)).astype(np.int64)
