@@ -316,7 +316,7 @@ def test_evaluation_of_repairs(spark):
         "d": (False, None, None, None, -1, -1), "e": (False, None, None, None, -1, -1), "f": (True, "NoneFix", False, (0, 1), -1, 20),
     }
     summary = repair.evaluation(each, ["engine"]).first().asDict()
-    want = {"total": 6, "attempted": 3, "n_llm_failed": 1, "n_skipped": 2, "CleanFix": 1, "NoiseFix": 0, "NoneFix": 1, "NegFix": 1, "plausible": 1, "post_passed": 3, "post_failed": 3, "func_distance_n": 2, "func_distance_median": 2}
+    want = {"total": 6, "attempted": 3, "n_llm_failed": 1, "n_skipped": 1, "CleanFix": 1, "NoiseFix": 0, "NoneFix": 1, "NegFix": 1, "plausible": 1, "post_passed": 3, "post_failed": 3, "func_distance_n": 2, "func_distance_median": 2}
     assert {k: summary[k] for k in want} == want
 
 

@@ -51,12 +51,12 @@ def targets(scores: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def prompted(targeted: DataFrame, bugs: DataFrame, provider: Provider) -> DataFrame:
-    """Candidates from replies: bug_id, method, method_order, ord, code, patched_file."""
+    """Candidates from replies: bug_id, method, method_order, ord, code, patched_file. A null or empty reply is none."""
     asked = targeted.join(bugs.select("bug_id", "tests"), "bug_id", "left")
     context = F.coalesce(names.failed_context(F.col("tests")), F.lit(""))
     prompts = asked.withColumn("prompt", names.repair_prompt(names.bare_name(F.col("method")), F.col("bug_id"), context, F.col("text")))
     code = names.unfenced(F.col("reply"), names.NOTE)
-    return provider(prompts).select(
+    return provider(prompts).where("reply IS NOT NULL AND reply <> ''").select(
         "bug_id", "method", "method_order", F.lit(1).alias("ord"), code.alias("code"), names.splice(F.col("text"), code, F.col("span.start"), F.col("span.end")).alias("patched_file")
     )
 
@@ -78,6 +78,26 @@ def repaired(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     return results.chosen(results.validated(candidates, facts))
 
 
+def attempts(candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row for each bug with candidates: bug_id, reached, method, method_order, ord, patched_function, patched_file, mutation_strategy, post_passed_tests, post_failed_tests.
+
+    The first valid candidate in order, else the best effort of the last function: of its candidates the earliest that passes most tests.
+    Runs are gathered once, into the two lists of each candidate.
+    """
+    key = ["bug_id", "method", "ord"]
+    side = lambda ok: F.array_sort(F.collect_list(F.when(F.col("passed") == ok, F.col("test_id"))))
+    lists = runs.groupBy(*key).agg(side(True).alias("post_passed_tests"), side(False).alias("post_failed_tests"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
+    tried = candidates.select(*key, "method_order").join(lists, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_passed", "n_failed")})
+    told = F.struct("method", "method_order", "ord", "post_passed_tests", "post_failed_tests")
+    tried = tried.withColumns({"valid": (F.col("n_passed") > 0) & (F.col("n_failed") == 0), "candidate_id": told})
+    best = results.chosen(tried).select("bug_id", F.col("status").alias("reached"), "candidate_id.*")
+    none = F.array().cast("array<string>")
+    best = best.withColumns({c: F.coalesce(c, none) for c in ("post_passed_tests", "post_failed_tests")})
+    said = F.col("description") if "description" in candidates.columns else F.lit(None).cast("string")
+    patches = candidates.select(*key, F.col("code").alias("patched_function"), "patched_file", said.alias("mutation_strategy"))
+    return best.join(patches, key)
+
+
 def result_rows(engine: str, scores: DataFrame, sources: DataFrame, bugs: DataFrame, targeted: DataFrame, candidates: DataFrame, runs: DataFrame) -> DataFrame:
     """RESULT of each bug that has scores and a source, by targets(), candidates of them and their runs; engine: llm or mutation.
 
@@ -85,20 +105,15 @@ def result_rows(engine: str, scores: DataFrame, sources: DataFrame, bugs: DataFr
     candidates, while selected_function is the last function tried, with or without any. Bugs without a function to try are skipped; where
     functions had no candidate, the status is llm_failed or, for mutants, skipped.
     """
-    key = ["bug_id", "method", "ord"]
-    counts = runs.groupBy(*key).agg(F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
-    tried = candidates.join(counts, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_passed", "n_failed")})
-    tried = tried.withColumns({"valid": (F.col("n_passed") > 0) & (F.col("n_failed") == 0), "candidate_id": F.struct("method", "ord")})
-    best = results.chosen(tried).select("bug_id", F.col("status").alias("reached"), "candidate_id.*")
-    said = F.col("description") if "description" in candidates.columns else F.lit(None).cast("string")
-    patches = candidates.withColumn("mutation_strategy", said).select(*key, F.col("code").alias("patched_function"), "patched_file", "mutation_strategy")
-    patches = best.join(patches, key)
-    side = lambda ok: F.array_sort(F.collect_list(F.when(F.col("passed") == ok, F.col("test_id"))))
-    after = runs.join(best, key, "left_semi").groupBy("bug_id").agg(side(True).alias("post_passed_tests"), side(False).alias("post_failed_tests"))
+    return finished(engine, scores, sources, bugs, targeted, attempts(candidates, runs))
+
+
+def finished(engine: str, scores: DataFrame, sources: DataFrame, bugs: DataFrame, targeted: DataFrame, best: DataFrame) -> DataFrame:
+    """RESULT as result_rows() describes it, from one row of attempts() for each bug that had candidates."""
     last = targeted.groupBy("bug_id").agg(F.max_by("method", "method_order").alias("last_method"))
     tests = bugs.select("bug_id", names.ids_with(F.col("tests"), names.PASSED).alias("init_passed_tests"), names.ids_with(F.col("tests"), names.FAILED).alias("init_failed_tests"))
     rows = scores.select("bug_id").distinct().join(sources.select("bug_id").distinct(), "bug_id", "left_semi")
-    for part in (last, patches.withColumnRenamed("method", "patched_method"), after, tests):
+    for part in (last, best.withColumnRenamed("method", "patched_method"), tests):
         rows = rows.join(part, "bug_id", "left")
     none = F.array().cast("array<string>")
     untried = F.when(F.col("last_method").isNull() | F.lit(engine == "mutation"), "skipped").otherwise("llm_failed")
@@ -220,7 +235,7 @@ def evaluation(rows: DataFrame, by: list[str]) -> DataFrame:
         upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
         stats += [F.count(c).alias(f"{c}_n"), F.avg(c).alias(f"{c}_mean"), upper.alias(f"{c}_median"), F.min(c).alias(f"{c}_least"), F.max(c).alias(f"{c}_most")]
     return rows.groupBy(*by).agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "llm_failed").alias("n_llm_failed"), F.count_if(F.coalesce("status", F.lit("skipped")) == "skipped").alias("n_skipped"),
+        F.count("*").alias("total"), F.count_if(F.col("status") == "llm_failed").alias("n_llm_failed"), F.count_if(F.col("status") == "skipped").alias("n_skipped"),
         F.coalesce(F.sum("post.passed"), F.lit(0)).alias("post_passed"), F.coalesce(F.sum("post.failed"), F.lit(0)).alias("post_failed"),
         tried.alias("attempted"), *(c.alias(x) for x, c in label.items()), F.count_if("is_plausible").alias("plausible"),
         rate(label["CleanFix"] + label["NoiseFix"]).alias("any_fix_percent"), rate(label["NoiseFix"] + label["NegFix"]).alias("regression_percent"), *stats,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codetext, logs, names
 from ..operators import mutants as m
-from ..operators import repair, results, spectrum
+from ..operators import providers, repair, results, spectrum, tiers
+from ..sources.stages import Stages
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -232,8 +235,11 @@ o AS (SELECT *, row_number() OVER (PARTITION BY bug_id ORDER BY ok DESC, CASE WH
 SELECT bug_id, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, k AS candidate_id FROM o WHERE n = 1"""
 
 
-def repair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as bugs in one source each, replies for some of its two functions, orders as tests before and as runs of the patches."""
+def repair_inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """scores, sources, bugs, replies and facts: customers as bugs in one source each, replies for some of its two functions, orders as tests before and as runs of the patches.
+
+    Functions without a reply have a null or an empty one.
+    """
     customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("bug_id"), F.col("c_nationkey").alias("n"))
     orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("bug_id"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("test_id"), F.col("o_orderstatus").alias("s"))
     text = F.format_string("int helper(int a) { return a + %d; }\nint solve(int n) { return n * 2; }\n", F.col("n"))
@@ -246,15 +252,43 @@ def repair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     bugs = orders.groupBy("bug_id").agg(tests.alias("tests"))
     reply = F.when((F.col("method") == "x.c::helper") & (F.col("bug_id") % 2 == 0), F.format_string("```c\nint helper(int a) { return %d; }\n```", F.col("bug_id")))
     reply = F.coalesce(reply, F.when((F.col("method") == "x.c::solve") & (F.col("bug_id") % 3 == 0), F.lit("int solve(int n) { return 0; }")))
-    replies = scores.select("bug_id", "method", reply.alias("reply")).where("reply IS NOT NULL")
+    replies = scores.select("bug_id", "method", F.coalesce(reply, F.when(F.col("bug_id") % 5 < 2, "")).alias("reply"))
     passed = F.when(F.col("method") == "x.c::helper", F.col("s") == "O").otherwise(F.col("s") != "F")
     facts = orders.crossJoin(F.broadcast(spark.createDataFrame([("x.c::helper",), ("x.c::solve",)], "method string")))  # two rows
     facts = facts.select("bug_id", "method", F.lit(1).alias("ord"), "test_id", passed.alias("passed"))
-    out = repair.repaired_by_replies(scores, sources, bugs, repair.replay(replies), repair.recorded(facts))
-    return out.select(
-        "bug_id", "status", "selected_function", "patched_function", F.sha2("patched_file", 256).alias("file_sha256"), "patch_file",
-        *(F.concat_ws(",", c).alias(c) for c in repair.RESULT[-4:]),
-    )
+    return scores, sources, bugs, replies, facts
+
+
+def repair_columns() -> list[str | Column]:
+    lists = (F.concat_ws(",", c).alias(c) for c in repair.RESULT[-4:])
+    return ["bug_id", "status", "selected_function", "patched_function", F.sha2("patched_file", 256).alias("file_sha256"), "patch_file", *lists]
+
+
+def repair_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores, sources, bugs, replies, facts = repair_inputs(spark, sf_dir)
+    return repair.repaired_by_replies(scores, sources, bugs, repair.replay(replies), repair.recorded(facts)).select(*repair_columns())
+
+
+def answer(prompt: str) -> str | None:
+    """What the replies of repair_inputs() say, as a service would: from the prompt alone, with nothing or a failure where there is no reply."""
+    function, bug = re.match(r"Repair the C function (\w+) of (\d+)\.", prompt).groups()
+    bug = int(bug)
+    if function == "helper" and bug % 2 == 0:
+        return f"```c\nint helper(int a) {{ return {bug}; }}\n```"
+    if function == "solve" and bug % 3 == 0:
+        return "int solve(int n) { return 0; }"
+    if bug % 4 == 1:
+        raise TimeoutError
+    return "" if bug % 4 == 3 else None
+
+
+def tiered_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repair_results function by function: a service answers, and solved bugs send and validate nothing more."""
+    scores, sources, bugs, _, facts = repair_inputs(spark, sf_dir)
+    stages = Stages(spark)
+    provider = providers.asking(answer, stages.path("replies"), wait=0.0)
+    out = tiers.by_replies_in_tiers(scores, sources, bugs, provider, repair.recorded(facts), stages.path("tiers"))
+    return out.select(*repair_columns(), "n_validated")
 
 
 REPAIRS_SQL = """
@@ -275,13 +309,13 @@ SELECT b AS bug_id, status, CASE WHEN none THEN NULL WHEN status = 'success' THE
 
 
 def repair_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as bugs, brands as engines; names make the patched and the accepted code."""
+    """Parts as bugs, brands as engines; names make the patched and the accepted code. Some rows have no status."""
     part = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("bug_id"), F.col("p_brand").alias("engine"), "p_name", "p_size")
     lines = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("bug_id"), "l_linestatus", (F.col("l_returnflag") == "R").alias("failed"), F.col("l_linenumber").cast("string").alias("t"))
     side = lambda s, failed: F.array_sort(F.collect_set(F.when((F.col("l_linestatus") == s) & (F.col("failed") == failed), F.col("t"))))
     sets = lines.groupBy("bug_id").agg(side("F", False).alias("init_passed_tests"), side("F", True).alias("init_failed_tests"), side("O", False).alias("post_passed_tests"), side("O", True).alias("post_failed_tests"))
     kind = F.col("p_size") % 10
-    status = F.when(kind == 0, "skipped").when(kind == 1, "llm_failed").when(kind < 5, "success").otherwise("failed")
+    status = F.when(kind == 0, F.when(F.col("p_size") < 30, "skipped")).when(kind == 1, "llm_failed").when(kind < 5, "success").otherwise("failed")
     code = lambda c: F.concat(F.lit("int f(int a) { return "), c, F.lit("; }"))
     repairs = part.join(sets, "bug_id").select(
         "bug_id", "engine", status.alias("status"), code(F.col("p_name")).alias("patched_function"), F.concat(F.lit("static "), code(F.col("p_name"))).alias("patched_file"), F.lit("x.c::f").alias("selected_function"),
@@ -297,11 +331,11 @@ EVALUATION_SQL = """
 WITH s AS (SELECT l_partkey AS b, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'F' AND l_returnflag <> 'R'), []) AS ip, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'F' AND l_returnflag = 'R'), []) AS i,
              coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'O' AND l_returnflag <> 'R'), []) AS pp, coalesce(list(DISTINCT l_linenumber) FILTER (l_linestatus = 'O' AND l_returnflag = 'R'), []) AS p FROM lineitem GROUP BY 1),
 n AS (SELECT p_partkey - 1 AS b, 'intf(inta){return' || replace(p_name, ' ', '') || ';}' AS other FROM part),
-r AS (SELECT p_brand AS engine, s.*, p_size %% 10 AS k, len(list_filter(i, lambda x: NOT list_contains(p, x))) > 0 AS fixed, len(list_filter(p, lambda x: NOT list_contains(i, x))) > 0 AS broken,
+r AS (SELECT p_brand AS engine, s.*, p_size, p_size %% 10 AS k, len(list_filter(i, lambda x: NOT list_contains(p, x))) > 0 AS fixed, len(list_filter(p, lambda x: NOT list_contains(i, x))) > 0 AS broken,
              levenshtein('intf(inta){return' || replace(p_name, ' ', '') || ';}', other) AS fd, levenshtein('staticintf(inta){return' || replace(p_name, ' ', '') || ';}', other) AS ld
       FROM part JOIN s ON s.b = p_partkey LEFT JOIN n ON n.b = p_partkey),
 t AS (SELECT *, k > 1 AS tried, k BETWEEN 2 AND 4 AND len(pp) = 0 AS silent, CASE WHEN fixed AND NOT broken THEN 'CleanFix' WHEN fixed THEN 'NoiseFix' WHEN broken THEN 'NegFix' ELSE 'NoneFix' END AS label FROM r)
-SELECT engine, count(*) AS total, count(*) FILTER (k = 1) AS n_llm_failed, count(*) FILTER (k = 0) AS n_skipped,
+SELECT engine, count(*) AS total, count(*) FILTER (k = 1) AS n_llm_failed, count(*) FILTER (k = 0 AND p_size < 30) AS n_skipped,
   coalesce(sum(CASE WHEN silent THEN len(ip) + len(i) ELSE len(pp) END) FILTER (tried), 0)::BIGINT AS post_passed, coalesce(sum(CASE WHEN silent THEN 0 ELSE len(p) END) FILTER (tried), 0)::BIGINT AS post_failed,
   count(*) FILTER (tried) AS attempted, %s,
   count(*) FILTER (tried AND len(i) > 0 AND NOT broken AND NOT list_has_any(i, p)) AS plausible,
@@ -396,6 +430,7 @@ QUERIES = {
     "candidate_choice": candidate_choice,
     "run_logs": run_logs,
     "repair_results": repair_results,
+    "tiered_repairs": tiered_repairs,
     "repair_evaluation": repair_evaluation,
     "localization_evaluation": localization_evaluation,
     "changed_functions": changed_functions,
@@ -437,6 +472,8 @@ SQL = {
     "candidate_choice": CHOICE_SQL,
     "run_logs": LOGS_SQL,
     "repair_results": REPAIRS_SQL,
+    "tiered_repairs": REPAIRS_SQL.replace(" FROM e", """,
+  CASE WHEN none THEN 0 ELSE (h::INTEGER + (v AND NOT (h AND coalesce(h_ok, false)))::INTEGER) END::BIGINT AS n_validated FROM e"""),
     "repair_evaluation": EVALUATION_SQL,
     "localization_evaluation": LOCALIZATION_SQL,
     "changed_functions": f"""WITH {CODE_SQL}, c AS (SELECT code.*, p_size % 3 AS k FROM code JOIN part USING (p_partkey))
