@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 LABELS = ("CleanFix", "NoiseFix", "NoneFix", "NegFix")
@@ -74,11 +75,36 @@ def status_counts(results: DataFrame, by: list[str], groups: dict[str, tuple[str
     return results.groupBy(*by).agg(n.alias("total"), *(c.alias(name) for name, c in counts.items()), F.try_divide(100.0 * first, n).alias("fix_percent"))
 
 
+def upper_medians(rows: DataFrame, by: list[str], column: str) -> DataFrame:
+    """by and median: the value at place n // 2 (from 0) of each group's n whole numbers in order; nulls are left out.
+
+    Two passes over counts: by the numbers' upper bits, then by the lower 16 bits of those that share the median's upper ones. Of a
+    group at most 65,536 counts meet in one task, however many rows or distinct numbers it has.
+    """
+    value = F.col(column).cast("long")
+    parts = rows.where(value.isNotNull()).select(*by, F.shiftright(value, 16).alias("_high"), value.bitwiseAND(F.lit(65535)).alias("_low"))
+    order = lambda c: W.partitionBy(*by).orderBy(c)
+    highs = parts.groupBy(*by, "_high").agg(F.count("*").alias("_n"))
+    highs = highs.withColumns({"_upto": F.sum("_n").over(order("_high")), "_all": F.sum("_n").over(W.partitionBy(*by))})
+    place = F.floor(F.col("_all") / 2)
+    found = highs.where((F.col("_upto") > place) & (F.col("_upto") - F.col("_n") <= place)).select(*(F.col(c).alias(f"_{c}") for c in by), F.col("_high").alias("_median_high"), (place - F.col("_upto") + F.col("_n")).alias("_rest"))
+    same = F.col("_high") == F.col("_median_high")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    lows = parts.join(found, same).groupBy(*by, "_high", "_low", "_rest").agg(F.count("*").alias("_n")).withColumn("_upto", F.sum("_n").over(order("_low")))
+    lows = lows.where((F.col("_upto") > F.col("_rest")) & (F.col("_upto") - F.col("_n") <= F.col("_rest")))
+    return lows.select(*by, (F.col("_high") * 65536 + F.col("_low")).alias("median"))
+
+
 def distance_stats(distances: DataFrame, by: list[str], column: str = "distance") -> DataFrame:
-    """n, mean, upper median, min and max of distances of 0 or more. The median holds a count of each distinct distance of a group, not the rows."""
+    """n, mean, upper median, min and max of distances of 0 or more."""
     kept = distances.where(F.col(column) >= 0)
-    upper = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {column} DESC)")
-    return kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), upper.alias("median"), F.min(column).alias("least"), F.max(column).alias("most"))
+    medians = upper_medians(kept, by, column).select(*(F.col(c).alias(f"_{c}") for c in by), "median")
+    rest = kept.groupBy(*by).agg(F.count("*").alias("n"), F.avg(column).alias("mean"), F.min(column).alias("least"), F.max(column).alias("most"))
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rest.join(medians, same).select(*by, "n", "mean", "median", "least", "most")
 
 
 def validated(candidates: DataFrame, runs: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.names import FAILED, PASSED
 
 
+#: Steps of score from 0 to 1 by which ranks are summed.
+STEPS = 1024
+
+
 def outcome_class(outcome: Column) -> Column:
     """True: failed, false: passed, in any case of letters; null: neither, and the test is left out."""
     upper = F.upper(F.coalesce(outcome, F.lit("")))
@@ -50,9 +54,28 @@ def localize(bugs: DataFrame) -> DataFrame:
 
 
 def worst_case_rank(scores: DataFrame) -> DataFrame:
-    """scores with rank, the last position of each tie, and n_methods of the bug."""
-    last = W.partitionBy("bug_id").orderBy(F.desc("score")).rangeBetween(W.unboundedPreceding, W.currentRow)
-    return scores.withColumns({"rank": F.count("*").over(last), "n_methods": F.count("*").over(W.partitionBy("bug_id"))})
+    """scores with rank, the last position of each tie, and n_methods of the bug; null scores come last.
+
+    Ranks are running sums over the counts of distinct scores, first by steps of score and then within a step, so the methods of one bug
+    are never in one window: a step's distinct scores are, and a bug's steps.
+    """
+    step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-1e6)), F.lit(1e6)) * STEPS)
+    counts = scores.groupBy("bug_id", "score").agg(F.count("*").alias("_n")).withColumn("_step", step)
+    before = W.partitionBy("bug_id").orderBy(F.desc("_step")).rowsBetween(W.unboundedPreceding, -1)
+    steps = counts.groupBy("bug_id", "_step").agg(F.sum("_n").alias("_m"))
+    steps = steps.select("bug_id", "_step", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_ahead"), F.sum("_m").over(W.partitionBy("bug_id")).alias("n_methods"))
+    within = counts.withColumn("_place", F.sum("_n").over(W.partitionBy("bug_id", "_step").orderBy(F.desc("score"))))
+    ranks = _joined(within, steps, "bug_id", "_step").select("bug_id", "score", (F.col("_ahead") + F.col("_place")).alias("rank"), "n_methods")
+    return _joined(scores, ranks, "bug_id", "score")
+
+
+def _joined(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """An inner join in which nulls are equal; the keys are left's."""
+    right = right.select(*(F.col(k).alias(f"_right_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(right, same).drop(*(f"_right_{k}" for k in keys))
 
 
 def by_bug(ranked: DataFrame, truth: DataFrame) -> DataFrame:

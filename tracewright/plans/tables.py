@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codetext, logs, names
 from ..operators import mutants as m
 from ..operators import providers, repair, results, spectrum, tiers
+from ..sources import buckets
 from ..sources.stages import Stages
 
 
@@ -135,6 +136,14 @@ def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.upserted(latest_results(spark, sf_dir, 0), latest_results(spark, sf_dir, 1))
 
 
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """upsert through a stored table: two writes, of which the second replaces rows only in the buckets it falls into."""
+    table = Stages(spark).path("results")
+    for odd in (0, 1):
+        buckets.upsert(latest_results(spark, sf_dir, odd), table)
+    return buckets.stored(spark, table)
+
+
 def engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = results.united({"even": latest_results(spark, sf_dir, 0), "odd": latest_results(spark, sf_dir, 1)})
     return both.groupBy("engine").agg(F.count("*").alias("n"), F.count_if(results.attempted(F.col("status"))).alias("n_attempted"))
@@ -211,6 +220,16 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.distance_stats(pairs, ["p_brand"]).withColumns({"mean": F.round("mean", 6), "median": F.col("median").cast("int")})
 
 
+def text_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents against themselves without a letter, and with that letter replaced by a sign that no text has: each edit counts once."""
+    rows = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    return rows.select(
+        "doc_id",
+        codetext.text_distance(F.col("t"), F.replace("t", F.lit("z"), F.lit(""))).alias("dropped"),
+        codetext.text_distance(F.col("t"), F.replace("t", F.lit("q"), F.lit("\u0001"))).alias("replaced"),
+    )
+
+
 def comparable_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("t"))
     loose = F.concat(F.replace("t", F.lit("\n"), F.lit(" \t\n")), F.lit("  \n\n"))
@@ -418,6 +437,7 @@ QUERIES = {
     "status_counts": status_counts,
     "resume": resume,
     "upsert": upsert,
+    "bucketed_upsert": bucketed_upsert,
     "engines": engines,
     "qualified_names": qualified_names,
     "version_files": version_files,
@@ -426,6 +446,7 @@ QUERIES = {
     "extracted_functions": extracted_functions,
     "mutants": page_mutants,
     "distance_stats": distance_stats,
+    "text_distances": text_distances,
     "comparable_outputs": comparable_outputs,
     "candidate_choice": candidate_choice,
     "run_logs": run_logs,
@@ -453,6 +474,9 @@ SQL = {
         count(*) FILTER (status = 'skipped') AS set_aside, round(100.0 * count(*) FILTER (status IN ('success', 'timeout_repaired')) / count(*), 6)::DOUBLE AS fix_percent FROM s GROUP BY engine""",
     "resume": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.bug_id = o.bug_id AND p.status <> 'skipped')",
     "upsert": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE p.bug_id = o.bug_id)",
+    "bucketed_upsert": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE p.bug_id = o.bug_id)",
+    "text_distances": """SELECT doc_id, (length(t) - length(replace(t, 'z', '')))::INTEGER AS dropped, (length(t) - length(replace(t, 'q', '')))::INTEGER AS replaced
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "engines": f"""WITH u AS (SELECT 'odd' AS engine, * FROM ({LATEST_SQL % 1}) UNION ALL SELECT 'even', * FROM ({LATEST_SQL % 0}))
         SELECT engine, count(*) AS n, count(*) FILTER (status <> 'skipped') AS n_attempted FROM u GROUP BY engine""",
     "qualified_names": """WITH q AS (SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN p_name ELSE '/src/' || p_type || '::' || CASE WHEN p_size % 2 = 0 THEN 'ns::' ELSE '' END || p_name END AS q FROM part)
