@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import codetext, logs, names
 from ..operators import mutants as m
 from ..operators import providers, repair, results, spectrum, tiers
-from ..sources import buckets
+from ..sources import buckets, keyed
 from ..sources.stages import Stages
 
 
@@ -220,6 +220,14 @@ def distance_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.distance_stats(pairs, ["p_brand"]).withColumns({"mean": F.round("mean", 6), "median": F.col("median").cast("int")})
 
 
+def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents written as one JSON object keyed by id, cut over files, and read back by byte ranges."""
+    folder = Stages(spark).path("documents")
+    keyed.write_object(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("bug_id"), "text", "lang"), folder)
+    back = keyed.entries(spark, folder, "struct<text:string,lang:string>", together=True)
+    return back.select(F.col("bug_id").cast("long").alias("doc_id"), F.sha2("value.text", 256).alias("text_sha256"), F.col("value.lang").alias("lang"))
+
+
 def text_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against themselves without a letter, and with that letter replaced by a sign that no text has: each edit counts once."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
@@ -446,6 +454,7 @@ QUERIES = {
     "extracted_functions": extracted_functions,
     "mutants": page_mutants,
     "distance_stats": distance_stats,
+    "keyed_documents": keyed_documents,
     "text_distances": text_distances,
     "comparable_outputs": comparable_outputs,
     "candidate_choice": candidate_choice,
@@ -475,6 +484,7 @@ SQL = {
     "resume": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.bug_id = o.bug_id AND p.status <> 'skipped')",
     "upsert": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE p.bug_id = o.bug_id)",
     "bucketed_upsert": f"WITH o AS ({LATEST_SQL % 1}), p AS ({LATEST_SQL % 0}) SELECT * FROM o UNION ALL SELECT * FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE p.bug_id = o.bug_id)",
+    "keyed_documents": "SELECT doc_id, sha256(text) AS text_sha256, lang FROM documents",
     "text_distances": """SELECT doc_id, (length(t) - length(replace(t, 'z', '')))::INTEGER AS dropped, (length(t) - length(replace(t, 'q', '')))::INTEGER AS replaced
         FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""",
     "engines": f"""WITH u AS (SELECT 'odd' AS engine, * FROM ({LATEST_SQL % 1}) UNION ALL SELECT 'even', * FROM ({LATEST_SQL % 0}))

@@ -15,8 +15,8 @@ from ..functions import names
 TEST = "struct<test_id:string,outcome:string,covered_methods:array<string>,expected_output:string,actual_output:string,fail_reason:string>"
 BUG_FILE = f"tests array<{TEST}>, ground_truth_functions array<string>, compile_cmd string, test_cmd_template string, _corrupt string"
 META_FILE = f"bug_id string, dataset_name string, language string, source_file string, compile_cmd string, test_cmd_template string, tests array<{TEST}>, _corrupt string"
-SCORES = "map<string,struct<scores:map<string,double>,ground_truth:array<string>>>"
-FLAT_SCORES = "map<string,map<string,double>>"
+SCORES = "struct<scores:map<string,double>,ground_truth:array<string>>"
+FLAT_SCORES = "map<string,double>"
 RESULT = (
     "struct<status:string,patched_function:string,patched_file:string,selected_function:string,init_passed_tests:array<string>,init_failed_tests:array<string>,"
     "post_passed_tests:array<string>,post_failed_tests:array<string>,patch_file:string,mutation_strategy:string,elapsed_seconds:double,genprog_log:string,"
@@ -85,21 +85,23 @@ def loader(name: str) -> Callable[..., DataFrame]:
 
 
 def recorded_scores(spark: SparkSession, path: str) -> DataFrame:
-    """bug_id, scores, ground_truth of one JSON object keyed by bug id; the flat shape {bug: {method: score}} is read too."""
-    text = _whole(spark, path)
-    nested = text.select(F.explode(F.from_json("value", SCORES)).alias("bug_id", "v"), "value")
-    flat = F.from_json("value", FLAT_SCORES)[F.col("bug_id")]
-    return nested.select("bug_id", F.coalesce("v.scores", flat).alias("scores"), F.coalesce("v.ground_truth", F.array().cast("array<string>")).alias("ground_truth"))
+    """bug_id, scores, ground_truth of one JSON object keyed by bug id, read by byte ranges; the flat shape {bug: {method: score}} is read too."""
+    from .keyed import entries
+
+    nested, flat = F.from_json("value", SCORES), F.from_json("value", FLAT_SCORES)
+    rows = entries(spark, path, "string").select("bug_id", nested.alias("v"), flat.alias("flat"))
+    return rows.select("bug_id", F.coalesce("v.scores", "flat").alias("scores"), F.coalesce("v.ground_truth", F.array().cast("array<string>")).alias("ground_truth"))
 
 
 def recorded_results(spark: SparkSession, path: str) -> DataFrame:
-    """bug_id and the fields of a result of one JSON object keyed by bug id."""
-    text = _whole(spark, path)
-    return text.select(F.explode(F.from_json("value", f"map<string,{RESULT}>")).alias("bug_id", "r")).select("bug_id", "r.*")
+    """bug_id and the fields of a result of one JSON object keyed by bug id, read by byte ranges."""
+    from .keyed import entries
+
+    return entries(spark, path, RESULT).select("bug_id", "value.*")
 
 
 def scores_document(scores: DataFrame, truth: DataFrame) -> DataFrame:
-    """One row, one JSON object keyed by bug id: an export for small results; write parquet for large ones."""
+    """One row, one JSON object keyed by bug id: an export for small results; keyed.write_object() cuts large ones over files."""
     found = scores.groupBy("bug_id").agg(F.map_from_entries(F.collect_list(F.struct("method", "score"))).alias("scores"))
     wanted = truth.groupBy("bug_id").agg(F.collect_list("method").alias("ground_truth"))
     each = found.join(wanted, "bug_id", "left").withColumn("ground_truth", F.coalesce("ground_truth", F.array().cast("array<string>")))
