@@ -51,6 +51,11 @@ def bugs(spark: SparkSession, where: str, source_dir: str = "", dataset: str = "
     Unreadable files are left out; names of methods are qualified by the bug's source file.
     """
     rows = _documents(spark, where, BUG_FILE).withColumn("bug_id", F.replace("file", F.lit(".json"), F.lit("")))
+    return described(rows, source_dir, dataset)
+
+
+def described(rows: DataFrame, source_dir: str, dataset: str) -> DataFrame:
+    """bugs() of rows(bug_id and the fields of BUG_FILE)."""
     file = names.source_path(F.lit(source_dir), F.col("bug_id"))
     none, no_names = F.array().cast(f"array<{TEST}>"), F.array().cast("array<string>")
     return rows.select(
@@ -78,6 +83,8 @@ LOADERS: dict[str, Callable[..., DataFrame]] = {"codeflaws": bugs}
 
 
 def loader(name: str) -> Callable[..., DataFrame]:
+    from . import folders  # noqa: F401  # adds the loader by data source
+
     key = name.strip().lower()
     if key not in LOADERS:
         raise ValueError(f"unknown dataset {name!r}; known: {', '.join(sorted(LOADERS))}")
