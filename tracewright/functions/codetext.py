@@ -72,8 +72,8 @@ def text_distance(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(short, F.levenshtein(a, b)).otherwise(long)
 
 
-def _common(x: Column, y: Column, most: Column, end: Callable[[Column, Column], Column]) -> Column:
-    """Length, up to most, of the common end of x and y that end(text, length) gives: by halving steps."""
+def common_end(x: Column, y: Column, most: Column, end: Callable[[Column, Column], Column]) -> Column:
+    """Length, up to most, of the common end of x and y that end(text, length) gives (F.left, F.right): by halving steps."""
     top = F.floor(F.log2(F.greatest(most, F.lit(1)).cast("double"))).cast("int")
     steps = F.transform(F.sequence(F.lit(0), top), lambda k: F.pow(F.lit(2.0), top - k).cast("int"))
     fits = lambda n: (n <= most) & (end(x, n) == end(y, n))
@@ -83,8 +83,8 @@ def _common(x: Column, y: Column, most: Column, end: Callable[[Column, Column],
 def _within_ends(pair: Column) -> Column:
     x, y = pair["x"], pair["y"]
     least = F.least(F.length(x), F.length(y))
-    head = F.array(_common(x, y, least, F.left))
-    ends = F.transform(head, lambda p: F.struct(p.alias("p"), _common(x, y, least - p, F.right).alias("s")))
+    head = F.array(common_end(x, y, least, F.left))
+    ends = F.transform(head, lambda p: F.struct(p.alias("p"), common_end(x, y, least - p, F.right).alias("s")))
     inner = lambda t, e: F.substr(t, e["p"] + 1, F.length(t) - e["p"] - e["s"])
     return F.transform(F.transform(ends, lambda e: F.struct(inner(x, e).alias("x"), inner(y, e).alias("y"))), _bounded)[0]
 

@@ -200,10 +200,25 @@ CODE_SQL = """code AS (SELECT p_partkey, p_name, '/* ' || p_name || ' } */' || c
 NORM_SQL = """regexp_replace(code, '("(?:[^"\\\\]|\\\\[\\s\\S])*"|''(?:[^''\\\\]|\\\\[\\s\\S])*'')|//[^\\n]*|/\\*[\\s\\S]*?\\*/|\\s+', '\\1', 'g')"""
 
 
+PAGES_SQL = r"""regexp_replace(coalesce(html, ''), '("(?:[^"\\]|\\[\s\S])*(?:"|\\?\z)|''(?:[^''\\]|\\[\s\S])*(?:''|\\?\z))|//[^\n]*|/\*[\s\S]*?(?:\*/|\z)|[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', '\1', 'g')"""
+
+
 def normalised_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_text(spark, sf_dir).select("p_partkey", codetext.normalised(F.col("code")).alias("code"))
 
 
+def normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as code text: digests and lengths of what is left without comments and white space."""
+    code = codetext.normalised(F.coalesce("html", F.lit("")))
+    return load(spark, sf_dir, "pages").select("page_id", F.sha2(code, 256).alias("code_sha256"), F.length(code).alias("n_chars"))
+
+
+def code_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages as code text: each one's mutants, by what they change."""
+    made = m.mutants(load(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("code")), "page_id")
+    return made.groupBy("page_id", "description").agg(F.count("*").alias("n"), F.min("mutant_ordinal").alias("first_ordinal"))
+
+
 def extracted_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = codetext.function_span(F.col("code"), F.lit("solve"))
     return code_text(spark, sf_dir).select("p_partkey", span.alias("s")).select("p_partkey", F.col("s.start").alias("start_at"), F.col("s.end").alias("end_at"), F.col("s.code").alias("code"))
@@ -451,6 +466,8 @@ QUERIES = {
     "version_files": version_files,
     "test_lists": test_lists,
     "normalised_code": normalised_code,
+    "normalised_pages": normalised_pages,
+    "code_mutants": code_mutants,
     "extracted_functions": extracted_functions,
     "mutants": page_mutants,
     "distance_stats": distance_stats,
@@ -498,6 +515,8 @@ SQL = {
         coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) FILTER (o_orderstatus = 'F'), '') AS init_failed,
         coalesce(60 * length(arg_min(o_orderpriority, o_orderkey) FILTER (o_orderstatus = 'F')) > 500, false) AS truncated FROM orders GROUP BY o_custkey""",
     "normalised_code": f"WITH {CODE_SQL} SELECT p_partkey, {NORM_SQL} AS code FROM code",
+    "normalised_pages": f"""WITH c AS (SELECT page_id, {PAGES_SQL} AS code FROM pages)
+        SELECT page_id, sha256(code) AS code_sha256, length(code)::INTEGER AS n_chars FROM c""",
     "extracted_functions": f"""WITH {CODE_SQL}, s AS (SELECT p_partkey, code, instr(code, 'int solve') AS a FROM code)
         SELECT p_partkey, (a - 1)::INTEGER AS start_at, (length(code) - 1)::INTEGER AS end_at, substr(code, a, length(code) - a) AS code FROM s""",
     "distance_stats": """WITH d AS (SELECT a.p_brand, levenshtein(replace(a.p_name, ' ', ''), replace(b.p_name, ' ', '')) AS distance FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1)
