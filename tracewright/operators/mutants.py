@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import codetext
-from ..functions.names import strip
+from ..functions.names import SPACE, strip
 
 #: Fixed rules, in order: pattern, replacements.
 RULES = [
@@ -23,6 +23,8 @@ RULES = [
     (r"(\+\s*1)\b", ["- 1", ""]),
     (r"(-\s*1)\b", ["+ 1", ""]),
 ]
+#: What the rules mean by word characters and white space, in any script; their word ends follow a digit.
+CLASSES = {r"\w": r"[\p{L}\p{N}_]", r"\s": SPACE, r"\b": r"(?![\p{L}\p{N}_])"}
 DESCRIPTION = "Đổi '%s' → '%s'"
 
 
@@ -97,6 +99,8 @@ def _repeats(text: Column, at: Column, piece: Column) -> Column:
 
 def _changes(text: Column, rule: int, pattern: str, replacements: list[str]) -> Column:
     """Array of struct(start, size, hit, put) of a rule, by match and replacement; start counts from 0."""
+    for short, full in CLASSES.items():
+        pattern = pattern.replace(short, full)
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.struct(F.length(b).alias("gap"), f.alias("hit")))
     places = "array<struct<start:int,hit:string>>"
