@@ -34,7 +34,7 @@ MAGIC = b"TIDS0001"
 HEAD, FOOT = struct.Struct("<IIII"), struct.Struct("<QQQQI8s")  # ids, words, crc of words, crc of ids; index at, documents, blocks, ids, crc of index, MAGIC
 INDEX = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_tokens", "<u8")])
 #: Ids of a block, and blocks coded side by side.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 2048
 #: Slots of the prediction tables: hashes of this many bits.
 BITS = 12
 NO_ID = 0xFFFF
