@@ -351,6 +351,41 @@ def test_postings_are_added_only_for_vectors_still_wanted():
             assert v[q == i].tolist() == want and score[q == i].tolist() == products[i, want].tolist()
 
 
+@pytest.mark.parametrize("kind", ["random", "large", "equal", "huge"])
+def test_memory_of_a_block_is_bounded(kind):
+    """A block against its own queries, of large and of equal vectors too: bounded memory, no more products than all pairs have twice, exact results."""
+    import tracemalloc
+
+    local = np.random.default_rng(7)
+    n, m, width = 2048, 512, 256
+    vectors = {"random": local.normal(0, 300, (n, width)), "large": local.normal(0, 20_000, (n, width)), "equal": np.full((n, width), 9.0), "huge": local.normal(0, 2.0**26, (n, width))}[kind].astype(np.int64)
+    ids, own = np.arange(n), np.arange(m) * 3 % n
+    flat = vectors.ravel()
+    impact = np.where(flat == 0, -1, np.frexp(np.abs(flat.astype(float)))[1] - 1)
+    order = [np.flatnonzero(impact == level) for level in np.unique(impact[impact >= 0])[::-1]]
+    tracemalloc.start()
+    q, v, score, added = topk.best(vectors[own], own, vectors, ids, [len(x) for x in order], np.concatenate(order), 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and added <= 2 * m * n * width, (peak, added)
+    products = vectors[own] @ vectors.T
+    products[np.arange(m), own] = -(2**62)
+    for i in range(m):
+        want = np.lexsort((ids, -products[i]))[:5]
+        assert v[q == i].tolist() == want.tolist() and score[q == i].tolist() == products[i, want].tolist()
+
+
+def test_only_pairs_that_do_not_fit_are_left_out(spark):
+    rows = [(0, [1e300, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0]), (50, [1e15, 0.0]), (3, [1e-300, -1e300]), (100, [0.0, 1.0]), (150, [2.0**23, 2.0**23]), (4, [2.0**23, 1.0])]
+    got = defaultdict(dict)
+    for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=9).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    ints = {i: [min(math.floor(256 * x), 2**63 - 1) if x > -1e200 else -(2**63) for x in v] for i, v in rows}
+    length = lambda v: math.sqrt(sum(float(x) ** 2 for x in v))
+    for i in (0, 50, 100, 150):
+        assert got[i] == {j: sum(a * b for a, b in zip(ints[i], v, strict=True)) for j, v in ints.items() if j != i and length(ints[i]) * length(v) < 2**62}
+
+
 def test_archives(spark, tmp_path):
     big = "<p>é" + "x" * 1200
     rows = [(1, "http://a/", big), (2, "http://b/", big), (3, None, None), (4, "u\nv", "small"), (5, "u", "small"), (None, "n", big), (7, "u", "y" * 100_000)]

@@ -29,6 +29,10 @@ from .common import Scratch, load
 
 BLOCK, BATCH = 2048, 512
 CHUNK_BYTES = 32 << 20  # of queries that every task holds at once
+#: Bytes of pairs that are scored exactly at once; how many times cheaper than further segments the pairs left must be to leave the index for them.
+RESCORED, LEAVE = 32 << 20, 4
+#: Whole numbers up to this are exact as floats; scores below this fit 64 bits.
+EXACT, FITS = 2.0**53, 2.0**62
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -54,8 +58,6 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for vec_id, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 v = v.values.to_numpy()
-                if float(np.abs(v.astype(float)).max()) ** 2 * len(v) >= 2**62:
-                    raise OverflowError(f"vector {vec_id}: components too large for 64-bit products")
                 ids, values = held.setdefault(len(v), ([], []))
                 ids.append(vec_id)
                 values.append(v)
@@ -74,7 +76,7 @@ def segments(index: DataFrame) -> DataFrame:
         for batch in batches:
             for width, ids, vectors in zip(*batch.columns, strict=True):
                 flat = np.frombuffer(vectors.as_buffer(), np.int64)
-                impact = np.where(flat == 0, -1, np.frexp(np.abs(flat).astype(float))[1] - 1)
+                impact = np.where(flat == 0, -1, np.frexp(np.abs(flat.astype(float)))[1] - 1)
                 levels = np.unique(impact[impact >= 0])[::-1]
                 order = [np.flatnonzero(impact == level) for level in levels]
                 norm = float((flat.reshape(-1, width.as_py()).astype(float) ** 2).sum(1).max())
@@ -95,13 +97,21 @@ def best(queries, query_ids, vectors, ids, counts, postings, k: int, floor=None)
     m, n = len(queries), len(vectors)
     floor = np.full(m, -np.inf) if floor is None else floor
     norms, missing = np.sqrt((queries.astype(float) ** 2).sum(1)), (vectors.astype(float) ** 2).sum(1)
+    whole = np.sqrt(missing)
+    # up to 2^53 all sums are exact; beyond it the bounds give way to what floats may have lost
+    lost = np.where(missing >= EXACT, missing * 1e-13, 0.0)
     own = query_ids[:, None] == ids[None, :]
-    alive = ~own & (norms[:, None] * np.sqrt(missing)[None, :] * (1 + 1e-9) + 1e-6 >= floor[:, None])
+
+    def slack(q=slice(None)):
+        most = norms[q, None] * whole[None, :]
+        return norms[q, None] * np.sqrt(missing + lost)[None, :] * (1 + 1e-9) + np.where(most >= EXACT, most * 1e-12, 1e-6)
+
+    alive = ~own & (norms[:, None] * whole[None, :] < FITS) & (slack() >= floor[:, None])
     partial, asked, width = np.zeros((m, n)), queries.astype(float), vectors.shape[1]
     flat, at, added = vectors.ravel(), 0, 0
     for count in counts:
         wanted, q = alive.any(0), np.flatnonzero(alive.any(1))
-        if alive.sum() * width <= len(q) * wanted.mean() * (len(postings) - at):
+        if LEAVE * alive.sum() * width <= len(q) * wanted.mean() * (len(postings) - at):
             break
         where = postings[at : at + count]
         at += count
@@ -112,14 +122,15 @@ def best(queries, query_ids, vectors, ids, counts, postings, k: int, floor=None)
         added += len(q) * len(where)
         partial[np.ix_(q, rows)] += asked[q] @ segment.T
         missing[rows] = np.maximum(0, missing[rows] - (segment**2).sum(1))
-        slack = norms[:, None] * np.sqrt(missing)[None, :] * (1 + 1e-9) + 1e-6
-        kth = floor
+        bound, kth = slack(), floor
         if n > k:
-            lower = np.where(alive, partial - slack, -np.inf)
+            lower = np.where(alive, partial - bound, -np.inf)
             kth = np.maximum(floor, -np.partition(-lower, k - 1, axis=1)[:, k - 1])
-        alive &= partial + slack >= kth[:, None]
+        alive &= partial + bound >= kth[:, None]
     q, v = np.nonzero(alive)
-    score, added = np.einsum("ij,ij->i", queries[q], vectors[v]), added + len(q) * width
+    added, step = added + len(q) * width, max(1, RESCORED // (16 * width))
+    parts = [np.einsum("ij,ij->i", queries[q[s : s + step]], vectors[v[s : s + step]]) for s in range(0, len(q), step)]
+    score = np.concatenate([np.zeros(0, np.int64), *parts])
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -134,7 +145,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, block: int = BLOCK, b
     - vectors that are null, empty, or hold null or non-finite components take no part, nor do null ids;
     - vectors of different widths don't meet; with fewer than k candidates all are returned;
     - repeated rows are candidates as often as they occur, and one query;
-    - components whose products would not fit 64 bits are an error;
+    - a pair takes no part where the product of its lengths is 2^62 or more, as its score might not fit 64 bits; its vectors' other pairs do;
     - an empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
