@@ -93,20 +93,21 @@ class Lexicon:
 
 
 def most_frequent(words: DataFrame, most: int) -> list:
-    """The words above the lowest count at which they are no more than most, by descending count, then word.
+    """The most frequent words, of equal counts the first ones: most of them, or all there are; by descending count, then word.
 
     Only a histogram of counts by magnitude and the chosen words reach the driver, however many partitions there are.
     """
     size = F.floor(F.log2(F.col("count")) * 16)
-    left, least = most, None
+    left, chosen = most, []
     for row in sorted(words.groupBy(size.alias("size")).count().collect(), reverse=True):  # 16 rows for each doubling
-        left -= row["count"]
-        if left < 0:
+        if row["count"] > left:  # of the counts that are too many the largest, by no more than the sort of what is left
+            chosen += words.where(size == row["size"]).orderBy(F.desc("count"), "word").limit(left).collect() if left else []
             break
+        left -= row["count"]
         least = row["size"]
-    if least is None:
-        return []
-    return sorted(words.where(size >= least).collect(), key=lambda r: (-r["count"], bytes(r["word"])))
+    if left < most:
+        chosen += words.where(size >= least).collect()
+    return sorted(chosen, key=lambda r: (-r["count"], bytes(r["word"])))
 
 
 def encode(docs: DataFrame, lexicon, s: Settings) -> DataFrame:
