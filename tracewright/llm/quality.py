@@ -183,13 +183,13 @@ def summed(vectors: DataFrame, size: int, of) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, training: Column, settings: Settings = Settings()) -> Model | None:
     """A model from rows of docs for which training holds; None if no training row is labelled 1.
 
-    labels: doc_id, quality (1: good); of repeated labels the largest counts, null ones don't.
+    labels: doc_id, quality (1: good); of repeated labels the largest counts, null ones don't. Of rows that share a labelled id the least text is learnt from.
     """
     s, spark = settings, docs.sparkSession
     known = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1")
     chosen = bounded_sample(known.where(training), "doc_id", s.positives, s.seed)
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    trusted = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id")  # bounded by settings
+    trusted = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # one text an id: bounded by settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
