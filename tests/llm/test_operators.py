@@ -270,6 +270,16 @@ def test_scores_are_exact_likelihoods(docs, empty, monkeypatch):
     assert hmm.score_texts(empty, s).count() == 0
 
 
+def test_the_dictionary_is_filled_up(spark):
+    rows = [(f"w{k:02}".encode(), 7) for k in range(60)] + [(b"often", 90), (b"once", 1)]
+    words = spark.createDataFrame(rows, "word binary, count long").repartition(3)
+    got = lambda n: [(bytes(r["word"]), r["count"]) for r in hmm.most_frequent(words, n)]
+    ordered = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for n in (0, 1, 2, 40, 61, 62, 100):
+        assert got(n) == ordered[:n], n
+    assert hmm.most_frequent(words.where("false"), 5) == []
+
+
 def test_without_training_texts_scores_are_finite(spark):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
     rows = spark.createDataFrame([(i, text(20)) for i in held], "doc_id long, text string")
@@ -609,6 +619,20 @@ def test_quality(spark, docs, empty):
     assert quality.classify(empty, labels).count() == 0
 
 
+def test_a_labelled_id_on_very_many_rows(spark, monkeypatch):
+    """Of rows that share a labelled id one is learnt from; all of them are scored."""
+    good, bad = "Plain sentences with enough words to read well. " * 6, "!!! zzz 00 || @@ " * 9
+    rows = [(i, f"{good} {i}." if i % 2 else f"{bad} {i}") for i in range(300)]
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 300, 4)], "doc_id long, quality int")
+    hot = next(i for i in range(1, 300, 4) if zlib.crc32(str(i).encode()) % 5)
+    docs = spark.createDataFrame(rows + [(hot, good + "z" * k) for k in range(1, 400)], "doc_id long, text string")
+    seen, real = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: seen.append(real(df)) or seen[-1])
+    got = quality.classify(docs, labels)
+    monkeypatch.undo()
+    assert got.count() == 699 and max(map(len, seen)) <= 75
+
+
 def test_quality_never_sees_labels_of_zero(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
@@ -678,6 +702,14 @@ def test_mixing(spark, docs, empty):
             assert math.isclose(sum(r["weight"] for r in rows if r[m] == value), share, abs_tol=1e-8)
 
 
+def test_margins_that_cannot_be_met_are_told(spark):
+    cells = spark.createDataFrame([("a", "x", 60), ("b", "y", 40)], "source string, lang string, tokens long")
+    share = lambda column, values: spark.createDataFrame(list(values.items()), f"{column} string, target double")
+    scratch = mixing.Scratch(spark)
+    with pytest.warns(UserWarning, match="cannot meet"):
+        mixing.rake(cells, {"source": share("source", {"a": 0.5, "b": 0.5}), "lang": share("lang", {"x": 0.6, "y": 0.4})}, scratch, rounds=2, most=2).count()
+
+
 def test_a_rare_cell_does_not_shrink_the_mix(spark):
     schema = "doc_id long, text string, lang string, source string"
     rows = [(i, "word " * (40 + i % 7), "en" if i % 3 else "de", "s" if i % 2 else "t") for i in range(400)]
