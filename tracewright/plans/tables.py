@@ -246,6 +246,7 @@ def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against themselves without a letter, and with that letter replaced by a sign that no text has: each edit counts once."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))  # distances take far longer than texts to move
     return rows.select(
         "doc_id",
         codetext.text_distance(F.col("t"), F.replace("t", F.lit("z"), F.lit(""))).alias("dropped"),
