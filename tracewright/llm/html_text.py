@@ -4,12 +4,17 @@ A page becomes a tree of elements. Nodes that hold text, and their ancestors, ge
 features: kind of tag, depth, siblings, text and link density of the subtree, attribute
 tokens of the node and of its ancestors. Boosted trees (fitted by Spark) score each node.
 
+Names of several words (comment-list, adSlot, no-sidebar, share-price) are read by parts:
+where a furniture word stands in the name, and what sort of word stands beside it, say
+which of GROUPS the name is in. What a group means is for the trees to learn.
+
 The trees learn from a bounded sample of pages that mark their article (article, main):
-text in it is wanted, other text is not. These two tags are not among the features. As
+text in it is wanted, other text is not; on pages without such a mark, paragraphs and
+headings outside bars are wanted, bars are not. These two tags are not among the features. As
 few pages name every kind of furniture, each sampled page is also seen again with blocks
-put into its article: its own sentences under a name or in an element that stands
-for furniture (not wanted), or under names that only resemble these (wanted), and some
-pages are wrapped in such an element whole (still wanted).
+put among its paragraphs: its own sentences under a name or in an element that stands
+for furniture (not wanted), or under names that only resemble these (wanted); some pages get
+a header ahead of the article (not wanted) or lose what is ahead of it, some are wrapped in such an element whole (still wanted).
 
 Decoding chooses which nodes to keep: a kept node's parent is kept, each node kept adds its
 score, and each dropped node under a kept one costs CUT. The best choice is found from
@@ -24,6 +29,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,22 +55,34 @@ CLOSES = {
 CLOSES_P = ({"p"}, {"td", "th", "li", "div", "article", "section", "table"})
 BARS = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset("article main".split())
-#: Attribute tokens that name page furniture, and those that name content.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+#: Words that name page furniture, and those that name content; parts of things; words that turn a name about.
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie consent disqus footer form header login masthead menu modal nav navbar "
-    "navigation newsletter notice pagination pager popup promo promoted related reply replies search share sharing sidebar signup skip social sponsor sponsored "
-    "subscribe teaser toolbar widget".split()
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form gdpr header login masthead "
+    "menu modal nav navbar navigation newsletter notice pagination pager pingback popup promo promoted recommended related reply replies search share sharing sidebar "
+    "signup skip social sponsor sponsored subscribe teaser toolbar trackback widget widgets".split()
+)
+CONTENT = frozenset("article articles body content entry main page post posts story stories text".split())
+PARTS = frozenset(
+    "area bar block bottom box button buttons card cards column container feed frame grid group holder icon icons inner item items label left link links list module "
+    "outer panel region right row section slot slots stack strip thread top tray unit units wrap wrapper zone".split()
 )
-CONTENT = frozenset("article body content entry main page post story text".split())
+QUALIFIERS = frozenset("has have hide is no non not show un with without".split())
+#: Where a furniture word stands in a name: alone; after a word of another sort; before parts or content; before other words.
+GROUPS = ("alone", "qualified", "header_last", "after_content", "after_other", "before_part", "before_other")
+#: Groups that are left out of what is learnt from a page's own names: only names put into copies say what they mean.
+DOUBTFUL = frozenset(("alone", "after_content", "after_other", "before_part"))
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The rest of a start tag; a > inside quotes does not end it. Each character is looked at once.
 REST = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+>")
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"[a-z]{2,}")
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 FEATURES = (
-    "paragraph heading item cell box header header_above bar bar_share furniture_share part_share content content_above depth children siblings same_before "
+    "paragraph heading item cell box header header_above bar bar_share alone_share qualified_share header_last_share after_content_share after_other_share "
+    "before_part_share before_other_share content content_above depth children siblings same_before "
     "own_chars subtree_chars chars_per_tag link_share marks_per_char chars_per_run position page_share"
 ).split()
 CUT = 6.0
@@ -176,7 +194,7 @@ class Page:
         if self.tags[self._stack[-1]] == "head":
             self._cut(len(self._stack) - 1)
         found = ATTRIBUTE.findall(attributes) if "=" in attributes else ()
-        self._push(tag, frozenset(t for a in found for t in "".join(a).lower().split()), start)
+        self._push(tag, frozenset(t for a in found for t in HUMP.sub("-", "".join(a)).lower().split()), start)
 
     def _close(self, tag: str) -> None:
         if tag in BLOCKS:
@@ -207,15 +225,38 @@ class Page:
                 self.runs.append((self._blocks[-1], text))
 
 
-def named(tokens: frozenset) -> tuple[bool, bool]:
-    """Whether one of the tokens is a furniture name, and whether one only contains such a word."""
-    return bool(tokens & FURNITURE), any(not FURNITURE.isdisjoint(WORD.findall(t)) for t in tokens - FURNITURE)
+def words(name: str) -> list[str]:
+    """The words of a name; two known ones written as one (commentlist) are taken apart."""
+    known, out = FURNITURE | CONTENT | PARTS | QUALIFIERS, []
+    for word in WORD.findall(name):
+        cut = next((i for i in range(2, len(word) - 1) if word[:i] in known and word[i:] in known), 0) if word not in known and len(word) <= 30 else 0
+        out += [word[:cut], word[cut:]] if cut else [word]
+    return out
+
+
+@lru_cache(100_000)
+def group_of(name: str) -> tuple[int, bool]:
+    """Which of GROUPS a name is in (-1: none), and whether it names content."""
+    parts = words(name[:200])
+    found = [i for i, w in enumerate(parts) if w in FURNITURE]
+    if not found:
+        return -1, not CONTENT.isdisjoint(parts)
+    last = found[-1]
+    if not QUALIFIERS.isdisjoint(parts[: found[0]]):
+        group = "qualified"
+    elif len(parts) == 1:
+        group = "alone"
+    elif last == len(parts) - 1:
+        group = "header_last" if parts[last] == "header" and len(found) == 1 else "after_content" if parts[last - 1] in CONTENT else "after_other"
+    else:
+        group = "before_part" if all(w in PARTS or w in CONTENT for w in parts[last + 1 :]) else "before_other"
+    return GROUPS.index(group), False
 
 
 def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
     """Features of the elements that hold text or have a descendant that does, and these elements in document order.
 
-    The shares of bars and names are those of the page's text in the smallest such element that a node is or is in.
+    The shares of bars and of the groups of names are those of the page's text in the smallest such element that a node is or is in.
     """
     n = len(page.tags)
     own, subtree, runs, marks = page.own, page.subtree, [0] * n, [0] * n
@@ -237,21 +278,22 @@ def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
         runs[p] += runs[i]
     total = max(1, subtree[0])
     content, header = [0] * n, [0] * n
-    bars, furniture, parts = [NO_SHARE] * n, [NO_SHARE] * n, [NO_SHARE] * n
+    bars, names = [NO_SHARE] * n, [(NO_SHARE,) * len(GROUPS)] * n
     seen, rows, nodes = 0, [], []
     for i in range(1, n):
         p, tag, tokens, s = page.parents[i], page.tags[i], page.tokens[i], subtree[i]
-        whole, part = named(tokens) if tokens else (False, False)
-        c = len(tokens & CONTENT) if tokens else 0
-        share = s / total
+        share, c, names[i] = s / total, 0, names[p]
+        for token in tokens:
+            group, content_name = group_of(token)
+            c += content_name
+            if group >= 0:
+                names[i] = (*names[i][:group], min(names[i][group], share), *names[i][group + 1 :])
         content[i], header[i] = content[p] + c, header[p] or tag == "header"
         bars[i] = min(bars[p], share) if tag in BARS else bars[p]
-        furniture[i] = min(furniture[p], share) if whole else furniture[p]
-        parts[i] = min(parts[p], share) if part else parts[p]
         if s:
             rows.append((
                 tag == "p", len(tag) == 2 and tag[0] == "h" and tag[1].isdigit(), tag in ("li", "dd", "dt"), tag in ("td", "th"), tag in ("div", "section", "blockquote"),
-                tag == "header", header[p], tag in BARS, bars[i], furniture[i], parts[i], c, content[p], depth[i], children[i], children[p], before[i],
+                tag == "header", header[p], tag in BARS, bars[i], *names[i], c, content[p], depth[i], children[i], children[p], before[i],
                 own[i], s, s / tags[i], min(1.0, links[i] / s), marks[i] / s, s / max(1, runs[i]), seen / total, share,
             ))
             nodes.append(i)
@@ -259,23 +301,30 @@ def node_features(page: Page) -> tuple[np.ndarray, list[int]]:
     return np.array(rows, np.float32).reshape(len(rows), len(FEATURES)), nodes
 
 
-def weak_labels(page: Page, nodes: list[int], unwanted: list[tuple[int, int]] = ()) -> list[int]:
-    """0: text within the unwanted parts of the source or outside the article; 1: in the article; -1: unknown.
+def weak_labels(page: Page, nodes: list[int], put: list[tuple[int, int, bool]] = ()) -> list[int]:
+    """1: wanted, 0: not, -1: unknown.
 
-    Unknown are elements around the article, bars and furniture names inside it, and pages without one.
+    put: the blocks put into the source (start, end, wanted), which say it for what is in them. Else what is in the article is wanted, what is
+    outside it is not; unknown are the elements around it, and bars and names of DOUBTFUL groups inside it.
+    On a page without an article, bars are not wanted; paragraphs and headings outside them and such names are; the rest is unknown.
     """
     n = len(page.tags)
-    inside, around, bad, doubtful = [False] * n, [False] * n, [False] * n, [False] * n
+    inside, around, doubtful, barred, prose, said = [False] * n, [False] * n, [False] * n, [False] * n, [False] * n, [-1] * n
     for i in range(1, n):
         p, tag = page.parents[i], page.tags[i]
         inside[i] = inside[p] or tag in ARTICLE
-        doubtful[i] = doubtful[p] or inside[p] and (tag in BARS or named(page.tokens[i])[0])
-        bad[i] = bad[p] or any(a <= page.starts[i] < b for a, b in unwanted)  # three at most
+        barred[i] = barred[p] or tag in BARS
+        prose[i] = prose[p] or tag in PROSE
+        odd = tag in BARS or any(group >= 0 and GROUPS[group] in DOUBTFUL for group, _ in map(group_of, page.tokens[i]))
+        doubtful[i] = doubtful[p] or inside[i] and odd
+        said[i] = next((int(wanted) for a, b, wanted in put if a <= page.starts[i] < b), said[p])  # five at most
     for i in range(n - 1, 0, -1):
         around[page.parents[i]] |= around[i] or inside[i]
-    if not around[0]:
-        return [-1] * len(nodes)
-    return [0 if bad[i] else -1 if doubtful[i] else 1 if inside[i] else -1 if around[i] else 0 for i in nodes]
+    if around[0]:
+        return [said[i] if said[i] >= 0 else -1 if doubtful[i] else 1 if inside[i] else -1 if around[i] else 0 for i in nodes]
+    for i in range(1, n):
+        doubtful[i] = doubtful[page.parents[i]] or any(group >= 0 and GROUPS[group] in DOUBTFUL for group, _ in map(group_of, page.tokens[i]))
+    return [said[i] if said[i] >= 0 else 0 if barred[i] else 1 if prose[i] and not doubtful[i] else -1 for i in nodes]
 
 
 def first_tag(source: str, names: str) -> tuple[str, int] | None:
@@ -285,12 +334,36 @@ def first_tag(source: str, names: str) -> tuple[str, int] | None:
     return (found[1], end) if end else None
 
 
-def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int]]] | None:
-    """The page with blocks of its own sentences put into its article, and where the unwanted ones stand; None without paragraphs in an article."""
+def invented(rng: random.Random) -> str:
+    """A word that is in none of the lists, nor two of them."""
+    while True:
+        word = "".join(rng.choice("bcdfgklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(2, 5)))
+        if group_of(word) == (-1, False) and word not in PARTS | QUALIFIERS:
+            return word
+
+
+def compound(rng: random.Random, wanted: bool) -> str:
+    """A name of two words, one of furniture, that stands for furniture or only looks like it."""
+    name = rng.choice(sorted(FURNITURE - {"header"}))
+    if wanted:
+        first, second = rng.choice(((rng.choice(sorted(QUALIFIERS)), name), (name, invented(rng))))
+    else:
+        other = rng.choice((invented(rng), rng.choice(sorted(CONTENT | PARTS))))
+        first, second = rng.choice(((name, rng.choice(sorted(PARTS | CONTENT))), (other, name)))
+    return rng.choice((f"{first}-{second}", f"{first}-{second}", f"{first}_{second}", first + second.title()))
+
+
+def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int, bool]]] | None:
+    """The page with blocks of its own sentences put among its paragraphs, and where these stand and whether they are wanted.
+
+    Those of its article, or of its body where it has none; None without paragraphs there.
+    """
     rng = random.Random(seed)
-    article = first_tag(source, "article|main")
-    if not article:
-        return None
+    article, body = first_tag(source, "article|main"), first_tag(source, "body")
+    if article and body and body[1] < article[1] and rng.random() < 0.3:  # nothing ahead of the article
+        source = source[: body[1]] + source[source.rfind("<", 0, article[1]) :]
+        article = first_tag(source, "article|main")
+    article = article or body or ("html", 0)
     last = re.search(rf"</{article[0]}(?=[\s>])", source[article[1] :], re.I)
     inside = source[article[1] :][: last.start() if last else None]
     places = [m.start() + article[1] for m in re.finditer(r"<p[\s>]", inside, re.I)]
@@ -299,39 +372,50 @@ def furnished(source: str, seed: int) -> tuple[str, list[tuple[int, int]]] | Non
         return None
     names, near = sorted(FURNITURE), ("no-{}", "has-{}", "with-{}", "{}-price", "entry-{}", "un{}")
     blocks = []
-    for kind in rng.sample(range(5), 3):
-        name, attribute = rng.choice(names), rng.choice(("class", "id", "class", "role"))
+    for kind in rng.sample(range(7), 4):
+        attribute, tag = rng.choice(("class", "id", "class", "role")), rng.choice(("div", "div", "section", "ul", "ol"))
         said, wanted = [], rng.choice((0, 0, rng.random())) * len(inside)  # from one sentence to half of the page
         while not said or sum(map(len, said)) < wanted:
             said.append(" ".join(rng.choices(sentences, k=rng.randrange(1, 4))))
         inner = "".join(f"<p>{s}</p>" for s in said) if len(said) > 1 or rng.random() < 0.5 else said[0]
-        tag = rng.choice(("div", "div", "section", "ul"))
+        if tag in ("ul", "ol"):
+            inner = "".join(f"<li>{s}</li>" for s in said)
         if kind == 0:
-            blocks.append((f'<{tag} {attribute}="{rng.choice(["", "box "])}{name}">{inner}</{tag}>', True))
+            blocks.append((f'<{tag} {attribute}="{rng.choice(["", "box "])}{rng.choice(names)}">{inner}</{tag}>', False))
         elif kind == 1:
             bar = rng.choice(sorted(BARS))
-            blocks.append((f"<{bar}>{inner}</{bar}>", True))
+            blocks.append((f"<{bar}>{inner}</{bar}>", False))
         elif kind == 2:
-            blocks.append((f'<p class="{name}">{rng.choice(sentences)}</p>', True))
-        elif kind == 3:
-            blocks.append((f'<{tag} {attribute}="{rng.choice(near).format(name)}">{inner}</{tag}>', False))
+            blocks.append((f'<p class="{rng.choice((rng.choice(names), compound(rng, False)))}">{rng.choice(sentences)}</p>', False))
+        elif kind in (3, 4):
+            blocks.append((f'<{tag} {attribute}="{rng.choice(["", "box "])}{compound(rng, False)}">{inner}</{tag}>', False))
+        elif kind == 5:
+            blocks.append((f'<{tag} {attribute}="{compound(rng, True)}">{inner}</{tag}>', True))
         else:
-            blocks.append((rng.choice(('<header class="entry-header"><h2>{0}</h2></header>', '<p class="share-price">{0}</p>', "<header><h2>{0}</h2></header>")).format(rng.choice(sentences)), False))
-    out, unwanted, at = [], [], 0
+            head = rng.choice(('<header class="{1}-header"><h2>{0}</h2></header>', '<p class="{2}">{0}</p>', "<header><h2>{0}</h2></header>", '<div class="{1}-header">{0}</div>'))
+            blocks.append((head.format(rng.choice(sentences), rng.choice(sorted(CONTENT)), compound(rng, True)), True))
+    out, put, at = [], [], 0
     length = 0
-    for place, (block, bad) in sorted(zip(rng.choices(places, k=len(blocks)), blocks, strict=True), key=lambda x: x[0]):
+    for place, (block, wanted) in sorted(zip(rng.choices(places, k=len(blocks)), blocks, strict=True), key=lambda x: x[0]):
         length += place - at
         out += [source[at:place], block]
-        if bad:
-            unwanted.append((length, length + len(block)))
+        put.append((length, length + len(block), wanted))
         at, length = place, length + len(block)
     made = "".join(out) + source[at:]
     body = first_tag(made, "body")
+    if body and body[1] < article[1] and article[0].lower() != "body" and rng.random() < 0.5:
+        top = rng.choice(("<header>{0}</header>", "<header><p>{0}</p></header>", '<header class="{1}-header">{0}</header>', '<div class="{1}-header">{0}</div>'))
+        top = top.format(rng.choice(sentences)[: rng.choice((12, 40, 200))], rng.choice(("site", "page", "top", invented(rng))))
+        made = made[: body[1]] + top + made[body[1] :]
+        put = [(body[1], body[1] + len(top), False), *((a + len(top), b + len(top), w) for a, b, w in put)]
     if body and rng.random() < 0.4:
-        around = rng.choice(('<form action="/">', "<form>", f'<div id="page" class="{rng.choice(names)}">', f'<div class="{rng.choice(near).format(rng.choice(names))}">'))
+        around = rng.choice((
+            '<form action="/">', "<form>", f'<div id="page" class="{rng.choice(names)}">', f'<div class="{rng.choice(near).format(rng.choice(names))}">',
+            f'<div class="{compound(rng, rng.random() < 0.5)}">',
+        ))
         made = made[: body[1]] + around + made[body[1] :]
-        unwanted = [(a + len(around), b + len(around)) if a >= body[1] else (a, b) for a, b in unwanted]
-    return made, unwanted
+        put = [(a + len(around), b + len(around), w) if a >= body[1] else (a, b, w) for a, b, w in put]
+    return made, put
 
 
 @dataclass(frozen=True)
@@ -378,11 +462,11 @@ class Trees:
 
 
 class Markup:
-    """Where no page marks its article: a few of the features by hand."""
+    """Where no page has a paragraph to learn from: a few of the features by hand."""
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         at = {name: x[:, FEATURES.index(name)] for name in FEATURES}
-        small = np.minimum(at["bar_share"], at["furniture_share"]) < 0.5
+        small = np.minimum(at["bar_share"], at["alone_share"]) < 0.5
         return 1.0 - 3 * small - 3 * (at["link_share"] > 0.5)
 
 
@@ -396,10 +480,10 @@ def train(pages: DataFrame, settings: Settings = Settings()):
             x, y = [], []
             for page_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 more = [furnished(source, ((page_id or 0) * copies + k) * 31 + s.seed) for k in range(copies)]
-                for text, unwanted in ((source, []), *(m for m in more if m)):
+                for text, put in ((source, []), *(m for m in more if m)):
                     page = Page(text)
                     rows, nodes = node_features(page)
-                    for row, label in zip(rows.tolist(), weak_labels(page, nodes, unwanted), strict=True):
+                    for row, label in zip(rows.tolist(), weak_labels(page, nodes, put), strict=True):
                         if label >= 0:
                             x.append(row)
                             y.append(float(label))
@@ -440,7 +524,7 @@ def extract(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     - null and empty html, and pages without article text: text is empty, n_chars 0;
     - html cut short or badly nested is read as far as it goes; a tag that never ends takes the rest of the page with it;
     - repeated rows give repeated results; null ids and urls are passed on;
-    - where no page marks its article, a few features decide by fixed weights in place of the trees;
+    - where no page has a paragraph, there is nothing to learn from, and a few features decide by fixed weights in place of the trees;
     - an empty table gives an empty result; columns other than page_id, url, html are not looked at.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_or_empty("html").alias("html"))
