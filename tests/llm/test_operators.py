@@ -509,6 +509,27 @@ def test_names_that_only_resemble_furniture_keep_their_text(spark):
     assert texts == ["\n".join(t) for t in (base, base, [*base, words], base, base)]
 
 
+def test_names_of_several_words(spark):
+    """Names that the copies never hold (their other words are in no list, or in none at that place), and pages that mark no article."""
+    words, other = "A sentence, with some words in it, and then a few more. It goes on and on.", "Something else is said here, by somebody, and at some length. So it is."
+    inner, base = f"<p>{words}</p><p>{words}</p><p>{words}</p>", ["Title", words, words, words]
+    bad = [
+        f'<section id="reader-comments"><p>{other}</p><p>{other}</p></section>', f'<ol class="comment-list"><li>{other}</li><li>{other}</li></ol>', f'<div class="ad-slot">{other}</div>',
+        f'<div class="share-buttons"><p>{other}</p></div>', f'<div class="related-posts"><p>{other}</p></div>', f'<div class="qwx-sidebar"><p>{other}</p></div>', f'<div id="commentList">{other}</div>',
+        f'<div class="c-newsletter__box">{other}</div>', f'<div class="adslot-2"><p>{other}</p></div>',
+    ]
+    good = [f'<div class="{name}"><p>{other}</p></div>' for name in ("no-sidebar", "has-comments", "share-qwx", "entry-text", "qwxy", "with-related-posts")]
+    menu = '<nav><ul><li><a href="/">menu</a></li></ul></nav>'
+    page = f"<html><body>{menu}<article><h1>Title</h1>{inner}%s</article></body></html>"
+    texts = html_texts(spark, *(page % x for x in bad + good))
+    assert [t.split("\n") for t in texts[: len(bad)]] == [base] * len(bad)
+    assert [t.split("\n") for t in texts[len(bad) :]] == [[*base, other]] * len(good)
+    bare = [(i, "u", f'<html><body>{menu}<div id="wrap"><h1>Title</h1>{inner}<p>{i}. {words}</p>{x}{inner}</div><footer>foot</footer></body></html>') for i, x in enumerate(bad + good)]
+    got = html_text.extract(spark.createDataFrame(bare, "page_id long, url string, html string")).orderBy("page_id").collect()
+    for i, r in enumerate(got):
+        assert r["text"].split("\n") == [*base, f"{i}. {words}", *([other] if i >= len(bad) else []), words, words, words], bare[i][2]
+
+
 def test_pages_are_read_in_linear_time():
     import time
 
@@ -588,6 +609,63 @@ def test_the_span_classifier_rejects_and_accepts(spark):
     assert [[(s["kind"], s["start"], s["end"]) for s in x] for x in got[-4:]] == [[("ip", 0, 5007)], [], [], []]
 
 
+def test_spans_against_brute_force(spark):
+    """Spans are the base ones and the candidates apart from them that a plain logistic model of the same weights accepts; these weights are the loss's minimum."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    mixed = [f"reach j{i} (at) mx{i}.com or (212) 555-{1000 + i}, {4000_0000_0000_0000 + i * 77} in all, +49 30 {12345 + i}" for i in range(200)]
+    docs = docs.union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(mixed)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    seen, target = [], {}
+    for i, t in texts.items():
+        base, missed = pii.scanned(t)
+        naive = [c for c in [(*m, pii.NO) for m in missed] + [(m.start(), k, m.end(), pii.ABSTAIN) for k, p in (("email", pii.SPELT), ("phone", pii.LOCAL_PHONE)) for m in p.finditer(t)]]
+        taken = []
+        for c in sorted(naive):
+            if all(c[0] >= e or c[2] <= s for s, _, e in base) and all(c[0] >= x[2] for x in taken):
+                taken.append(c)
+        seen += [(i, s, pii.votes(t, s[:3], s[3]), pii.marks(t, s[:3], s[3])) for s in [*((*b, pii.YES) for b in base), *taken]]
+    patterns = {}
+    for _, s, v, _ in seen:
+        patterns[s[1], v] = patterns.get((s[1], v), 0) + 1
+    for kind in pii.KINDS:
+        mine = [v for k, v in patterns if k == kind]
+        if mine:
+            posterior = pii.reliabilities(np.array(mine), np.array([patterns[kind, v] for v in mine], float), pii.CHECK[kind])[2]
+            target |= {(kind, v): p for v, p in zip(mine, posterior, strict=True)}
+    rows = spark.createDataFrame([(m, float(target[s[1], v])) for _, s, v, m in seen], "marks array<int>, p double")
+    weights = np.array(pii.fit_spans(rows, F.col("p")))
+    x = np.zeros((len(seen), pii.FEATURES + 1))
+    for j, (*_, m) in enumerate(seen):
+        x[j, [*m, -1]] = 1
+    soft = np.array([target[s[1], v] for _, s, v, _ in seen])
+    p = 1 / (1 + np.exp(-x @ weights))
+    slope = x.T @ (p - soft) / len(seen) + 0.0003 * np.append(weights[:-1], 0)
+    assert np.abs(slope).max() < 1e-3
+    got = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in pii.find_personal_data(docs).collect()}
+    want, unsure = {i: [] for i in texts}, 0
+    for (i, s, *_), q in zip(seen, p, strict=True):
+        unsure += s[3] != pii.YES and abs(q - 0.5) < 0.02
+        if s[3] == pii.YES or q >= 0.5:
+            want[i].append((s[0], pii.KINDS.index(s[1]), s[2]))
+    assert unsure == 0 and {i: [(s, pii.KINDS.index(k), e) for s, k, e in g] for i, g in got.items()} == {i: sorted(w) for i, w in want.items()}
+    digits = ["".join(c for c in texts[i][s:e] if c.isdigit()) for i, g in got.items() for s, k, e in g if k == "card"]
+    assert digits and all(map(pii.luhn, digits))  # a number that fails its sum is never added
+
+
+def test_the_classifier_sees_more_than_the_votes(spark):
+    """Spans with the same votes, and so the same posterior, differ by the words around them: the odds at least threefold."""
+    local = random.Random(8)
+    number = lambda: f"(212) 555-{local.randrange(1000, 9999)}"
+    texts = [f"zorvex {number()} phone me" for _ in range(60)] + [f"phone zorvex {number()} me" for _ in range(60)] + [f"order quibble {number()}# me" for _ in range(200)]
+    texts += [f"zorvex {number()} me" for _ in range(5)] + [f"quibble {number()} me" for _ in range(5)]
+    spans = [next(iter(pii.candidates(t, *pii.scanned(t)))) for t in texts[-10:]]
+    assert len({pii.votes(t, s[:3], s[3]) for t, s in zip(texts[-10:], spans, strict=True)}) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["spans"] for r in pii.find_personal_data(docs, 0.0).orderBy("doc_id").collect()]
+    odds = [g[0]["probability"] / (1 - g[0]["probability"]) for g in got[-10:]]
+    assert min(odds[:5]) > 3 * max(odds[5:])
+
+
 def test_reliabilities_against_known_labelers():
     """Labelers of known reliability: expectation-maximisation finds the classes and the rates."""
     local = np.random.default_rng(5)
