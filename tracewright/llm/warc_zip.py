@@ -228,7 +228,10 @@ def archive_pages(pages: DataFrame, where: str, least_bytes: int = 1000) -> Data
         .drop("n")
     )
     groups = scratch.table(groups, "groups")
-    return scratch.table(write_archives(rows.join(groups, ["digest", "strong", "bytes"], "left"), where), "manifest")
+    # small payloads have no group: a key of their own keeps equal ones (all empty pages) from meeting in one task
+    alone = F.when(F.col("bytes") < least_bytes, F.xxhash64("page_id", "url")).otherwise(F.lit(0))
+    kept = rows.withColumn("alone", alone).join(groups.withColumn("alone", F.lit(0).cast("long")), ["digest", "strong", "bytes", "alone"], "left")
+    return scratch.table(write_archives(kept, where), "manifest")
 
 
 def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
