@@ -45,6 +45,7 @@ from .common import Scratch, load, text_or_empty
 
 PERMUTATIONS = 40  # 80 signature values
 ROWS = 4  # values in a band: 20 bands; a pair of similarity 0.8 shares one with probability 0.99997
+STAR_ROWS = 4096  # about as many nodes of a star meet one copy of its pivot's set
 BIT_WORDS = 4  # 64-bit words of a bitmap that bounds the size of a union from below
 CELLS = 1 << 17  # counters that put differences in order; more hashed differences share one, which costs order, no links
 _word_ids: dict[bytes, int] = {}
@@ -147,6 +148,15 @@ def _fetched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
+def _fetched_salted(stars: DataFrame, sets: DataFrame) -> DataFrame:
+    """_fetched for stars (a, b, salt, salts): STAR_ROWS nodes meet one copy of their pivot's set, so no task writes it for a whole large star."""
+    left = sets.select(F.col("node").alias("a"), F.lit(0).cast("long").alias("salt"), F.col("members").alias("x"))
+    large = stars.where("salts > 1").select("a", "salts").distinct()
+    more = sets.join(large, sets.node == large.a).select("a", F.explode(F.sequence(F.lit(1).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("members").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
+    return stars.join(left.union(more), ["a", "salt"]).join(right, "b")
+
+
 def bitmap(values: np.ndarray) -> np.ndarray:
     """BIT_WORDS words with the bit of each value set; a union has at least as many values as its bitmap has bits."""
     bits = np.zeros(64 * BIT_WORDS, np.uint8)
@@ -177,7 +187,7 @@ def against_pivots(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers, *rest], names=names)
 
     schema = "a long, b long, n_a long, n_b long, linked boolean, d long, differences binary, bits array<long>"
-    return _fetched(stars, sets).select("a", "b", "several", "x", "y").mapInArrow(run, schema)
+    return _fetched_salted(stars, sets).select("a", "b", "several", "x", "y").mapInArrow(run, schema)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -331,15 +341,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, permutat
     near = 100 * F.least("n_a", "n") >= percent * F.greatest("n_a", "n")
     stars = members.join(pivots, "key").where(F.col("a") != F.col("node")).groupBy("a", F.col("node").alias("b")).agg(F.first(near).alias("near"))
     stars = scratch.table(stars, "stars")
-    several = stars.groupBy("a").agg((F.count("*") > 1).alias("several"))
+    several = stars.groupBy("a").agg((F.count("*") > 1).alias("several"), F.expr(f"count(*) div {STAR_ROWS} + 1").alias("salts"))
     stars = stars.join(several, "a").where("several OR near")  # a pivot's only node is settled by their sizes
+    stars = scratch.table(stars.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts"))), "salted")
     tested = scratch.table(against_pivots(stars, sets, percent), "tested")
     links = tested.where("linked").select("a", "b")
     labels = components(scratch, links, "labels_0")
     found = scratch.table(confirmed(apart(tested, labels, scratch, percent), sets, percent), "links")
     if not found.isEmpty():
         labels = components(scratch, links.union(found), "labels_1")
-    scratch.drop("sets", "ranked", "named", "stars", "apart", "spread", "rare", "pairs")
+    scratch.drop("sets", "ranked", "named", "stars", "salted", "apart", "spread", "rare", "pairs")
 
     joined = nodes.select("set_key", "node", "least_id").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     joined = scratch.table(joined.select("set_key", "component", "least_id"), "joined")
