@@ -124,9 +124,10 @@ def near_copies(n, seed=9):
     return [" ".join(w) for w in made]
 
 
-@pytest.mark.parametrize("permutations", [40, 4])
-def test_groups_of_near_copies_lose_no_link(spark, permutations):
-    """permutations 4, rows 1: most pairs share a bucket, so pivots have many strangers."""
+@pytest.mark.parametrize("permutations, star_rows", [(40, near_dedup.STAR_ROWS), (4, near_dedup.STAR_ROWS), (4, 7)])
+def test_groups_of_near_copies_lose_no_link(spark, monkeypatch, permutations, star_rows):
+    """permutations 4, rows 1: most pairs share a bucket, so pivots have many strangers; star_rows 7: their sets are sent in many copies."""
+    monkeypatch.setattr(near_dedup, "STAR_ROWS", star_rows)
     texts = near_copies(300)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_dedup.near_duplicates(df, width=2, permutations=permutations, rows=4 if permutations == 40 else 1)
