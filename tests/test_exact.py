@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewright.functions import codetext
+from tracewright.functions import codetext, distance
 from tracewright.operators import results, spectrum
 
 rng = random.Random(6)
@@ -54,6 +54,35 @@ def test_near_files_take_little_time(spark):
     assert got == want == {4} and took < whole / 5, (took, whole)
 
 
+def test_each_way_to_a_distance_is_exact():
+    for turn in range(300):
+        letters = "ab" if turn % 2 else "abé日😀"
+        a = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 50)))
+        b = edited(a, rng.randrange(30)) if turn % 3 else "".join(c for c in a if rng.random() < 0.8)
+        want = plain_distance(a, b)
+        assert distance.distance(a, b) == distance.distance(b, a) == want
+        if a and b and a != b:
+            x, y = (distance._codes(t) for t in (a, b))
+            assert distance.by_bits(x, y) == distance.by_diagonals(x, y, want) == want and (want == 1 or distance.by_diagonals(x, y, want - 1) is None)
+
+
+def test_edits_spread_over_whole_texts_take_little_time(spark):
+    text = "".join(rng.choice("abcdefgh(){};") for _ in range(10_000))
+    pairs = [(text, text.replace("a", "")), (text, text.replace("b", "\u0001")), (text, "".join(rng.choice("xyz") if rng.random() < 0.02 else c for c in text))]
+    df = spark.createDataFrame(pairs, "a string, b string").repartition(1).cache()
+    df.count()
+
+    def timed(column):
+        began = time.time()
+        found = sorted({r["d"] for r in df.select(column.alias("d")).collect()})
+        return found, time.time() - began
+
+    timed(codetext.text_distance(F.col("a"), F.col("b")))
+    got, took = timed(codetext.text_distance(F.col("a"), F.col("b")))
+    want, whole = timed(F.levenshtein("a", "b"))
+    assert got == want and took < whole / 5, (took, whole)
+
+
 def test_medians_equal_sorted_lists(spark):
     groups = {f"g{k}": [rng.randrange(1 << rng.choice([3, 15, 20, 30])) for _ in range(rng.randrange(1, 60))] for k in range(40)}
     groups |= {None: [7, 1, 5], "low": [-5, -70_000, 3], "one": [65_536], "ties": [4] * 9 + [65_540] * 9}

@@ -1,4 +1,4 @@
-"""C source text as columns: normalised code, braces, functions, compared outputs. No Python runs per row."""
+"""C source text as columns: normalised code, braces, functions, compared outputs. Built-in expressions, but for distances of long texts."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .distance import long_distance
 from .names import SPACE
 
 # Fixed patterns: literals with escapes, comments, white space. Possessive quantifiers keep long literals off the stack.
@@ -60,16 +61,14 @@ def same_output(actual: Column, expected: Column) -> Column:
     return comparable(actual) == comparable(expected)
 
 
-#: Texts up to this long are compared at once; the first bound for longer ones.
-SHORT, BOUND = 64, 16
+#: Texts up to this long are compared by Spark's own levenshtein, longer ones in distance.py.
+SHORT = 64
 
 
 def text_distance(a: Column, b: Column) -> Column:
-    """Exact edit distance in code points. Of long texts equal ends are cut off, then bounds that double are tried until one holds, so near texts take time with their distance."""
-    pair = F.struct(a.alias("x"), b.alias("y"))
-    long = F.transform(F.array(pair), _within_ends)[0]
+    """Exact edit distance in code points; of near texts it takes time with their length and the square of their distance."""
     short = F.greatest(F.length(a), F.length(b)) <= SHORT
-    return F.when(a.isNull() | b.isNull(), F.lit(None).cast("int")).when(short, F.levenshtein(a, b)).otherwise(long)
+    return F.when(short, F.levenshtein(a, b)).otherwise(long_distance(F.when(~short, a), F.when(~short, b)))
 
 
 def common_end(x: Column, y: Column, most: Column, end: Callable[[Column, Column], Column]) -> Column:
@@ -80,25 +79,7 @@ def common_end(x: Column, y: Column, most: Column, end: Callable[[Column, Column
     return F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
 
 
-def _within_ends(pair: Column) -> Column:
-    x, y = pair["x"], pair["y"]
-    least = F.least(F.length(x), F.length(y))
-    head = F.array(common_end(x, y, least, F.left))
-    ends = F.transform(head, lambda p: F.struct(p.alias("p"), common_end(x, y, least - p, F.right).alias("s")))
-    inner = lambda t, e: F.substr(t, e["p"] + 1, F.length(t) - e["p"] - e["s"])
-    return F.transform(F.transform(ends, lambda e: F.struct(inner(x, e).alias("x"), inner(y, e).alias("y"))), _bounded)[0]
-
-
-def _bounded(pair: Column) -> Column:
-    x, y = pair["x"], pair["y"]
-    most = F.greatest(F.length(x), F.length(y), F.lit(BOUND))
-    last = F.ceil(F.log2(most / F.lit(float(BOUND)))).cast("int")
-    bounds = F.transform(F.sequence(F.lit(0), last), lambda k: (F.pow(F.lit(2.0), k) * BOUND).cast("int"))
-    return F.aggregate(bounds, F.lit(-1), lambda found, bound: F.when(found >= 0, found).otherwise(F.call_function("levenshtein", x, y, bound)))
-
-
 def edit_distance(a: Column, b: Column) -> Column:
     """Distance of two normalised texts in code points; -1 where either is null or empty once normalised."""
     x, y = normalised(a), normalised(b)
-    told = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: F.when((F.length(p["x"]) > 0) & (F.length(p["y"]) > 0), text_distance(p["x"], p["y"])).otherwise(-1))[0]
-    return F.coalesce(told, F.lit(-1))
+    return F.coalesce(F.when((F.length(x) > 0) & (F.length(y) > 0), text_distance(x, y)), F.lit(-1))
