@@ -36,19 +36,30 @@ def matching_brace(text: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), start, step)["end"]
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def function_span(source: Column, name: Column) -> Column:
     """struct(start, end, code) of the first definition of a function, offsets from 0; start and end -1, code null without one."""
     pattern = F.concat(F.lit(rf"\b(?:(?:{TYPE_WORDS})\s+)*\**\s*\Q"), name, F.lit(r"\E\s*\([^)]*\)\s*\{"))
-    at = F.regexp_instr(source, pattern)
-    brace = at + F.length(F.regexp_substr(source, pattern)) - 1  # 1-based
-    length = matching_brace(F.substr(source, brace))
-    found = (at > 0) & (length > 0)
-    end = brace - 1 + length
-    return F.struct(
-        F.when(found, at - 1).otherwise(-1).alias("start"),
-        F.when(found, end).otherwise(-1).alias("end"),
-        F.when(found, F.substr(source, at, end - at + 1)).alias("code"),
-    )
+    head = F.struct(F.regexp_instr(source, pattern).alias("at"), F.length(F.regexp_substr(source, pattern)).alias("size"))  # at counts from 1
+
+    def closed(h: Column) -> Column:
+        brace = h["at"] + h["size"] - 1
+        return F.struct(h["at"].alias("at"), brace.alias("brace"), F.when(h["at"] > 0, matching_brace(F.substr(source, brace))).otherwise(-1).alias("length"))
+
+    def told(h: Column) -> Column:
+        found = (h["at"] > 0) & (h["length"] > 0)
+        end = h["brace"] - 1 + h["length"]
+        return F.struct(
+            F.when(found, h["at"] - 1).otherwise(-1).alias("start"),
+            F.when(found, end).otherwise(-1).alias("end"),
+            F.when(found, F.substr(source, h["at"], end - h["at"] + 1)).alias("code"),
+        )
+
+    return let(let(head, closed), told)
 
 
 def comparable(output: Column) -> Column:

@@ -18,6 +18,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows over some tasks for each core, for work that takes far longer than moving a row: small files of many rows are one task each."""
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(tasks, rows.rdd.getNumPartitions()))
+
+
 def spectra(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """tests and coverage: segments are bugs, orders tests, brands of their lines methods."""
     customer = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("bug_id"))
@@ -186,8 +192,8 @@ def test_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def code_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C-like source of each part, with comments and literals that hold braces."""
-    return load(spark, sf_dir, "part").select(
-        "p_partkey", F.col("p_name").alias("name"),
+    return dealt(load(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size")).select(
+        "p_partkey", "p_size", F.col("p_name").alias("name"),
         F.format_string(
             '/* %s } */\nint helper(int a) { return a + 1; }\nint solve(int n) {\n  char *s = "{ %s \\" }";\n  if (n < %d) { return n - 1; } // }\n  return n * 2;\n}\n',
             F.col("p_name"), F.col("p_type"), F.col("p_size"),
@@ -210,12 +216,12 @@ def normalised_code(spark: SparkSession, sf_dir: str) -> DataFrame:
 def normalised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages as code text: digests and lengths of what is left without comments and white space."""
     code = codetext.normalised(F.coalesce("html", F.lit("")))
-    return load(spark, sf_dir, "pages").select("page_id", F.sha2(code, 256).alias("code_sha256"), F.length(code).alias("n_chars"))
+    return dealt(load(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.sha2(code, 256).alias("code_sha256"), F.length(code).alias("n_chars"))
 
 
 def code_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole pages as code text: each one's mutants, by what they change."""
-    made = m.mutants(load(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("code")), "page_id")
+    made = m.mutants(dealt(load(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("code"))), "page_id")
     return made.groupBy("page_id", "description").agg(F.count("*").alias("n"), F.min("mutant_ordinal").alias("first_ordinal"))
 
 
@@ -246,8 +252,7 @@ def keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents against themselves without a letter, and with that letter replaced by a sign that no text has: each edit counts once."""
     rows = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
-    rows = rows.repartition(max(spark.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()))  # distances take far longer than texts to move
-    return rows.select(
+    return dealt(rows).select(
         "doc_id",
         codetext.text_distance(F.col("t"), F.replace("t", F.lit("z"), F.lit(""))).alias("dropped"),
         codetext.text_distance(F.col("t"), F.replace("t", F.lit("q"), F.lit("\u0001"))).alias("replaced"),
@@ -418,7 +423,7 @@ LOCALIZATION_SQL %= ", ".join(f"count(*) FILTER (first_rank <= {k}) AS top{k}, r
 
 def changed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The code of each part against one in which the helper, the main function or nothing was changed, by the part's size."""
-    rows = code_text(spark, sf_dir).join(load(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
+    rows = code_text(spark, sf_dir)
     kind = F.col("p_size") % 3
     changed = F.when(kind == 0, F.replace("code", F.lit("a + 1"), F.lit("a + 2"))).when(kind == 1, F.replace("code", F.lit("n * 2"), F.lit("n * 3"))).otherwise(F.col("code"))
     out = repair.changed_function(rows.select(F.col("p_partkey").alias("id"), F.col("code").alias("original"), changed.alias("repaired")))
