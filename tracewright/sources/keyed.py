@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .bugs import _present
+from .stages import Stages
 
 RANGE = ("object", "file", "start")
 
@@ -43,6 +44,7 @@ def members(spark: SparkSession, paths: str | list[str], together: bool = False)
         *RANGE, "at", "text", (F.length(bare) - F.length(F.replace(bare, F.lit('"'), F.lit("")))).alias("quotes"),
         _depth(F.regexp_replace(bare, strings, "")).alias("outside"), _depth(F.regexp_replace(F.concat(F.lit('"'), bare), strings, "")).alias("inside"),
     )
+    pieces = Stages(spark).write(pieces, "pieces")  # read several times below, mostly without text: looked through once
     within = W.partitionBy(*RANGE).orderBy("at")
     upto = within.rowsBetween(W.unboundedPreceding, W.currentRow)
     pieces = pieces.withColumn("ends", F.lead("at").over(within).isNull())  # the last one of the range
@@ -82,7 +84,8 @@ def entries(spark: SparkSession, paths: str | list[str], value: str, together: b
     found = members(spark, paths, together).where("NOT (member = 0 AND last = 0 AND trim(text) = '')")  # {} has none
     parsed = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), f"map<string,{value}>")
     strict = F.from_json(F.concat(F.lit("{"), "text", F.lit("}")), "map<string,string>")
-    rows = found.select("object", "text", (F.col("sound") & F.coalesce(F.size(strict) == 1, F.lit(False))).alias("good"), parsed.alias("m"))
+    rows = found.select("object", (F.col("sound") & F.coalesce(F.size(strict) == 1, F.lit(False))).alias("good"), parsed.alias("m"))
+    rows = Stages(spark).write(rows, "members")  # a bad member of an object counts for all others
     bad = rows.groupBy("object").agg(F.count_if(~F.col("good")).alias("bad")).where("bad > 0").select(F.col("object").alias("b"))
     return rows.join(bad, F.col("object") == F.col("b"), "left_anti").select(F.explode("m").alias("bug_id", "value"))
 
