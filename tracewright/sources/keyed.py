@@ -76,10 +76,11 @@ def _good() -> Column:
 def _joined(parts: DataFrame, ranges: DataFrame) -> DataFrame:
     """object, first, last, text of the members that no range holds whole; parts: what ranges hold of them."""
     placed = parts.select("part", "nth", "kind").join(ranges.select("object", "file", "start", "part", "nth"), ["part", "nth"])
-    upto = W.partitionBy("object").orderBy("file", "start", "kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = placed.withColumn("member", F.sum((F.col("kind") == jsonbytes.OPENS).cast("int")).over(upto))
-    texts = F.array_sort(F.collect_list(F.struct("file", "start", "kind", "text")))
-    found = parts.join(placed, ["part", "nth", "kind"]).groupBy("object", "member")
+    ordered = W.partitionBy("object").orderBy("file", "start", "kind")
+    opened = F.sum((F.col("kind") == jsonbytes.OPENS).cast("int")).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = placed.select("part", "nth", "kind", "object", opened.alias("member"), F.row_number().over(ordered).alias("place"))
+    found = parts.join(F.broadcast(placed), ["part", "nth", "kind"]).groupBy("object", "member")  # at most two short rows a range; else the text is shuffled once more
+    texts = F.array_sort(F.collect_list(F.struct("place", "text")))
     return found.agg(F.array_join(F.transform(texts, lambda p: p["text"]), "").alias("text"), F.bool_or("first").alias("first"), F.bool_or("last").alias("last"))
 
 
